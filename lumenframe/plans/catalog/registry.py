@@ -3,5 +3,6 @@
 from __future__ import annotations
 
 from lumenframe.plans.catalog.landmark_queries import LANDMARK_QUERIES
+from lumenframe.plans.catalog.review_queries import REVIEW_QUERIES
 
-REGISTRY = {**LANDMARK_QUERIES}
+REGISTRY = {**LANDMARK_QUERIES, **REVIEW_QUERIES}
