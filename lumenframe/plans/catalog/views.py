@@ -15,25 +15,22 @@ def landmarks(spark: SparkSession, sf: str) -> DataFrame:
 
     A case is one label within one block of 500 ids, so the number of cases grows with the table.
     """
-    e = lambda i: F.element_at("embedding", i).cast("double")
-    return table(spark, sf, "embeddings").select(
-        (F.floor(F.col("vec_id") / 500) * 10 + F.col("label")).cast("long").alias("case_id"),
-        F.col("vec_id").alias("id"),
-        (F.col("vec_id") % 2 == 1).alias("is_gt"),
-        (e(1) * 100).alias("x"), (e(2) * 100).alias("y"), (e(3) * 100).alias("z"),
-        e(4).alias("dx"), e(5).alias("dy"), e(6).alias("dz"),
-        (1 + 5 * F.abs(e(7))).alias("radius_mm"),
-        (14 * F.abs(e(8))).alias("path_mm"),
-        F.abs(e(9)).alias("vesselness"),
-        (2 * F.abs(e(10))).alias("radius_cv"),
-        F.abs(e(11)).alias("circularity"),
-        F.abs(e(12)).alias("bone_frac"),
-        F.abs(e(13)).alias("adj_lumen_frac"),
-        (e(1) * 100 + 5 * e(4)).alias("sx"), (e(2) * 100 + 5 * e(5)).alias("sy"), (e(3) * 100 + 5 * e(6)).alias("sz"),
-        (1 + 10 * F.abs(e(14))).alias("diameter_mm"),
+    return table(spark, sf, "embeddings").selectExpr(
+        "CAST(floor(vec_id / 500) * 10 + label AS BIGINT) AS case_id", "vec_id AS id", "vec_id % 2 = 1 AS is_gt",
+        *[f"{expr.format(*[f'CAST(element_at(embedding, {i}) AS DOUBLE)' for i in range(16)])} AS {name}" for name, expr in _LM_COLUMNS],
     )
 
 
+# {n} is element n of the embedding, counted from 1
+_LM_COLUMNS = [
+    ("x", "{1} * 100"), ("y", "{2} * 100"), ("z", "{3} * 100"),
+    ("dx", "{4}"), ("dy", "{5}"), ("dz", "{6}"),
+    ("radius_mm", "1 + 5 * abs({7})"), ("path_mm", "14 * abs({8})"), ("vesselness", "abs({9})"),
+    ("radius_cv", "2 * abs({10})"), ("circularity", "abs({11})"), ("bone_frac", "abs({12})"), ("adj_lumen_frac", "abs({13})"),
+    ("sx", "{1} * 100 + 5 * {4}"), ("sy", "{2} * 100 + 5 * {5}"), ("sz", "{3} * 100 + 5 * {6}"),
+    ("diameter_mm", "1 + 10 * abs({14})"),
+]
+
 LM = """lm AS (
   SELECT CAST(floor(vec_id / 500) * 10 + label AS BIGINT) AS case_id, vec_id AS id, vec_id % 2 = 1 AS is_gt,
     CAST(embedding[1] AS DOUBLE)*100 AS x, CAST(embedding[2] AS DOUBLE)*100 AS y, CAST(embedding[3] AS DOUBLE)*100 AS z,
