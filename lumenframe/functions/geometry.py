@@ -122,15 +122,16 @@ def offset_array(offsets: Sequence[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in offsets])
 
 
-def ball_offsets(radius_mm: float, spacing: Sequence[Column]) -> Column:
+def ball_offsets(radius_mm: float | Column, spacing: Sequence[Column]) -> Column:
     """Array of (dz, dy, dx) within a physical ball, for spacing columns in (z, y, x) order."""
-    reach = [F.greatest(F.lit(1), F.ceil(F.lit(radius_mm) / s).cast("int")) for s in spacing]
-    axis = [F.sequence(-r, r) for r in reach]
+    r = F.lit(radius_mm) if isinstance(radius_mm, (int, float)) else radius_mm
+    reach = [F.greatest(F.lit(1), F.ceil(r / s).cast("int")) for s in spacing]
+    axis = [F.sequence(-n, n) for n in reach]
     sz, sy, sx = spacing
     every = F.flatten(F.transform(axis[0], lambda a: F.flatten(F.transform(axis[1], lambda b: F.transform(axis[2], lambda c: F.struct(a.alias("dz"), b.alias("dy"), c.alias("dx")))))))
     return F.filter(
         every,
-        lambda o: (o["dz"] * sz) * (o["dz"] * sz) + (o["dy"] * sy) * (o["dy"] * sy) + (o["dx"] * sx) * (o["dx"] * sx) <= radius_mm * radius_mm + 1e-6,
+        lambda o: (o["dz"] * sz) * (o["dz"] * sz) + (o["dy"] * sy) * (o["dy"] * sy) + (o["dx"] * sx) * (o["dx"] * sx) <= r * r + 1e-6,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenframe.operators.percase import join_case
 from lumenframe.operators.ranking import numbered
 from lumenframe.operators.spatial import pairs_within_self
 from lumenframe.session import cut
@@ -104,3 +105,18 @@ def label_mask(mask: DataFrame) -> DataFrame:
     return named.select(
         "case_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "first_cell", "label"
     )
+
+
+def merged_markers(seeds: DataFrame, spacing: DataFrame, merge_mm: float) -> DataFrame:
+    """Seed patches, those with centroids at most ``merge_mm`` apart joined, numbered densely.
+
+    Labels follow the first cell of the merged group in scan order.
+    """
+    patches = cut(label_mask(seeds), "patches")
+    mid = patches.groupBy("case_id", F.col("label").alias("id")).agg(*[F.avg(c).alias(f"c{c}") for c in "zyx"])
+    mid = join_case(mid, spacing.select("case_id", "sz", "sy", "sx"))
+    mid = mid.select("case_id", "id", *[(F.col(f"c{c}") * F.col(f"s{c}")).alias(f"p{c}") for c in "zyx"])
+    merged = cut(merge_close(cut(mid, "patch-centres"), merge_mm, xyz=("pz", "py", "px")), "patch-groups")
+    names = numbered(merged.select("case_id", "cluster").distinct(), ["case_id"], [F.col("cluster")], "label")
+    groups = merged.select("case_id", "id", "cluster").join(names, ["case_id", "cluster"]).select("case_id", "id", "label")
+    return patches.withColumnRenamed("label", "id").join(groups, ["case_id", "id"]).select("case_id", "z", "y", "x", "label")

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as geo
+from lumenframe.operators.percase import join_case
 
 CELL = ["case_id", "z", "y", "x"]
 
@@ -38,10 +39,8 @@ def face_neighbours(mask: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return _shift(mask, geo.neighbour_offsets(6), keep)
 
 
-def ball_dilate(mask: DataFrame, radius_mm: float, spacing: DataFrame) -> DataFrame:
+def ball_dilate(mask: DataFrame, radius_mm: float | Column, spacing: DataFrame) -> DataFrame:
     """Dilation by a physical ball; ``spacing(case_id, sz, sy, sx)``."""
-    from lumenframe.operators.percase import join_case
-
     j = join_case(mask.select(*CELL), spacing.select("case_id", "sz", "sy", "sx"))
     moved = j.withColumn("__o", F.explode(geo.ball_offsets(radius_mm, [F.col("sz"), F.col("sy"), F.col("sx")])))
     return moved.select(
@@ -51,8 +50,6 @@ def ball_dilate(mask: DataFrame, radius_mm: float, spacing: DataFrame) -> DataFr
 
 def ball_erode(mask: DataFrame, radius_mm: float, spacing: DataFrame) -> DataFrame:
     """Cells whose whole physical ball lies in the mask (outside the grid counts as background)."""
-    from lumenframe.operators.percase import join_case
-
     sp = spacing.select("case_id", "sz", "sy", "sx")
     j = join_case(mask.select(*CELL), sp.withColumn("__ball", geo.ball_offsets(radius_mm, [F.col("sz"), F.col("sy"), F.col("sx")])))
     moved = j.select("case_id", "z", "y", "x", F.size("__ball").alias("need"), F.explode("__ball").alias("o"))

@@ -38,19 +38,14 @@ def with_seed_masks(cells: DataFrame, parent: DataFrame, spacing: DataFrame, p:
         seed = seed | (F.coalesce("__contact", F.lit(False)) & F.col("outward"))
     bright = F.col("hu").between(F.col("p10"), F.col("blood_high")) & ~F.col("parent") & F.col("shell")
     dim = F.col("blood") & F.col("shell") & (F.col("vesselness") >= F.col("v_thresh") * p.dim_tube_share)
-    out = out.withColumns({"seed": seed, "allowed": bright | dim})
+    out = out.withColumns({"seed": F.coalesce(seed, F.lit(False)), "allowed": F.coalesce(bright | dim, F.lit(False))})
     out = out.withColumn("sheet", F.col("ring") & ~F.col("seed"))
     return out.drop("__reach", "__contact")
 
 
 def contact_ring(parent: DataFrame, spacing: DataFrame) -> DataFrame:
     """Cells within 1.1 of the smallest spacing of the parent, outside it."""
-    groups = [r[0] for r in spacing.select(F.least("sz", "sy", "sx").alias("s")).distinct().limit(1000).collect()]
-    out = None
-    for s in groups:
-        part = spacing.where(F.least("sz", "sy", "sx") == s)
-        grown = ball_dilate(parent.join(part.select("case_id"), "case_id", "left_semi"), s * 1.1, part)
-        out = grown if out is None else out.unionByName(grown)
+    out = ball_dilate(parent, F.least("sz", "sy", "sx") * 1.1, spacing)
     return out.join(parent.select(*CELL), CELL, "left_anti")
 
 

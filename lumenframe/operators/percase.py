@@ -53,7 +53,7 @@ def exact_quantiles(
     counts = cut(counts, "value-counts")
     widest = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
     if widest <= held:
-        q = F.percentile("__v", F.array(*[F.lit(float(x)) for x in qs]), "__n").alias("__q")
+        q = F.percentile("__v", F.array(*[F.lit(float(x)) for x in qs]), F.col("__n")).alias("__q")
         out = counts.groupBy(*group).agg(q)
         return out.select(*group, *[F.get("__q", i).alias(n) for i, n in enumerate(names)])
     return _ranked_quantiles(counts, group, qs, names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenframe.plans.catalog.landmark_queries import LANDMARK_QUERIES
+from lumenframe.plans.catalog.lattice_queries import LATTICE_QUERIES
 from lumenframe.plans.catalog.review_queries import REVIEW_QUERIES
 
-REGISTRY = {**LANDMARK_QUERIES, **REVIEW_QUERIES}
+REGISTRY = {**LANDMARK_QUERIES, **REVIEW_QUERIES, **LATTICE_QUERIES}
