@@ -23,7 +23,6 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         "case_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     e = cut(e.distinct(), "cc-edges")
-    seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("case_id", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -34,20 +33,12 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             .select("case_id", F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        large = cut(large, "cc-large")
         # small star: a node and its lower neighbours move to the least of them
         low = large.groupBy("case_id", "u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, ["case_id", "u"])
-            .select("case_id", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        e = cut(small, "cc-small")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        small = large.join(low, ["case_id", "u"]).select("case_id", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.where(F.col("u") != F.col("v")).distinct(), "cc-stars")
+        if _only_stars(e):
             break
-        seen = now
     else:
         raise RuntimeError("components not settled")
     nodes = e.select("case_id", F.col("u").alias("node"), F.col("v").alias("root"))
@@ -55,6 +46,14 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return nodes.unionByName(roots)
 
 
+def _only_stars(e: DataFrame) -> bool:
+    """Whether every node is either a centre or has exactly one edge to a centre."""
+    one, none = F.lit(1), F.lit(0)
+    ends = F.array(F.struct(F.col("u").alias("n"), one.alias("a"), none.alias("b")), F.struct(F.col("v").alias("n"), none.alias("a"), one.alias("b")))
+    roles = e.select("case_id", F.explode(ends).alias("r")).groupBy("case_id", "r.n").agg(F.sum("r.a").alias("a"), F.max("r.b").alias("b"))
+    return roles.where((F.col("a") > 1) | ((F.col("a") > 0) & (F.col("b") > 0))).isEmpty()
+
+
 def merge_close(points: DataFrame, radius: float, ident: str = "id", xyz=("x", "y", "z")) -> DataFrame:
     """Single-linkage clusters of points at most ``radius`` apart: adds ``cluster`` (least id)."""
     slim = points.select("case_id", F.col(ident).alias("id"), *xyz)
@@ -114,7 +113,7 @@ def merged_markers(seeds: DataFrame, spacing: DataFrame, merge_mm: float) -> Dat
     """
     patches = cut(label_mask(seeds), "patches")
     mid = patches.groupBy("case_id", F.col("label").alias("id")).agg(*[F.avg(c).alias(f"c{c}") for c in "zyx"])
-    mid = join_case(mid, spacing.select("case_id", "sz", "sy", "sx"))
+    mid = join_case(mid, spacing, "sz", "sy", "sx")
     mid = mid.select("case_id", "id", *[(F.col(f"c{c}") * F.col(f"s{c}")).alias(f"p{c}") for c in "zyx"])
     merged = cut(merge_close(cut(mid, "patch-centres"), merge_mm, xyz=("pz", "py", "px")), "patch-groups")
     names = numbered(merged.select("case_id", "cluster").distinct(), ["case_id"], [F.col("cluster")], "label")

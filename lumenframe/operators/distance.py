@@ -21,7 +21,7 @@ def distance_from(seeds: DataFrame, grid: DataFrame, radius_mm: float) -> DataFr
     pass shuffles one row per reached cell, partitioned by line; the offsets are expanded and
     reduced inside the line, so no pass multiplies shuffled rows. Returns ``(case_id, z, y, x, d2)``.
     """
-    attach = case_joiner(grid.select("case_id", "sz", "sy", "sx", *BOX))
+    attach = case_joiner(grid, "sz", "sy", "sx", *BOX)
     limit = radius_mm * radius_mm * (1 + 1e-12)
     # along z only the ends of each seed run reach outwards
     line = W.partitionBy("case_id", "y", "x").orderBy("z")
@@ -70,7 +70,7 @@ def depth_inside(cells: DataFrame, grid: DataFrame, key: tuple[str, ...] = (), f
     else:
         tagged, own = cells, grid.select("case_id", "sz", "sy", "sx", *BOX)
     own = cut(own, "depth-grid")
-    rim = case_joiner(own, materialise=False)(_shift(tagged, geo.neighbour_offsets(6)).distinct())
+    rim = case_joiner(own)(_shift(tagged, geo.neighbour_offsets(6)).distinct())
     inside = F.col("z").between(F.col("z0"), F.col("z1")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
     rim = cut(rim.where(inside).select(*CELL).join(tagged, CELL, "left_anti"), "depth-rim")
     radius, settled, open_ = first_mm, None, tagged

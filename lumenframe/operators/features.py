@@ -21,7 +21,7 @@ INST = ["case_id", "inst_id"]
 
 def in_mm(cells: DataFrame, spacing: DataFrame) -> DataFrame:
     """Adds physical offsets ``pz, py, px`` (index times spacing)."""
-    j = join_case(cells, spacing.select("case_id", "sz", "sy", "sx"))
+    j = join_case(cells, spacing, "sz", "sy", "sx")
     return j.withColumns({f"p{c}": F.col(c) * F.col(f"s{c}") for c in "zyx"})
 
 
@@ -55,14 +55,14 @@ def origin_diameter(contact: DataFrame, spacing: DataFrame, key: Sequence[str] =
     ``contact`` carries ``depth_mm``.
     """
     g = contact.groupBy(*key).agg(F.count(F.lit(1)).alias("n_contact"), F.max("depth_mm").alias("__r"))
-    g = join_case(g, spacing.select("case_id", "sz", "sy", "sx"))
+    g = join_case(g, spacing, "sz", "sy", "sx")
     area = contact_area_diameter(F.col("n_contact"), voxel_mm3())
     return g.select(*key, "n_contact", F.greatest(area, 2.0 * F.coalesce("__r", F.lit(0.0))).alias("diameter_mm"))
 
 
 def reach(cells: DataFrame, ostia: DataFrame, spacing: DataFrame, key: Sequence[str] = INST) -> DataFrame:
     """Outward extent (largest wall distance) and span (largest distance from the origin point)."""
-    j = join_case(cells.join(ostia.select(*key, "oz", "oy", "ox"), list(key)), spacing.select("case_id", "sz", "sy", "sx"))
+    j = join_case(cells.join(ostia.select(*key, "oz", "oy", "ox"), list(key)), spacing, "sz", "sy", "sx")
     d = la.norm([(F.col(c) - F.col(f"o{c}")) * F.col(f"s{c}") for c in "zyx"])
     aggs = [F.max(d).alias("span_mm")]
     if "dist_mm" in cells.columns:
@@ -83,7 +83,7 @@ def fallback_seeds(cells: DataFrame, ostia: DataFrame, spacing: DataFrame, p: Pa
     score prefers cells close to that distance from the origin and deep in the shell; ties go to
     the first cell in scan order.
     """
-    j = join_case(cells.join(ostia.select(*INST, "oz", "oy", "ox"), INST), spacing.select("case_id", "sz", "sy", "sx"))
+    j = join_case(cells.join(ostia.select(*INST, "oz", "oy", "ox"), INST), spacing, "sz", "sy", "sx")
     step = [(F.col(c) - F.col(f"o{c}")) * F.col(f"s{c}") for c in "zyx"]
     d2 = la.dot(step, step)
     lim = p.min_path_mm * p.min_path_mm
@@ -101,7 +101,7 @@ def context_fractions(ostia: DataFrame, voxels: DataFrame, calib: DataFrame, spa
     ``ostia(case_id, inst_id, oz, oy, ox, head_z, head_y, head_x)``; ``voxels`` carries hu, parent
     and blood. Every origin probes the fixed box of lattice cells around it.
     """
-    o = join_case(ostia, spacing.select("case_id", "sz", "sy", "sx"))
+    o = join_case(ostia, spacing, "sz", "sy", "sx")
     r = p.context_radius_mm
     for c in "zyx":
         n = F.ceil(F.lit(r) / F.col(f"s{c}")).cast("int") + 1
@@ -158,7 +158,7 @@ def strip_landmarks(contact: DataFrame, cells: DataFrame, spacing: DataFrame, p:
     near = target.groupBy(*INST).agg(
         F.min_by(F.struct("z", "y", "x"), F.struct(la.dot(gap, gap).alias("g"), F.col("z"), F.col("y"), F.col("x"))).alias("seed"), F.first("s").alias("s")
     )
-    near = join_case(near, spacing.select("case_id", "sz", "sy", "sx"))
+    near = join_case(near, spacing, "sz", "sy", "sx")
     return near.select(
         *INST, *[(F.col(f"s.p{c}") / F.col(f"s{c}")).alias(f"strip_o{c}") for c in "zyx"], *[F.col(f"seed.{c}").cast("double").alias(f"strip_s{c}") for c in "zyx"]
     )

@@ -28,7 +28,7 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
     round relaxes every brick to its own fixpoint and then exchanges a one-cell halo, so the number
     of rounds follows the number of bricks a path crosses, not its number of steps.
     """
-    attach = case_joiner(spacing.select("case_id", "sz", "sy", "sx"))
+    attach = case_joiner(spacing, "sz", "sy", "sx")
     start = allowed.select(*CELL).join(markers.groupBy(*CELL).agg(F.min("label").cast("long").alias("key")), CELL, "left")
     state = cut(start.withColumn("changed", F.lit(False)), "grow")
     kind = allowed.schema["case_id"].dataType.simpleString()

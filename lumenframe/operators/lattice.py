@@ -41,7 +41,7 @@ def face_neighbours(mask: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def ball_dilate(mask: DataFrame, radius_mm: float | Column, spacing: DataFrame) -> DataFrame:
     """Dilation by a physical ball; ``spacing(case_id, sz, sy, sx)``."""
-    j = join_case(mask.select(*CELL), spacing.select("case_id", "sz", "sy", "sx"))
+    j = join_case(mask.select(*CELL), spacing, "sz", "sy", "sx")
     moved = j.withColumn("__o", F.explode(geo.ball_offsets(radius_mm, [F.col("sz"), F.col("sy"), F.col("sx")])))
     return moved.select(
         "case_id", (F.col("z") + F.col("__o.dz")).alias("z"), (F.col("y") + F.col("__o.dy")).alias("y"), (F.col("x") + F.col("__o.dx")).alias("x")

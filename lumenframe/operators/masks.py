@@ -63,7 +63,7 @@ def cap_slices(voxels: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def drop_cap_seeds(seeds: DataFrame, caps: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Removes seeds within the margin of a flat cut end."""
-    j = join_case(seeds, caps.select("case_id", "z_first", "z_last", "lo_cap", "hi_cap"))
+    j = join_case(seeds, caps, "z_first", "z_last", "lo_cap", "hi_cap")
     low = F.col("lo_cap") & (F.col("z") < F.col("z_first") + p.cap_margin)
     high = F.col("hi_cap") & (F.col("z") >= F.col("z_last") - p.cap_margin + 1)
     return j.where(~low & ~high).drop("z_first", "z_last", "lo_cap", "hi_cap")

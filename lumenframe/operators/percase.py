@@ -14,14 +14,18 @@ BROADCAST_CASES = 200_000
 SALTS = 32
 
 
-def case_joiner(per_case: DataFrame, materialise: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """A function that inner-joins ``per_case`` (one row per case) onto a large table.
+def case_joiner(per_case: DataFrame, *columns: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that inner-joins ``columns`` of ``per_case`` (one row per case) onto a large table.
 
-    The table is written once and counted. Up to ``BROADCAST_CASES`` rows it is broadcast; beyond
-    that both sides are salted, so that one case holding much of the data is spread over tasks.
+    The rows are counted once per table. Up to ``BROADCAST_CASES`` rows are broadcast; beyond that
+    both sides are salted, so that one case holding much of the data is spread over tasks.
     """
-    small = cut(per_case, "per-case") if materialise else per_case
-    if small.count() <= BROADCAST_CASES:
+    small = per_case.select("case_id", *columns) if columns else per_case
+    rows = per_case.__dict__.get("_counted_rows")
+    if rows is None:
+        rows = per_case.limit(BROADCAST_CASES + 1).count()
+        per_case.__dict__["_counted_rows"] = rows
+    if rows <= BROADCAST_CASES:
         return lambda df: df.join(F.broadcast(small), "case_id")
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -32,8 +36,8 @@ def case_joiner(per_case: DataFrame, materialise: bool = True) -> Callable[[Data
     return salted
 
 
-def join_case(df: DataFrame, per_case: DataFrame) -> DataFrame:
-    return case_joiner(per_case)(df)
+def join_case(df: DataFrame, per_case: DataFrame, *columns: str) -> DataFrame:
+    return case_joiner(per_case, *columns)(df)
 
 
 HELD_VALUES = 1_000_000

@@ -67,7 +67,7 @@ def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Para
 
     Every start yields at least its own point.
     """
-    s = join_case(starts, spacing.select("case_id", "sz", "sy", "sx"))
+    s = join_case(starts, spacing, "sz", "sy", "sx")
     reach = p.max_trace_mm + 3.0 * la.norm([F.col("sz"), F.col("sy"), F.col("sx")])
     gap = la.norm([(F.col(c) - F.col(f"w{c}")) * F.col(f"s{c}") for c in "zyx"])
     seen = s.join(lumen.select("case_id", "inst_id", "z", "y", "x", "dist_mm", "depth_mm"), ["case_id", "inst_id"]).where(gap <= reach)
@@ -94,7 +94,7 @@ def walk_summary(paths: DataFrame, spacing: DataFrame, p: Params = DEFAULTS) ->
     valid from 85 % of that length. The heading is the main axis of the first ~5 mm (chord below
     four points), pointing along the path.
     """
-    j = join_case(paths, spacing.select("case_id", "sz", "sy", "sx"))
+    j = join_case(paths, spacing, "sz", "sy", "sx")
     mm = j.withColumns({"pz": F.col("z") * F.col("sz"), "py": F.col("y") * F.col("sy"), "px": F.col("x") * F.col("sx")})
     # a walk has a few dozen points at most
     before = W.partitionBy(*WALK).orderBy("step").rowsBetween(W.unboundedPreceding, -1)

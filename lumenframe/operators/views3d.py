@@ -19,7 +19,7 @@ def sample_at(points: DataFrame, at: Sequence[str], cells: DataFrame, values: Se
 
 
 def _box(points: DataFrame, at: Sequence[str], spacing: DataFrame, radius_mm: float) -> DataFrame:
-    p = join_case(points, spacing.select("case_id", "sz", "sy", "sx"))
+    p = join_case(points, spacing, "sz", "sy", "sx")
     for c, a in zip("zyx", at):
         n = F.greatest(F.lit(1), F.ceil(F.lit(radius_mm) / F.col(f"s{c}")).cast("int"))
         mid = F.rint(F.col(a)).cast("int")

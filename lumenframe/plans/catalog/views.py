@@ -110,3 +110,53 @@ VERD = """verd AS (
 
 def with_sql(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+PHANTOM_SIZE = (20, 36, 36)  # z, y, x
+PHANTOM_SPACING = (1.5, 0.8, 0.8)
+
+
+def phantom_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """One scan per four suppliers."""
+    z, y, x = PHANTOM_SIZE
+    sz, sy, sx = PHANTOM_SPACING
+    return table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 4).cast("long").alias("case_id")).distinct().select(
+        "case_id",
+        F.array(F.lit(x), F.lit(y), F.lit(z)).alias("size"), F.array(F.lit(sx), F.lit(sy), F.lit(sz)).alias("spacing"),
+        F.array(F.lit(-14.0), F.lit(-14.0), F.lit(100.0)).alias("origin"),
+        F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)]).alias("direction"),
+    )
+
+
+def phantom_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier as a straight side tube: height by rank in its scan, angle and radius by its columns."""
+    k = F.col("s_suppkey") % 4
+    angle = F.col("s_nationkey") * (2 * 3.141592653589793 / 25)
+    return table(spark, sf, "supplier").select(
+        F.floor(F.col("s_suppkey") / 4).cast("long").alias("case_id"), F.col("s_suppkey").alias("branch"),
+        (k * 5 + 2).alias("bz"), F.cos(angle).alias("ux"), F.sin(angle).alias("uy"),
+        (1.3 + F.pmod(F.abs("s_acctbal"), F.lit(700.0)) / 1000.0).alias("tube_mm"),
+    )
+
+
+def phantom_voxels(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense scans: a parent tube of 4 mm along z and the side tubes, over a dim textured background."""
+    nz, ny, nx = PHANTOM_SIZE
+    sz, sy, sx = PHANTOM_SPACING
+    cells = phantom_cases(spark, sf).select("case_id", F.explode(F.sequence(F.lit(0), F.lit(nz - 1))).alias("z"))
+    cells = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    px, py, pz = (F.col("x") - (nx - 1) / 2) * sx, (F.col("y") - (ny - 1) / 2) * sy, F.col("z") * sz
+    branches = phantom_branches(spark, sf).groupBy("case_id").agg(F.collect_list(F.struct("bz", "ux", "uy", "tube_mm")).alias("tubes"))  # four per scan
+
+    def inside(t):
+        along = px * t["ux"] + py * t["uy"]
+        across = px * t["uy"] - py * t["ux"]
+        dz = pz - t["bz"] * sz
+        return (along >= 0) & (along <= 13.0) & (across * across + dz * dz <= t["tube_mm"] * t["tube_mm"])
+
+    parent = px * px + py * py <= 16.0
+    noise = F.pmod(F.xxhash64("case_id", "z", "y", "x"), F.lit(21)) - 10
+    tube = F.exists("tubes", inside)
+    return cells.join(branches, "case_id").select(
+        "case_id", "z", "y", "x", (F.when(parent | tube, 320.0).otherwise(40.0) + noise).alias("hu"), parent.alias("parent")
+    )
