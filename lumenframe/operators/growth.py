@@ -53,8 +53,7 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
             for (dz, dy, dx), c in zip(steps, cost):
                 src = key[tuple(slice(max(0, d), shape[0] + min(0, d)) for d in (dz, dy, dx))]
                 dst = tuple(slice(max(0, -d), shape[0] + min(0, -d)) for d in (dz, dy, dx))
-                key[dst] = np.minimum(key[dst], np.where(src < _FAR, src + c, _FAR))
-            key[~free] = _FAR
+                key[dst] = np.where(free[dst] & (src < _FAR), np.minimum(key[dst], src + c), key[dst])
             if np.array_equal(key, old):
                 break
         own = ((at >= lo) & (at < lo + edge)).all(axis=1)
