@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe import schema
 from lumenframe.functions.rounding import half_even
@@ -24,9 +25,9 @@ def _flatten(exploded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return exploded.select("case_id", F.col("d.instance_id").alias("id"), *flat, F.col("d.radius_mm").alias("radius_mm"), *keep)
 
 
-def read_documents(spark: SparkSession, path: str | list[str], document: object = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], document: T.StructType | None = None) -> DataFrame:
     """One row per document, with its path and any unparsable text kept in ``_corrupt``."""
-    shape = (document or schema.PREDICTION).add("_corrupt", "string") if "_corrupt" not in (document or schema.PREDICTION).names else document
+    shape = T.StructType([*(document or schema.PREDICTION).fields, T.StructField("_corrupt", T.StringType())])
     return (
         spark.read.schema(shape)
         .option("multiLine", True)
@@ -53,10 +54,10 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Reference landmarks; the folder names the case when the document does not."""
+    """Reference landmarks; the folder of the document names the case."""
     docs = read_documents(spark, path, schema.ANNOTATION)
     folder = F.regexp_extract("source_path", r"([^/]+)/[^/]+$", 1)
-    docs = docs.withColumn("case_id", F.coalesce("case_id", folder)).select("case_id", F.explode("daughters").alias("d"))
+    docs = docs.withColumn("case_id", folder).select("case_id", F.explode("daughters").alias("d"))
     # Two spellings of one confidence grade.
     grade = F.coalesce("d.confidence", "d.guide.confidence", F.lit(""))
     out = docs.withColumns(

@@ -99,7 +99,7 @@ def phantom(kind="side", shape=(24, 34, 34), sp=SP, seed=0):
         v = np.stack([pz - zc, py, px], -1)
         t = v @ d
         r2 = (v**2).sum(-1) - t**2
-        hu[(t >= 0) & (t <= length) & (r2 <= r * r)] = 300.0
+        hu[(t >= 0) & (t <= length) & (r2 <= r * r)] = 320.0
 
     if kind == "side":
         tube(18.0, 0.0)

@@ -10,7 +10,7 @@ LM = "case_id string, id string, x double, y double, z double, sx double, sy dou
 
 
 def lm(spark, rows):
-    full = [(c, i, *p, p[0] + 5 * d[0], p[1] + 5 * d[1], p[2] + 5 * d[2], *d, r) for c, i, p, d, r in rows]
+    full = [(c, i, *map(float, (*p, p[0] + 5 * d[0], p[1] + 5 * d[1], p[2] + 5 * d[2], *d, r))) for c, i, p, d, r in rows]
     return spark.createDataFrame(full, LM)
 
 
@@ -24,9 +24,9 @@ def test_assignment_against_permutations():
 
 
 def test_gate_comes_after_the_assignment(spark):
-    # the best total pairs g1-p2 and g2-p1 although g1-p1 alone is nearer
-    gt = lm(spark, [("c", "g1", (0.0, 0, 0), (0, 0, 1.0), 1.0), ("c", "g2", (-9.0, 0, 0), (0, 0, 1.0), 1.0)])
-    pred = lm(spark, [("c", "p1", (1.0, 0, 0), (0, 0, 1.0), 1.0), ("c", "p2", (11.5, 0, 0), (0, 0, 1.0), 1.0)])
+    # g1-p1 lies inside the gate, but the best total gives p1 to g2 and leaves g1 with a far one
+    gt = lm(spark, [("c", "g1", (0.0, 0, 0), (0, 0, 1.0), 1.0), ("c", "g2", (2.0, 0, 0), (0, 0, 1.0), 1.0)])
+    pred = lm(spark, [("c", "p1", (1.2, 0, 0), (0, 0, 1.0), 1.0), ("c", "p2", (-11.0, 0, 0), (0, 0, 1.0), 1.0)])
     got = {(r.gt_id, r.pred_id) for r in matching.optimal_matches(gt, pred).collect()}
     assert got == {("g2", "p1")}
 
