@@ -88,25 +88,33 @@ def contact_patch_split(inst: DataFrame, contact: DataFrame, parent: DataFrame,
     )
     sep = la.norm([F.col(f"d{c}") * F.col(f"s{c}") for c in "zyx"])
     two = two.where((F.col("k") == 2) & (F.col("least") >= 3) & sep.between(near_mm, far_mm)).select("case_id")
-    marks = marks.join(two, "case_id", "left_semi").select("case_id.*", "z", "y", "x", "label")
-    return _regrow(marks, inst.join(two.select("case_id.*"), INST, "left_semi"), parent, spacing, min_marks=1, min_cells=1, need_contact=False)
+    marks = _apart(marks.join(two, "case_id", "left_semi").select("case_id", "z", "y", "x", "label"), inst)
+    return _regrow(marks, inst.join(_apart(two, inst), INST, "left_semi"), parent, spacing, min_marks=1, min_cells=1, need_contact=False)
 
 
 def _as_cases(cells: DataFrame) -> DataFrame:
     """Each instance as a case of its own, so that lattice operators keep instances apart."""
-    return cells.select(F.struct(*INST).alias("case_id"), "z", "y", "x")
+    return cells.select(F.to_json(F.struct(*INST)).alias("case_id"), "z", "y", "x")
+
+
+def _apart(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Turns the key of ``_as_cases`` back into case and instance columns."""
+    kinds = ", ".join(f"{c} {like.schema[c].dataType.simpleString()}" for c in INST)
+    rest = [c for c in df.columns if c != "case_id"]
+    return df.select(F.from_json("case_id", kinds).alias("__k"), *rest).select("__k.*", *rest)
 
 
 def _spacing_of(cells: DataFrame, spacing: DataFrame) -> DataFrame:
     own = join_case(cells.select(*INST).distinct(), spacing, "sz", "sy", "sx")
-    return cut(own.select(F.struct(*INST).alias("case_id"), "sz", "sy", "sx"), "split-spacing")
+    return cut(own.select(F.to_json(F.struct(*INST)).alias("case_id"), "sz", "sy", "sx"), "split-spacing")
 
 
 def _regrow(marks: DataFrame, cells: DataFrame, parent: DataFrame, spacing: DataFrame, min_marks: int, min_cells: int, need_contact: bool) -> DataFrame:
     if marks.isEmpty():
         return cells.select(*INST, "z", "y", "x", F.lit(0).alias("part")).limit(0)
-    grown = growth.grow(marks.select(F.struct(*INST).alias("case_id"), "z", "y", "x", "label"), _as_cases(cells), _spacing_of(cells, spacing))
-    parts = cut(grown.select("case_id.*", "z", "y", "x", F.col("label").cast("int").alias("part")), "split-parts")
+    keyed = marks.select(F.to_json(F.struct(*INST)).alias("case_id"), "z", "y", "x", "label")
+    grown = growth.grow(keyed, _as_cases(cells), _spacing_of(cells, spacing))
+    parts = cut(_apart(grown.select("case_id", "z", "y", "x", F.col("label").cast("int").alias("part")), cells), "split-parts")
     n_marks = marks.groupBy(*INST, F.col("label").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("m"))
     n_cells = parts.groupBy(*INST, "part").agg(F.count(F.lit(1)).alias("n"))
     ok = n_cells.join(n_marks, [*INST, "part"]).where((F.col("n") >= min_cells) & (F.col("m") >= min_marks))

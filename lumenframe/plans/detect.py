@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import linalg as la
@@ -52,7 +53,8 @@ class Detection:
     landmarks: DataFrame  # numbered branches in LPS millimetres with their features
     rejected: DataFrame  # case_id, inst_id, reason
     decisions: DataFrame  # duplicate pairs with their reason and loser
-    instances: DataFrame  # case_id, inst_id, voxels
+    instances: DataFrame  # labelled cells
+    maps: SearchMaps
 
 
 def search_maps(voxels: DataFrame, cases: DataFrame, p: Params = DEFAULTS, fill: float = 0.0) -> SearchMaps:
@@ -202,14 +204,11 @@ def detect(voxels: DataFrame, cases: DataFrame, p: Params = DEFAULTS, fill: floa
     landmarks, dropped, decisions = finish(cands, cases, p)
     seedless = maps.grid.select("case_id").join(maps.cells.where("seed").select("case_id").distinct(), "case_id", "left_anti")
     none = seedless.select("case_id", F.lit(None).cast("long").alias("inst_id"), F.lit("no_seeds").alias("reason"))
-    sizes = inst.groupBy(*INST).agg(F.count(F.lit(1)).alias("voxels"))
-    return Detection(landmarks, rejected.unionByName(dropped).unionByName(none), decisions, sizes)
+    return Detection(landmarks, rejected.unionByName(dropped).unionByName(none), decisions, inst, maps)
 
 
 def reject_report(rejected: DataFrame, first: int = 12) -> DataFrame:
     """First reasons of each case in instance order, and how many more there are."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("case_id").orderBy(F.coalesce("inst_id", F.lit(0)), "reason")
     top = rejected.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= first)
     text = F.concat(F.lit("id"), F.coalesce(F.col("inst_id").cast("string"), F.lit("-")), F.lit(":"), F.col("reason"))
