@@ -5,6 +5,8 @@ A brick kernel sees at most (edge + 2*halo)^3 cells, whatever the size of the ca
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,13 @@ def with_bricks(cells: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
         lo, hi = F.floor((F.col(a) - halo) / edge), F.floor((F.col(a) + halo) / edge)
         out = out.withColumn(f"b{a}", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
     return out
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partitions rows by the group key of a kernel into the session's full number of partitions.
+
+    Kernel input is small in bytes and heavy in work; without a fixed number AQE would merge it
+    into few tasks. The following grouping on the same keys adds no shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as geo
-from lumenframe.operators.bricks import EDGE, KEY, with_bricks
+from lumenframe.operators.bricks import EDGE, KEY, spread, with_bricks
 from lumenframe.operators.lattice import CELL
 from lumenframe.operators.percase import case_joiner
 from lumenframe.session import cut
@@ -33,7 +33,6 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
     state = cut(start.withColumn("changed", F.lit(False)), "grow")
     kind = allowed.schema["case_id"].dataType.simpleString()
     steps = geo.neighbour_offsets(26)
-    shape = (edge + 2,) * 3
 
     def relax(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
@@ -41,7 +40,9 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
         sp = np.array([one["sz"], one["sy"], one["sx"]])
         cost = [np.int64(round(float(np.linalg.norm(np.array(o) * sp)) * 1000.0)) << _LABEL_BITS for o in steps]
         at = pdf[["z", "y", "x"]].to_numpy()
-        ix = tuple((at - lo + 1).T)
+        first = at.min(axis=0)
+        shape = tuple(at.max(axis=0) - first + 1)  # the cells of a brick fill a fraction of it
+        ix = tuple((at - first).T)
         before = pdf["key"].fillna(-1).to_numpy(np.int64)
         before = np.where(before < 0, _FAR, before)
         free = np.zeros(shape, bool)
@@ -51,8 +52,8 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
         while (key < _FAR).any():
             old = key.copy()
             for (dz, dy, dx), c in zip(steps, cost):
-                src = key[tuple(slice(max(0, d), shape[0] + min(0, d)) for d in (dz, dy, dx))]
-                dst = tuple(slice(max(0, -d), shape[0] + min(0, -d)) for d in (dz, dy, dx))
+                src = key[tuple(slice(max(0, d), n + min(0, d)) for d, n in zip((dz, dy, dx), shape))]
+                dst = tuple(slice(max(0, -d), n + min(0, -d)) for d, n in zip((dz, dy, dx), shape))
                 key[dst] = np.where(free[dst] & (src < _FAR), np.minimum(key[dst], src + c), key[dst])
             if np.array_equal(key, old):
                 break
@@ -67,7 +68,7 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
 
     for _ in range(max_rounds):
         bricked = attach(with_bricks(state.drop("changed"), 1, edge))
-        state = cut(bricked.groupBy(*KEY).applyInPandas(relax, f"case_id {kind}, z int, y int, x int, key bigint, changed boolean"), "grow")
+        state = cut(spread(bricked, KEY).groupBy(*KEY).applyInPandas(relax, f"case_id {kind}, z int, y int, x int, key bigint, changed boolean"), "grow")
         if state.where("changed").isEmpty():
             break
     else:

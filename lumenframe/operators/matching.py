@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import linalg as la
+from lumenframe.operators.bricks import spread
 from lumenframe.operators.spatial import pairs_within
 from lumenframe.params import DEFAULTS, Params
 from lumenframe.session import cut
@@ -92,7 +93,7 @@ def optimal_matches(
     fits = size.where((F.col("entries") > 0) & (F.col("entries") <= local_entries))
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = f"case_id {kinds['case_id']}, gt_id {kinds['id']}, pred_id {kinds['id']}, dist_mm double"
-    out = both.join(fits, "case_id", "left_semi").groupBy("case_id").applyInPandas(_solve_case, schema)
+    out = spread(both.join(fits, "case_id", "left_semi"), ["case_id"]).groupBy("case_id").applyInPandas(_solve_case, schema)
     big = [r["case_id"] for r in size.where(F.col("entries") > local_entries).limit(5).collect()]
     if big:
         raise ValueError(f"too many landmarks for an exact assignment in cases {big}")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import linalg as la
+from lumenframe.operators.bricks import spread
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
 
@@ -24,11 +25,12 @@ def _walk(pdf: pd.DataFrame, max_mm: float, min_mm: float) -> list[tuple]:
     """(step, z, y, x, cum_mm, fork) rows of one walk."""
     one = pdf.iloc[0]
     sp = np.array([one["sz"], one["sy"], one["sx"]])
-    cells = {
-        (int(r.z), int(r.y), int(r.x)): (float(r.dist_mm), float(r.depth_mm)) for r in pdf.itertuples() if not pd.isna(r.z)
-    }
+    real = pdf[pdf["z"].notna()]
+    at = map(tuple, real[["z", "y", "x"]].to_numpy(int).tolist())
+    cells = dict(zip(at, zip(real["dist_mm"].tolist(), real["depth_mm"].tolist())))
     here = tuple(int(v) for v in np.rint([one["wz"], one["wy"], one["wx"]]))
     steps = geo.neighbour_offsets(26)
+    lengths = {o: float(np.linalg.norm(np.array(o) * sp)) for o in steps}
     around = lambda c: [(c[0] + a, c[1] + b, c[2] + d) for a, b, d in steps]
     if here not in cells:
         near = [c for c in around(here) if c in cells]
@@ -43,7 +45,7 @@ def _walk(pdf: pd.DataFrame, max_mm: float, min_mm: float) -> list[tuple]:
         for c in around(here):
             if c in seen or c not in cells or cells[c][0] < level - 0.35:
                 continue
-            length = float(np.linalg.norm((np.array(c) - here) * sp))
+            length = lengths[c[0] - here[0], c[1] - here[1], c[2] - here[2]]
             options.append((1.6 * (cells[c][0] - level) + 0.5 * cells[c][1] - 0.05 * length, c, length))
         if not options:
             break
@@ -84,7 +86,7 @@ def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Para
         return out
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in WALK) + ", step int, z int, y int, x int, cum_mm double, fork boolean"
-    return seen.groupBy(*WALK).applyInPandas(solve, schema)
+    return spread(seen, WALK).groupBy(*WALK).applyInPandas(solve, schema)
 
 
 def walk_summary(paths: DataFrame, spacing: DataFrame, p: Params = DEFAULTS) -> DataFrame:

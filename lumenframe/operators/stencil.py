@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.bricks import EDGE, KEY, with_bricks
+from lumenframe.operators.bricks import EDGE, KEY, spread, with_bricks
 from lumenframe.operators.percase import case_joiner
 from lumenframe.params import DEFAULTS, Params
 
@@ -31,9 +31,10 @@ def derivative_kernels(sigma: float) -> list[np.ndarray]:
 
 def _correlate(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
     n = a.shape[axis] - len(k) + 1
-    out = 0.0
-    for i, w in enumerate(k):
-        out = out + w * np.take(a, range(i, i + n), axis=axis)
+    at = lambda i: tuple(slice(i, i + n) if d == axis else slice(None) for d in range(3))
+    out = k[0] * a[at(0)]
+    for i in range(1, len(k)):
+        out += k[i] * a[at(i)]
     return out
 
 
@@ -46,24 +47,30 @@ def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: fl
     h = {}
     for oz, oy, ox in ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1)):
         h[oz, oy, ox] = _correlate(_correlate(along_x[ox], ks[oy], 1), ks[oz], 0)
-    m = np.empty((*h[2, 0, 0].shape, 3, 3))
-    m[..., 0, 0], m[..., 1, 1], m[..., 2, 2] = h[2, 0, 0], h[0, 2, 0], h[0, 0, 2]
-    m[..., 0, 1] = m[..., 1, 0] = h[1, 1, 0]
-    m[..., 0, 2] = m[..., 2, 0] = h[1, 0, 1]
-    m[..., 1, 2] = m[..., 2, 1] = h[0, 1, 1]
+    out = np.zeros(h[2, 0, 0].shape)
+    # two dominant negative eigenvalues need a negative trace; only those cells are decomposed
+    live = h[2, 0, 0] + h[0, 2, 0] + h[0, 0, 2] < 0
+    m = np.empty((int(live.sum()), 3, 3))
+    m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = h[2, 0, 0][live], h[0, 2, 0][live], h[0, 0, 2][live]
+    m[:, 0, 1] = m[:, 1, 0] = h[1, 1, 0][live]
+    m[:, 0, 2] = m[:, 2, 0] = h[1, 0, 1][live]
+    m[:, 1, 2] = m[:, 2, 1] = h[0, 1, 1][live]
     ev = np.linalg.eigvalsh(m)
     ev = np.take_along_axis(ev, np.argsort(np.abs(ev), axis=-1), axis=-1)
-    l1, l2, l3 = ev[..., 0], ev[..., 1], ev[..., 2]
+    l1, l2, l3 = ev[:, 0], ev[:, 1], ev[:, 2]
     tube = (l2 < 0) & (l3 < 0)
     a2, a3 = np.where(tube, np.abs(l2), 1.0), np.where(tube, np.abs(l3), 1.0)
     plate, blob2 = (a2 / a3) ** 2, l1**2 / (a2 * a3)
     s2 = l1**2 + l2**2 + l3**2
     v = (1 - np.exp(-plate / (2 * alpha**2))) * np.exp(-blob2 / (2 * beta**2)) * (1 - np.exp(-s2 / (2 * gamma**2)))
-    return np.where(tube, v, 0.0)
+    out[live] = np.where(tube, v, 0.0)
+    return out
 
 
-def tube_response(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE) -> DataFrame:
-    """``vesselness`` of every cell of ``cells(case_id, z, y, x, hu)``.
+def tube_response(
+    cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``vesselness`` of every cell of ``cells(case_id, z, y, x, hu)``, with hu and ``keep`` passed through.
 
     ``grid`` is as in ``distance_from``. Beyond the grid the volume is mirrored; grid cells without
     a row count as ``fill``. The halo is sized by the finest grid of the cohort.
@@ -74,7 +81,7 @@ def tube_response(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill:
     halo = int(TRUNCATE * widest + 0.5)
     bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
     attach = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), *bounds))
-    bricked = attach(with_bricks(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu")), halo, edge))
+    bricked = attach(with_bricks(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep), halo, edge))
     inside = [(F.col(f"b{a}") >= F.floor(F.col(f"{a}0") / edge)) & (F.col(f"b{a}") <= F.floor(F.col(f"{a}1") / edge)) for a in "zyx"]
     bricked = bricked.where(inside[0] & inside[1] & inside[2])
     scales: Sequence[float] = p.tube_scales_mm
@@ -83,23 +90,24 @@ def tube_response(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
-        own_lo = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
         lo = np.array([int(one[f"{a}0"]) for a in "zyx"])
         hi = np.array([int(one[f"{a}1"]) for a in "zyx"])
-        start = np.maximum(own_lo - halo, lo)
-        stop = np.minimum(own_lo + edge + halo - 1, hi)
+        corner = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
+        own_lo, own_hi = np.maximum(corner, lo), np.minimum(corner + edge - 1, hi)
+        start, stop = np.maximum(own_lo - halo, lo), np.minimum(own_hi + halo, hi)
         at = pdf[["z", "y", "x"]].to_numpy()
+        seen = ((at >= start) & (at <= stop)).all(axis=1)
         block = np.full(stop - start + 1, fill)
-        block[tuple((at - start).T)] = pdf["hu"].to_numpy()
-        pad = [(int(start[i] - (own_lo[i] - halo)), int(own_lo[i] + edge + halo - 1 - stop[i])) for i in range(3)]
-        block = np.pad(block, pad, mode="symmetric")
-        own = ((at >= own_lo) & (at < own_lo + edge)).all(axis=1)
+        block[tuple((at[seen] - start).T)] = pdf["hu"].to_numpy()[seen]
+        block = np.pad(block, [(int(start[i] - own_lo[i] + halo), int(own_hi[i] + halo - stop[i])) for i in range(3)], mode="symmetric")
+        own = ((at >= own_lo) & (at <= own_hi)).all(axis=1)
         mine = at[own]
-        best = np.zeros((edge,) * 3)
+        best = np.zeros(own_hi - own_lo + 1)
         for mm in scales:
             best = np.maximum(best, _response(block, halo, max(least, mm / one["mean_sp"]), alpha, beta, gamma))
-        return pd.DataFrame(
-            {"case_id": one["case_id"], "z": mine[:, 0], "y": mine[:, 1], "x": mine[:, 2], "vesselness": best[tuple((mine - own_lo).T)]}
-        )
+        out = pdf.loc[own, ["case_id", "z", "y", "x", "hu", *keep]].copy()
+        out["vesselness"] = best[tuple((mine - own_lo).T)]
+        return out
 
-    return bricked.groupBy(*KEY).applyInPandas(kernel, f"case_id {kind}, z int, y int, x int, vesselness double")
+    extra = "".join(f", {k} {cells.schema[k].dataType.simpleString()}" for k in keep)
+    return spread(bricked, KEY).groupBy(*KEY).applyInPandas(kernel, f"case_id {kind}, z int, y int, x int, hu double{extra}, vesselness double")
