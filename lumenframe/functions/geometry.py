@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import linalg as la
+from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS
 
 
@@ -151,7 +152,7 @@ def roi_box(voxels: DataFrame, cases: DataFrame, margin_mm: float = DEFAULTS.cro
 
 def crop(voxels: DataFrame, box: DataFrame) -> DataFrame:
     inside = F.col("z").between(F.col("z0"), F.col("z1")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
-    return voxels.join(box, "case_id").where(inside).drop("z0", "z1", "y0", "y1", "x0", "x1")
+    return join_case(voxels, box).where(inside).drop("z0", "z1", "y0", "y1", "x0", "x1")
 
 
 def resample_nearest(mask: DataFrame, grids: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def resample_nearest(mask: DataFrame, grids: DataFrame) -> DataFrame:
     rounds back to it; all other image voxels are 0 and need no row.
     """
     g = grids.select("case_id", "size", "spacing", "origin", "direction", "mask_spacing", "mask_origin", "mask_direction")
-    j = mask.join(g, "case_id")
+    j = join_case(mask, g)
     mi = [F.col("x"), F.col("y"), F.col("z")]
     scaled = [mi[i] * _a("mask_spacing", i) for i in range(3)]
     p = [_a("mask_origin", r) + la.dot([_a("mask_direction", 3 * r + c) for c in range(3)], scaled) for r in range(3)]

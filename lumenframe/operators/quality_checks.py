@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as geo
+from lumenframe.operators.percase import join_case
 
 HIGH_COUNT = 15  # fixed value: more detections than this are flagged
 
@@ -102,7 +103,7 @@ def sanity_flags(cases: DataFrame, rows: DataFrame) -> DataFrame:
             F.when(n > HIGH_COUNT, F.concat(F.lit("high_count:"), n.cast("string"))),
         ))).alias("flag"),
     )
-    j = rows.join(cases, "case_id")
+    j = join_case(rows, cases)
     rid = F.coalesce(F.col("instance_id"), F.lit("?"))
     flags = [
         F.when(~_finite(F.col("radius_mm")), F.concat(F.lit("nan_inf:"), rid, F.lit(".radius"))),

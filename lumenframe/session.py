@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -56,21 +54,3 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def until_settled(
-    state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    progress: Callable[[DataFrame], object],
-    label: str,
-    max_rounds: int = 200,
-) -> DataFrame:
-    """Apply ``step`` with a cut after every round until ``progress`` repeats its value."""
-    state = cut(state, label)
-    seen = progress(state)
-    for _ in range(max_rounds):
-        state = cut(step(state), label)
-        now = progress(state)
-        if now == seen:
-            return state
-        seen = now
-    raise RuntimeError(f"{label}: not settled after {max_rounds} rounds")
