@@ -6,6 +6,9 @@ documents, about ``limit`` bytes of them, so a task's memory depends on the bloc
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +25,12 @@ _PLACE = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * U64(2) + U64(1)
 #: The space characters of ``[\x20\x09-\x0D]``.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
+if sys.platform == "linux":
+    # glibc: keep freed buffers of up to 256 MB for reuse, rather than have the kernel clear new pages for every array
+    with contextlib.suppress(AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 28)
+        ctypes.CDLL(None).mallopt(-1, 1 << 28)
+
 
 class Block(NamedTuple):
     """Whole documents: ids, byte offsets (one more than documents) and the bytes."""
@@ -73,12 +82,15 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that their order is as good as random."""
-    h = h ^ (h >> U64(31))
-    h = h * U64(0xBF58476D1CE4E5B9)
-    h ^= h >> U64(29)
-    h *= U64(0x94D049BB133111EB)
-    h ^= h >> U64(32)
-    return h
+    t = h >> U64(31)
+    t ^= h
+    t *= U64(0xBF58476D1CE4E5B9)
+    u = t >> U64(29)
+    t ^= u
+    t *= U64(0x94D049BB133111EB)
+    np.right_shift(t, U64(32), out=u)
+    t ^= u
+    return t
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -138,18 +150,33 @@ def words_of(block: Block) -> Words:
     return Words(start, end, doc, np.bincount(doc, minlength=n_docs))
 
 
-def word_hashes(block: Block, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(words.start):
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; no span may be empty."""
+    if not len(start):
         return np.zeros(0, U64)
-    lengths = words.end - words.start
+    lengths = end - start
     first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    at = place + np.repeat(words.start, lengths)
-    parts = _BYTE[block.data[at]] * _PLACE[place & 0xFFFF]
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    at = place + np.repeat(start, lengths) if first[-1] != start[-1] else slice(0, len(place))
+    parts = _BYTE[data[at]] * _PLACE[place & 0xFFFF]
     return mix(np.add.reduceat(parts, first) + lengths.astype(U64) * _MUL)
 
 
+def word_hashes(block: Block, words: Words) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return span_hashes(block.data, words.start, words.end)
+
+
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], U64)
+
+
+def heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return view[start] & _HEAD[np.minimum(end - start, 8)]
+
+
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of these lengths: the run each element belongs to, and its place in the run."""
     run = np.repeat(np.arange(len(lengths)), lengths)

@@ -14,7 +14,6 @@ space is one word, however long.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.blocks import binary_column, blocks, bytes_of, spread, texts_of
-from lumenframe.llm.chunks import chunk_list
+from lumenframe.llm.blocks import U64, binary_column, blocks, bytes_of, spread, texts_of
+from lumenframe.llm.chunks import distinct_chunks
 from lumenframe.llm.scratch import partitions
 
 #: Bytes of text in a block: larger blocks send fewer copies of frequent words and need more memory.
@@ -58,18 +57,15 @@ def token_bytes(rank_file: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbered(block, n_buckets: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Distinct words by bucket, each list sorted; the documents' words as numbers in that order; words per document."""
-    words, counts = chunk_list(block)
-    first = dict.fromkeys(words)
-    lists: list[list[bytes]] = [[] for _ in range(n_buckets)]
-    for w in first:
-        lists[zlib.crc32(w) % n_buckets].append(w)
-    n = 0
+    found = distinct_chunks(block)
+    lists: list[list[tuple[bytes, int]]] = [[] for _ in range(n_buckets)]
+    for bucket, pair in zip((found.hashes % U64(n_buckets)).tolist(), zip(found.chunks, range(len(found.chunks)))):
+        lists[bucket].append(pair)
     for one in lists:
         one.sort()
-        for w in one:
-            first[w] = n
-            n += 1
-    return lists, np.fromiter(map(first.__getitem__, words), np.uint32, len(words)), counts
+    place = np.zeros(len(found.chunks), np.uint32)
+    place[[i for one in lists for _, i in one]] = np.arange(len(found.chunks), dtype=np.uint32)
+    return [[w for w, _ in one] for one in lists], place[found.numbers], found.counts
 
 
 def _send(n_buckets: int, what: str):

@@ -22,50 +22,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.blocks import binary_column, blocks, spread, texts_of
-from lumenframe.llm.chunks import chunk_list
+from lumenframe.llm.chunks import Distinct, distinct_chunks
 from lumenframe.llm.scratch import kept, new_folder, partitions
 from lumenframe.llm.seekable import FRAME_BYTES, Reader, Writer
 
-#: Encoded words that a Python worker remembers: two generations of so many.
-CACHE_WORDS = 400_000
+#: Encoded words that a Python worker remembers before it starts anew: about 60 bytes each.
+CACHE_WORDS = 2_000_000
+BLOCK_BYTES = 2 << 20
 
 
 class WordEncoder:
-    """Encodes words with the tokenizers library, each once while it is remembered."""
+    """Encodes words with the tokenizers library and remembers them as sorted arrays.
+
+    A word is known by its hash and its first bytes; one that shares the hash alone is encoded and not remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, as bytes of u32."""
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(got.ids, "<u4").tobytes(), np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))) * 4
-            lo = 0
-            for w, hi in zip(part, ends.tolist()):
-                fresh[w] = ids[lo:hi]
-                lo = hi
-        out = []
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = fresh.get(w)
-                if ids is None:
-                    ids = old[w]
-                young[w] = ids
-            out.append(ids)
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and their number per word."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 1000):
+            part = [w.decode("utf-8", "replace") for w in words[at : at + 1000]]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, "<u4"))
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, found: Distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids at hand, and each distinct word's first place and number of ids among them."""
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        n, order = len(found.chunks), np.argsort(found.hashes)
+        keys, heads = found.hashes[order], found.heads[order]
+        slot = np.searchsorted(self.keys, keys)
+        near = np.minimum(slot, max(len(self.keys) - 1, 0))
+        taken = (slot < len(self.keys)) & (self.keys[near] == keys) if len(self.keys) else np.zeros(n, bool)
+        known = taken & (self.heads[near] == heads) if len(self.keys) else taken
+        at, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at[order[known]], sizes[order[known]] = self.at[near[known]], self.sizes[near[known]]
+        new = order[~known]
+        ids, counts = self.encoded([found.chunks[i] for i in new.tolist()])
+        at[new], sizes[new] = len(self.flat) + np.cumsum(counts) - counts, counts
+        fresh = ~taken
+        put, who = slot[fresh], order[fresh]
+        self.flat = np.concatenate([self.flat, ids])
+        self.keys, self.heads = np.insert(self.keys, put, keys[fresh]), np.insert(self.heads, put, heads[fresh])
+        self.at, self.sizes = np.insert(self.at, put, at[who]), np.insert(self.sizes, put, sizes[who])
+        return self.flat, at, sizes
 
 
 @lru_cache(maxsize=1)
@@ -75,16 +88,12 @@ def word_encoder(path: str) -> WordEncoder:
 
 def encode_block(block, encoder: WordEncoder, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a block's documents in a row, each document's closed by ``end_id``, and their number per document."""
-    words, per_doc = chunk_list(block)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    coded = encoder(list(number))
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    order = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    n = sizes[order] if len(order) else np.zeros(0, np.int64)
+    found = distinct_chunks(block)
+    flat, at, sizes = encoder(found)
+    n = sizes[found.numbers]
     run, place = spread(n)
-    stream = flat[(np.cumsum(sizes) - sizes)[order][run] + place] if len(order) else flat
-    counts = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_doc)])])
+    stream = flat[at[found.numbers][run] + place]
+    counts = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(found.counts)])])
     if end_id is None:
         return stream, counts
     return np.insert(stream, np.cumsum(counts), end_id), counts + 1
@@ -98,7 +107,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, n_docs, n_tokens, first, last = None, 0, 0, 0, 0
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK_BYTES):
             ids, counts = encode_block(block, word_encoder(tokenizer_file), end_id)
             if writer is None:
                 where, name = pafs.FileSystem.from_uri(folder)
