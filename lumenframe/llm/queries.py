@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, token_files, winnowing
+from lumenframe.llm import bpe, outliers, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of text statistics."""
+    judged = outliers.judge(_documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every text by the multilingual ranks."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,5 +40,6 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_winnowing": (op2_winnowing, None),
     "op4_token_files": (op4_token_files, None),
+    "op6_robust_outliers": (op6_robust_outliers, None),
     "op10_bpe_words": (op10_bpe_words, None),
 }
