@@ -67,15 +67,15 @@ def binary_column(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[Block]:
-    """Documents of ``(doc_id, text)`` batches in blocks of about ``limit`` bytes, in their order."""
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, most: int = 20_000) -> Iterator[Block]:
+    """Documents of ``(doc_id, text)`` batches in blocks of about ``limit`` bytes and ``most`` documents, in their order."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         offsets, data = bytes_of(batch.column(1))
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-            to = min(to, len(ids), at + 20_000)
+            to = min(to, len(ids), at + most)
             yield Block(ids[at:to], offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]])
             at = to
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, outliers, token_files, winnowing
+from lumenframe.llm import bpe, nbsvm, outliers, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels that are not held out."""
+    docs = _documents(spark, sf_dir)
+    return nbsvm.score(docs, nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every text by the multilingual ranks."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,5 +47,6 @@ LLM_QUERIES = {
     "op2_winnowing": (op2_winnowing, None),
     "op4_token_files": (op4_token_files, None),
     "op6_robust_outliers": (op6_robust_outliers, None),
+    "op8_nbsvm_quality": (op8_nbsvm_quality, None),
     "op10_bpe_words": (op10_bpe_words, None),
 }
