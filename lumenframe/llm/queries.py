@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, nbsvm, outliers, token_files, winnowing
+from lumenframe.llm import bpe, crf, nbsvm, outliers, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the languages that are not held out."""
+    docs = _documents(spark, sf_dir)
+    return crf.predict(docs, crf.train(docs))
+
+
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers of text statistics."""
     judged = outliers.judge(_documents(spark, sf_dir))
@@ -46,6 +52,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_winnowing": (op2_winnowing, None),
     "op4_token_files": (op4_token_files, None),
+    "op5_crf_language": (op5_crf_language, None),
     "op6_robust_outliers": (op6_robust_outliers, None),
     "op8_nbsvm_quality": (op8_nbsvm_quality, None),
     "op10_bpe_words": (op10_bpe_words, None),
