@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, crf, nbsvm, outliers, token_files, winnowing
+from lumenframe.llm import bpe, crf, mixing, nbsvm, outliers, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights and sampling probabilities of every document."""
+    found = mixing.weighted(_documents(spark, sf_dir))
+    return found.select("doc_id", "source", "lang", F.col("_topic").cast("int").alias("topic"), F.col("_n_tokens").alias("n_tokens"), "weight", "prob", "sampled")
+
+
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from the labels that are not held out."""
     docs = _documents(spark, sf_dir)
@@ -54,6 +60,7 @@ LLM_QUERIES = {
     "op4_token_files": (op4_token_files, None),
     "op5_crf_language": (op5_crf_language, None),
     "op6_robust_outliers": (op6_robust_outliers, None),
+    "op7_mix_sources": (op7_mix_sources, None),
     "op8_nbsvm_quality": (op8_nbsvm_quality, None),
     "op10_bpe_words": (op10_bpe_words, None),
 }
