@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, crf, mixing, nbsvm, outliers, token_files, winnowing
+from lumenframe.llm import bpe, crf, dart_minhash, debruijn, mixing, nbsvm, outliers, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(_documents(spark, sf_dir))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return dart_minhash.classes(_documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of every text, read back."""
     coded = token_files.write_and_read(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,6 +53,12 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word windows that earlier documents hold."""
+    found = debruijn.cleaned(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every text by the multilingual ranks."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -57,10 +68,12 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_winnowing": (op2_winnowing, None),
+    "op3_dart_minhash": (op3_dart_minhash, None),
     "op4_token_files": (op4_token_files, None),
     "op5_crf_language": (op5_crf_language, None),
     "op6_robust_outliers": (op6_robust_outliers, None),
     "op7_mix_sources": (op7_mix_sources, None),
     "op8_nbsvm_quality": (op8_nbsvm_quality, None),
+    "op9_debruijn_spans": (op9_debruijn_spans, None),
     "op10_bpe_words": (op10_bpe_words, None),
 }
