@@ -19,10 +19,9 @@ _A, _B = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
 class Runs(NamedTuple):
-    """Anchor (48 bits), hash of the run's content, first window (block-wide unit index) and number of windows."""
+    """Anchor (48 bits), first window (block-wide unit index) and number of windows."""
 
     anchor: np.ndarray
-    content: np.ndarray
     first: np.ndarray
     count: np.ndarray
 
@@ -32,11 +31,11 @@ def window_hashes(units: np.ndarray, k: int) -> np.ndarray:
     return mix(rolling(units, k, _A))
 
 
-def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int, windows: np.ndarray) -> Runs:
-    """Runs of a block. ``left``: units from each one to its document's end; ``windows``: their ``window_hashes``."""
-    none = np.zeros(0, U64)
+def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int) -> Runs:
+    """Runs of a block. ``left``: units from each one to its document's end."""
+    none = Runs(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(units) < k:
-        return Runs(none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return none
     grams = mix(rolling(units, m))
     # the lower bits hold the place, so that of equal grams the rightmost is taken
     place = np.arange(len(grams), dtype=U64)
@@ -48,15 +47,19 @@ def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int, windows: np.nda
     low = sliding_min(grams, k - m + 1)
     at = np.flatnonzero(left[: len(low)] >= k)
     if not len(at):
-        return Runs(none, none, at, at)
+        return none
     mine = low[at]
     new = np.ones(len(at), bool)
     new[1:] = (mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1)
     start = np.flatnonzero(new)
     count = np.diff(start, append=len(at))
     first = at[start]
-    content = mix(windows[first] * _B + windows[first + count - 1]) + count.astype(U64)
-    return Runs(mine[start] >> _LOW, content, first, count)
+    return Runs(mine[start] >> _LOW, first, count)
+
+
+def contents(runs: Runs, windows: np.ndarray) -> np.ndarray:
+    """A hash of each run's content: of its first and last window, which meet at least, and their distance."""
+    return mix(windows[runs.first] * _B + windows[runs.first + runs.count - 1]) + runs.count.astype(U64)
 
 
 def to_ends(sizes: np.ndarray) -> np.ndarray:

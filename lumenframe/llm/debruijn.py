@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.anchors import runs_of, to_ends, window_hashes
+from lumenframe.llm.anchors import contents, runs_of, to_ends, window_hashes
 from lumenframe.llm.blocks import Block, binary_column, blocks, spread, texts_of, word_hashes, words_of
 from lumenframe.llm.scratch import kept
 
@@ -44,10 +44,10 @@ def stretches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words, units, begin, windows = _prepared(block)
-            found = runs_of(units, to_ends(words.counts), WINDOW, GRAM, windows)
+            found = runs_of(units, to_ends(words.counts), WINDOW, GRAM)
             doc = words.doc[found.first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), pa.array(block.ids[doc]), pa.array((found.first - begin[doc]).astype(np.int32)), pa.array(found.count.astype(np.int32))],
+                [pa.array(found.anchor.view(np.int64)), pa.array(contents(found, windows).view(np.int64)), pa.array(block.ids[doc]), pa.array((found.first - begin[doc]).astype(np.int32)), pa.array(found.count.astype(np.int32))],
                 names=["anchor", "content", "doc_id", "first", "n"],
             )
 

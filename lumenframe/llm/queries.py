@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, crf, dart_minhash, debruijn, mixing, nbsvm, outliers, token_files, winnowing
+from lumenframe.llm import bpe, crf, dart_minhash, debruijn, mixing, nbsvm, outliers, suffix_radix, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that earlier documents hold."""
+    found = suffix_radix.cleaned(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every text, its edited text and its next one."""
     return winnowing.edited_likeness(_documents(spark, sf_dir))
@@ -67,6 +73,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_suffix_radix": (op1_suffix_radix, None),
     "op2_winnowing": (op2_winnowing, None),
     "op3_dart_minhash": (op3_dart_minhash, None),
     "op4_token_files": (op4_token_files, None),
