@@ -50,7 +50,8 @@ def described(text: pa.Array) -> pa.Array:
 
 def with_cells(docs: DataFrame) -> DataFrame:
     """The documents with their cell: ``_source, _lang, _topic`` as strings, and ``_n_tokens``."""
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_described", described(F.col("text")))
+    own = [c for c in ("doc_id", "text", "source", "lang", "_row") if c in docs.columns]
+    named = docs.select(*own).filter(F.col("doc_id").isNotNull()).withColumn("_described", described(F.col("text")))
     text = lambda c: F.when(F.col(c).isNull(), F.lit("(none)")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     return named.withColumns({"_source": text("source"), "_lang": text("lang"), "_topic": F.col("_described.topic").cast("string"), "_n_tokens": F.col("_described.n_tokens")}).drop("_described")
 
@@ -106,4 +107,5 @@ def weighted(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budge
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
     """The documents drawn, with their columns."""
-    return weighted(docs, targets, budget).filter("sampled").select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
+    return weighted(whole, targets, budget).filter("sampled").select("_row.*")

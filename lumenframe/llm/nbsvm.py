@@ -179,3 +179,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model predicts to be of quality 1, with their columns."""
+
+    @F.arrow_udf("double")
+    def score_of(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text.fill_null("")], names=["doc_id", "text"])
+        parts = [model.scores(*indicators(block), len(block.ids)) for block in blocks([batch], **_BLOCK)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return docs.filter(F.col("doc_id").isNotNull()).filter(score_of(F.col("text")) >= THRESHOLD)

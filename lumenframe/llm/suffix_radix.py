@@ -232,3 +232,23 @@ def whole_texts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(d), _key(block)), d.astype(np.int32), block.ids[d], sizes[d], halves[:, 0].copy(), halves[:, 1].copy())], names=["block", "d", "doc_id", "size", "h0", "h1"])
 
     return texts.mapInArrow(run, "block long, d int, doc_id long, size long, h0 long, h1 long")
+
+
+@F.arrow_udf("string")
+def _readable(kept_bytes: pa.Array) -> pa.Array:
+    """The text in the bytes, without characters of which a cut left only a part."""
+    return pa.array([b.as_py().decode("utf-8", "ignore") if b.is_valid else None for b in kept_bytes], pa.string())
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their columns, repeated strings cut out of ``text`` and ``n_chars`` (if there) counted anew.
+
+    A document of which nothing but white space is left goes; texts that lose nothing stay as they are, nulls too.
+    Ids must be unique here: rows of one id would each get every cut text of the id.
+    """
+    found = cleaned(docs).select("doc_id", "n_removed", _readable("kept").alias("_text"))
+    rest = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"))
+    both = found.join(rest, F.col("doc_id") == F.col("_id")).filter((F.col("n_removed") == 0) | (F.trim("_text") != ""))
+    text = F.when(~F.col("_null"), F.col("_text"))
+    counted = lambda c: F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}")
+    return both.select(*[text.alias("text") if c == "text" else counted(c) for c in docs.columns])
