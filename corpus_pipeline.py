@@ -1,8 +1,57 @@
-"""A corpus clean-up of five stages."""
+"""A corpus from raw documents to token ids in five stages.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns what the next one reads; all but the last return the columns of
+``documents``. ``run`` writes each result to the shared folder and reads it back.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lumenframe.llm import bpe, dart_minhash, mixing, nbsvm, suffix_radix
+from lumenframe.llm.scratch import kept
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels that are not held out."""
+    return nbsvm.accepted(docs, nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return dart_minhash.deduplicated(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings that earlier documents hold."""
+    return suffix_radix.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have their target shares of the tokens."""
+    return mixing.sample(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text: ``doc_id, n_tokens, ids``."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("mixture", mixture),
+    ("token ids", token_ids),
+]
+
+#: No SQL can express the learned and hashed stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
