@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.llm.blocks import Block, bytes_of, word_hashes, words_of
 from lumenframe.llm.scratch import kept
@@ -29,7 +30,7 @@ FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.0}
 BUDGET, ROUNDS = 0.8, 5
 
 
-@F.arrow_udf("struct<topic:int,n_tokens:long>")
+@F.arrow_udf(T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())]))
 def described(text: pa.Array) -> pa.Array:
     """Topic and number of words of each text."""
     topics, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]

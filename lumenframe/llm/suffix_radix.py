@@ -29,6 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.llm.anchors import contents, runs_of, to_ends, window_hashes
 from lumenframe.llm.blocks import U64, Block, binary_column, blocks, byte_values, spread, texts_of
@@ -234,7 +235,7 @@ def whole_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "block long, d int, doc_id long, size long, h0 long, h1 long")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _readable(kept_bytes: pa.Array) -> pa.Array:
     """The text in the bytes, without characters of which a cut left only a part."""
     return pa.array([b.as_py().decode("utf-8", "ignore") if b.is_valid else None for b in kept_bytes], pa.string())
