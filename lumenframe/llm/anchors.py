@@ -19,9 +19,10 @@ _A, _B = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
 class Runs(NamedTuple):
-    """Anchor (48 bits), first window (block-wide unit index) and number of windows."""
+    """Anchor (48 bits) and where it stands, first window (both as block-wide unit indexes) and number of windows."""
 
     anchor: np.ndarray
+    at: np.ndarray
     first: np.ndarray
     count: np.ndarray
 
@@ -33,10 +34,10 @@ def window_hashes(units: np.ndarray, k: int) -> np.ndarray:
 
 def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int) -> Runs:
     """Runs of a block. ``left``: units from each one to its document's end."""
-    none = Runs(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = Runs(np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
     if len(units) < k:
         return none
-    grams = mix(rolling(units, m))
+    grams = gram_hashes(units, m)
     # the lower bits hold the place, so that of equal grams the rightmost is taken
     place = np.arange(len(grams), dtype=U64)
     np.bitwise_and(place, _LOW_MASK, out=place)
@@ -44,7 +45,15 @@ def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int) -> Runs:
     grams |= _LOW_MASK
     grams ^= _LOW_MASK
     grams |= place
-    low = sliding_min(grams, k - m + 1)
+    w = k - m + 1
+    low = sliding_min(grams, w)
+    # where the 16-bit places start anew within a window, the rightmost of its least grams is sought by itself
+    torn = np.arange(len(low))
+    torn = torn[(torn & 0xFFFF) > 0x10000 - w]
+    if len(torn):
+        hashes = np.lib.stride_tricks.sliding_window_view(grams, w)[torn] >> _LOW
+        best = w - 1 - np.argmin(hashes[:, ::-1], 1)
+        low[torn] = grams[torn + best]
     at = np.flatnonzero(left[: len(low)] >= k)
     if not len(at):
         return none
@@ -54,7 +63,17 @@ def runs_of(units: np.ndarray, left: np.ndarray, k: int, m: int) -> Runs:
     start = np.flatnonzero(new)
     count = np.diff(start, append=len(at))
     first = at[start]
-    return Runs(mine[start] >> _LOW, first, count)
+    stands = first + (((_LOW_MASK - (mine[start] & _LOW_MASK)).astype(np.int64) - first) & 0xFFFF)
+    return Runs(mine[start] >> _LOW, stands, first, count)
+
+
+def picked(runs: Runs, which: np.ndarray) -> Runs:
+    return Runs(*[x[which] for x in runs])
+
+
+def gram_hashes(units: np.ndarray, m: int) -> np.ndarray:
+    """The hashes of which anchors are the least."""
+    return mix(rolling(units, m))
 
 
 def contents(runs: Runs, windows: np.ndarray) -> np.ndarray:

@@ -4,15 +4,17 @@ Only the first ``DEPTH`` bytes of suffixes are ordered; groups of equal ones are
 digits are taken from its anchor outwards (see ``anchors``), so that equal windows have equal digits in one order, and
 consecutive windows with one anchor go through the passes as one run:
 
-1. the ``GRAM`` bytes at the anchor. Each block of documents sends its anchors, sorted and packed, to the bucket of
-   their value; the bucket answers which of them other documents hold. All other suffixes are done.
-2. the whole content of the run. Where an anchor has one content only, its windows are in order: the group's least
-   document keeps them, the others lose them.
-3. the single window, for the runs of anchors with several contents.
-
-Documents whose whole text an earlier one has are settled by a pass over whole texts before. Texts travel compressed,
-a block of documents per row, and meet their block's few rows; blocks are told by their content, and a second reading
-of the input that cut them differently would stop the job. Windows are named by anchor and hash (112 bits in all).
+1. the ``GRAM`` bytes at the anchor: suffixes whose digit one document alone holds are done;
+2. the whole content of the run: where an earlier document has the same, all its windows are repeated. With it, the
+   next ``GRAM`` bytes before and after the anchor: a window reaches that far on one side at least, so the other runs
+   go on with those halves only that two documents share;
+3. the single window, for those halves.
+
+A pass is one question, "who holds this digit first?", asked in packed form: a block of documents sends its distinct
+digits, sorted, with their least document, to buckets by range of digits; a bucket sorts what it gets and answers each
+block with one byte a digit, in the same order. So a passage that many documents share is one entry per block.
+Texts are written once, compressed, a block per row, bucketed by block, so that answers meet them without moving
+them. Contents and windows are named by 96 bits, of hash and anchor.
 
 Defined results: a null or empty text has no bytes; texts of fewer than ``DEPTH`` bytes lose nothing; repeats within
 one document alone, or between rows of one id, are no repeats; rows without an id are left out; an empty table gives
@@ -21,7 +23,9 @@ no rows. What is left of a text need not be valid UTF-8 and is returned as bytes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,163 +35,199 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.anchors import contents, runs_of, to_ends, window_hashes
-from lumenframe.llm.blocks import U64, Block, binary_column, blocks, byte_values, spread, texts_of
-from lumenframe.llm.scratch import kept, partitions
+from lumenframe.llm.anchors import contents, gram_hashes, picked, runs_of, to_ends, window_hashes
+from lumenframe.llm.blocks import U64, Block, binary_column, blocks, byte_values, mix, spread, texts_of
+from lumenframe.llm.scratch import kept, new_folder, partitions
 
-DEPTH, GRAM = 50, 16
+DEPTH, GRAM, PASSES = 50, 16, 3
 BLOCK_BYTES = 3 << 20
+#: Answers: two documents hold the digit; a document before the block's first holds it.
+SHARED, EARLIER = 1, 2
+_LOW32 = U64(0xFFFFFFFF)
 
 
-def _key(block: Block) -> int:
-    return xxhash.xxh3_64_intdigest(block.ids.tobytes() + block.offsets.tobytes() + block.data.tobytes()) - 2**63
-
-
-def _runs(block: Block):
-    return runs_of(byte_values(block.data), to_ends(np.diff(block.offsets)), DEPTH, GRAM)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Values as planes of bytes: the constant high bytes and the random low ones compress apart."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _unplanes(raw: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-def packed_texts(texts: DataFrame) -> DataFrame:
-    """``block, payload``: one row per block of documents."""
+def packed_texts(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """``block, payload``: one row per block of documents, as a table bucketed by block in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for block in blocks(batches, BLOCK_BYTES):
-            head = np.array([len(block.ids)], np.int64).tobytes() + block.ids.astype(np.int64).tobytes() + block.offsets.astype(np.int64).tobytes()
-            yield pa.record_batch([pa.array([_key(block)], pa.int64()), pa.array([pack(head + block.data.tobytes())], pa.binary())], names=["block", "payload"])
+            raw = np.array([len(block.ids)], np.int64).tobytes() + block.ids.astype(np.int64).tobytes() + block.offsets.astype(np.int64).tobytes() + block.data.tobytes()
+            # the number only tells blocks apart; whole blocks that repeat share it and are handled together
+            yield pa.record_batch([pa.array([xxhash.xxh3_64_intdigest(raw) - 2**63], pa.int64()), pa.array([pack(raw)], pa.binary())], names=["block", "payload"])
 
-    return texts.mapInArrow(run, "block long, payload binary")
+    spark, name = texts.sparkSession, f"texts_{uuid.uuid4().hex}"
+    rows = texts.mapInArrow(run, "block long, payload binary")
+    rows.write.bucketBy(n_buckets, "block").option("path", new_folder(spark, "texts")).option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
 
 
-def _unpacked(texts: pa.Table) -> list[Block]:
-    """The block of a group; more than one if whole blocks repeat."""
-    out = []
-    for payload in texts.column("payload"):
-        raw = zstandard.ZstdDecompressor().decompress(payload.as_py())
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        out.append(Block(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n), np.frombuffer(raw, np.uint8, offset=16 + 16 * n)))
-    if not out:
-        raise RuntimeError("rows for an unknown block: its input was read in another order")
-    return out
+def _unpacked(payload: bytes) -> Block:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return Block(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n), np.frombuffer(raw, np.uint8, offset=16 + 16 * n))
 
 
-def first_digits(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """``block, bucket, n, payload``: each block's distinct anchors, and which of them it holds twice."""
+class Question(NamedTuple):
+    """Distinct digits of a block in order, their checks, least documents, whether two documents hold one, and which digit each item has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for block in blocks(batches, BLOCK_BYTES):
-            anchors = np.sort(_runs(block).anchor)
-            new = np.ones(len(anchors), bool)
-            new[1:] = anchors[1:] != anchors[:-1]
-            at = np.flatnonzero(new)
-            anchors, twice = anchors[at], np.diff(at, append=len(new)) > 1
-            bucket = anchors % U64(n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            anchors, twice, ends = anchors[order] // U64(n_buckets), twice[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
-            rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if hi > lo]
-            payload = [pack(np.packbits(twice[lo:hi]).tobytes() + _planes(np.diff(anchors[lo:hi], prepend=U64(0)))) for _, lo, hi in rows]
-            yield pa.record_batch(
-                [pa.array([_key(block)] * len(rows), pa.int64()), pa.array([b for b, _, _ in rows], pa.int32()), pa.array([hi - lo for _, lo, hi in rows], pa.int32()), pa.array(payload, pa.binary())],
-                names=["block", "bucket", "n", "payload"],
-            )
-
-    return texts.mapInArrow(run, "block long, bucket int, n int, payload binary")
-
-
-def _repeated(n_buckets: int):
-    """Of a bucket's anchors, those that two blocks hold, or one block twice, sent back to each block."""
-
-    def run(group: pa.Table) -> pa.Table:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        bucket = group.column("bucket")[0].as_py()
-        parts, flags = [], []
-        for n, payload in zip(group.column("n").to_pylist(), group.column("payload").to_pylist()):
-            raw = unpack(payload)
-            bits = -(-n // 8)
-            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=n).astype(bool))
-            parts.append(np.cumsum(_unplanes(raw[bits:], U64)))
-        every = np.concatenate(parts)
-        every.sort()
-        many = every[1:][every[1:] == every[:-1]]
-        out = []
-        for own, twice in zip(parts, flags):
-            near = np.minimum(np.searchsorted(many, own), max(len(many) - 1, 0))
-            hit = twice | (many[near] == own) if len(many) else twice
-            out.append(pack((own[hit] * U64(n_buckets) + U64(bucket)).tobytes()))
-        return pa.table({"block": group.column("block"), "payload": pa.array(out, pa.binary()), "d": pa.nulls(len(out)).cast(pa.int32())})
+    digits: np.ndarray
+    checks: np.ndarray
+    least: np.ndarray
+    shared: np.ndarray
+    of: np.ndarray
+    docs: np.ndarray
 
-    return run
+    def earlier(self, answer: np.ndarray) -> np.ndarray:
+        """Items whose digit a document before theirs holds."""
+        return ((answer[self.of] & EARLIER) > 0) | (self.least[self.of] < self.docs)
 
+    def held_by_two(self, answer: np.ndarray) -> np.ndarray:
+        return ((answer[self.of] & SHARED) > 0) | self.shared[self.of]
 
-_RUN_ROWS = "anchor long, content long, block long, d int, doc_id long, first long, n int"
 
+def question(digits: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> Question:
+    order = np.argsort(digits, kind="stable")
+    d, c, ids = digits[order], checks[order], docs[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(new)
+    of = np.empty(len(d), np.int64)
+    of[order] = np.cumsum(new) - 1
+    low, high = (f.reduceat(ids, at) if len(at) else ids for f in (np.minimum, np.maximum))
+    return Question(d[at], c[at], low, low < high, of, docs)
 
-def _live_runs(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Runs of a block whose anchors are repeated, without documents that are copies."""
-    found, copies = [], []
-    for payload, d in zip(answers.column("payload").to_pylist(), answers.column("d").to_pylist()):
-        if payload is None:
-            copies.append(d)
-        else:
-            found.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), U64))
-    many = np.sort(np.concatenate([np.zeros(0, U64), *found]))
-    out = []
-    for block in _unpacked(texts):
-        runs = _runs(block)
-        d = block.docs_at(runs.first)
-        copy = np.zeros(len(block.ids), bool)
-        copy[copies] = True
-        near = np.minimum(np.searchsorted(many, runs.anchor), max(len(many) - 1, 0))
-        at = np.flatnonzero((many[near] == runs.anchor) & ~copy[d]) if len(many) else np.zeros(0, np.int64)
-        runs = type(runs)(runs.anchor[at], runs.first[at], runs.count[at])
-        whole = contents(runs, window_hashes(byte_values(block.data), DEPTH)) if len(at) else np.zeros(0, U64)
-        d = d[at]
-        out.append(pa.table({"anchor": runs.anchor.view(np.int64), "content": whole.view(np.int64), "block": np.full(len(at), _key(block)), "d": d.astype(np.int32), "doc_id": block.ids[d], "first": runs.first - block.offsets[d], "n": runs.count.astype(np.int32)}))
-    return pa.concat_tables(out)
 
+def _planes(values: np.ndarray) -> bytes:
+    """Values as planes of bytes: constant high bytes and random low ones compress apart."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
-def _single_windows(texts: pa.Table, marks: pa.Table) -> pa.Table:
-    """The windows of marked runs, one row each."""
-    out = []
-    if not marks.num_rows:
-        return pa.table({"anchor": pa.array([], pa.int64()), "window": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "d": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "first": pa.array([], pa.int64())})
-    anchor, d, first, n = (marks.column(c).to_numpy() for c in ("anchor", "d", "first", "n"))
-    for block in _unpacked(texts):
-        windows = window_hashes(byte_values(block.data), DEPTH)
-        which, step = spread(n.astype(np.int64))
-        place, own = first[which] + step, d[which]
-        out.append(pa.table({"anchor": anchor[which], "window": windows[block.offsets[own] + place].view(np.int64), "block": np.full(len(own), _key(block)), "d": own.astype(np.int32), "doc_id": block.ids[own], "first": place}))
-    return pa.concat_tables(out)
+
+def _unplanes(raw: bytes, dtype, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(dtype).itemsize
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(dtype).ravel()
+    return values, at + n * size
+
+
+_ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
+_ASKED_SQL = "block long, bucket int, n int, payload binary"
+
+
+def _asked(block_key: int, q: Question, n_buckets: int, with_docs: bool) -> pa.Table:
+    """The question's digits by bucket; buckets are equal ranges of digits."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    bucket = ((q.digits >> U64(32)) * U64(n_buckets)) >> U64(32)
+    ends = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U64)).tolist()
+    rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
+    least = q.least if with_docs else np.zeros(len(q.digits), np.int64)
+    payload = [
+        pack(_planes(np.diff(q.digits[lo:hi], prepend=U64(0))) + _planes(q.checks[lo:hi].astype(np.uint32)) + _planes(least[lo:hi]) + q.shared[lo:hi].tobytes())
+        for _, lo, hi in rows
+    ]
+    return pa.table([pa.array([block_key] * len(rows), pa.int64()), pa.array([b for b, _, _ in rows], pa.int32()), pa.array([hi - lo for _, lo, hi in rows], pa.int32()), pa.array(payload, pa.binary())], schema=_ASKED)
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """One byte for every digit that a bucket was asked for."""
+    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    parts, sizes = [], group.column("n").to_pylist()
+    for n, payload in zip(sizes, group.column("payload").to_pylist()):
+        raw, at = unpack(payload), 0
+        steps, at = _unplanes(raw, U64, n, at)
+        checks, at = _unplanes(raw, np.uint32, n, at)
+        least, at = _unplanes(raw, np.int64, n, at)
+        parts.append((np.cumsum(steps), checks, least, np.frombuffer(raw, bool, n, at)))
+    digits, checks, least, shared = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((checks, digits))
+    d, c = digits[order], checks[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    many = (np.diff(at, append=len(d)) > 1) | np.logical_or.reduceat(shared[order], at)
+    code = np.empty(len(d), np.uint8)
+    code[order] = many[of] * SHARED + (least[order] > np.minimum.reduceat(least[order], at)[of]) * EARLIER
+    ends = np.cumsum(sizes)
+    out = [pack(code[hi - n : hi].tobytes()) for hi, n in zip(ends.tolist(), sizes)]
+    return pa.table([group.column("block"), group.column("bucket"), group.column("n"), pa.array(out, pa.binary())], schema=_ASKED)
+
+
+def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next question that the answers so far lead to; after the last, the repeated windows.
+
+    These are documents (by place), first window (by byte of the block) and number of windows.
+    """
+    values = byte_values(block.data)
+    runs = runs_of(values, to_ends(np.diff(block.offsets)), DEPTH, GRAM)
+    d = block.docs_at(runs.first)
+    # anchors are 48 bits; buckets take the upper ones
+    q = question(runs.anchor << U64(16), np.zeros(len(d), U64), block.ids[d])
+    if 1 not in answers:
+        return q
+    go = np.flatnonzero(q.held_by_two(answers[1]))
+    runs, d = picked(runs, go), d[go]
+    ids, check = block.ids[d], runs.anchor & _LOW32
+    windows, grams = window_hashes(values, DEPTH), gram_hashes(values, GRAM)
+    reach = np.clip(runs.at - runs.first - GRAM + 1, 0, runs.count)  # windows that reach far enough before the anchor
+    before, after = np.flatnonzero(reach > 0), np.flatnonzero(reach < runs.count)
+    digits = [contents(runs, windows), mix(grams[runs.at[before] - GRAM] + U64(1)), mix(grams[runs.at[after] + GRAM] + U64(2))] if len(go) else [np.zeros(0, U64)]
+    anchored = [mix(x + a) for x, a in zip(digits, (runs.anchor, runs.anchor[before], runs.anchor[after]))]
+    q = question(np.concatenate(anchored), np.concatenate([check, check[before], check[after]]), np.concatenate([ids, ids[before], ids[after]]))
+    if 2 not in answers:
+        return q
+    lost = q.earlier(answers[2])[: len(go)]
+    two = q.held_by_two(answers[2])
+    open_before, open_after = ~lost[before] & two[len(go) : len(go) + len(before)], ~lost[after] & two[len(go) + len(before) :]
+    before, after = before[open_before], after[open_after]
+    run = np.concatenate([before, after])
+    first = np.concatenate([runs.first[before], (runs.first + reach)[after]])
+    which, step = spread(np.concatenate([reach[before], (runs.count - reach)[after]]))
+    place, of = first[which] + step, run[which]
+    q = question(mix(windows[place] + runs.anchor[of]) if len(place) else np.zeros(0, U64), check[of], ids[of])
+    if 3 not in answers:
+        return q
+    single = q.earlier(answers[3])
+    return np.concatenate([d[lost], d[of][single]]), np.concatenate([runs.first[lost], place[single]]), np.concatenate([runs.count[lost], np.ones(int(single.sum()), np.int64)])
+
+
+def _answers(rows: pa.Table) -> dict[int, np.ndarray]:
+    """Answers by pass, in the order of the question."""
+    out: dict[int, dict[int, bytes]] = {}
+    for step, bucket, payload in zip(*(rows.column(c).to_pylist() for c in ("pass", "bucket", "payload"))):
+        out.setdefault(step, {})[bucket] = zstandard.ZstdDecompressor().decompress(payload)
+    return {step: np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.uint8) for step, parts in out.items()}
+
+
+def _next_question(step: int, n_buckets: int):
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known = _answers(rows)
+        # a pass without any digit of this block has no answer
+        known |= {i: np.zeros(0, np.uint8) for i in range(1, step) if i not in known}
+        out = [_ASKED.empty_table()]
+        for key, payload in zip(texts.column("block").to_pylist(), texts.column("payload").to_pylist()):
+            out.append(_asked(key, _judged(_unpacked(payload), known), n_buckets, step > 1))
+        return pa.concat_tables(out)
+
+    return run
 
 
 _CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut_out(texts: pa.Table, marks: pa.Table) -> pa.Table:
-    """Every document of a block without its marked windows."""
-    d, first, n = (marks.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "first", "n"))
+def _cut_out(texts: pa.Table, rows: pa.Table) -> pa.Table:
+    """Every document of a block without its repeated windows."""
+    known = _answers(rows)
+    known |= {i: np.zeros(0, np.uint8) for i in range(1, PASSES + 1) if i not in known}
     out = []
-    for block in _unpacked(texts):
-        size = len(block.ids)
+    for payload in texts.column("payload").to_pylist():
+        block = _unpacked(payload)
+        _, first, n = _judged(block, known)
         depth = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(depth, block.offsets[d] + first, 1)
-        np.add.at(depth, block.offsets[d] + first + n + DEPTH - 1, -1)
+        np.add.at(depth, first, 1)
+        np.add.at(depth, first + n + DEPTH - 1, -1)
         gone = np.cumsum(depth)[:-1] > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
-        at = block.offsets[:-1]
-        at = at[(np.diff(block.offsets) > 0)]
+        at = block.offsets[:-1][np.diff(block.offsets) > 0]
         begins[at] = gone[at]
         total = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
         spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[block.offsets])
@@ -198,41 +238,14 @@ def _cut_out(texts: pa.Table, marks: pa.Table) -> pa.Table:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every document."""
-    texts = texts_of(docs)
     n = partitions(docs.sparkSession)
-    packed = packed_texts(texts)
-    by_block = lambda rows, fn, schema: packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(fn, schema)
-
-    whole = kept(whole_texts(texts), "whole-texts")
-    least = whole.groupBy("h0", "h1", "size").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
-    copies = kept(whole.join(least, ["h0", "h1", "size"]).filter("source < doc_id").select("block", "d", F.lit(0).cast("long").alias("first"), (F.col("size") - DEPTH + 1).cast("int").alias("n")), "copies")
-
-    answers = first_digits(texts, n).groupBy("bucket").applyInArrow(_repeated(n), "block long, payload binary, d int")
-    skipped = copies.select("block", F.lit(None).cast("binary").alias("payload"), "d")
-    rows = kept(by_block(answers.unionByName(skipped), _live_runs, _RUN_ROWS), "runs")
-    shared = rows.groupBy("anchor").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("content").alias("c0"), F.max("content").alias("c1")
-    ).filter("source < last").select("anchor", "source", (F.col("c0") == F.col("c1")).alias("plain"))
-    live = kept(rows.join(shared, "anchor").filter("not plain or source < doc_id").drop("content"), "live-runs")
-    plain = live.filter("plain").select("block", "d", "first", "n")
-    single = kept(by_block(live.filter("not plain").select("block", "anchor", "d", "first", "n"), _single_windows, "anchor long, window long, block long, d int, doc_id long, first long"), "windows")
-    twice = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").select("anchor", "window", "source")
-    opened = single.join(twice, ["anchor", "window"]).filter("source < doc_id").select("block", "d", "first", F.lit(1).alias("n"))
-    return by_block(plain.unionByName(opened).unionByName(copies), _cut_out, _CLEAN)
-
-
-def whole_texts(texts: DataFrame) -> DataFrame:
-    """``block, d, doc_id, size, h0, h1``: place and 128-bit hash of every text of ``DEPTH`` bytes at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, BLOCK_BYTES):
-            sizes = np.diff(block.offsets)
-            d = np.flatnonzero(sizes >= DEPTH)
-            sums = [xxhash.xxh3_128_digest(block.text(i)) for i in d.tolist()]
-            halves = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(d), _key(block)), d.astype(np.int32), block.ids[d], sizes[d], halves[:, 0].copy(), halves[:, 1].copy())], names=["block", "d", "doc_id", "size", "h0", "h1"])
-
-    return texts.mapInArrow(run, "block long, d int, doc_id long, size long, h0 long, h1 long")
+    texts = packed_texts(texts_of(docs), n)
+    answers = docs.sparkSession.createDataFrame([], f"pass int, {_ASKED_SQL}")
+    for step in range(1, PASSES + 1):
+        asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next_question(step, n), _ASKED_SQL)
+        found = asked.groupBy("bucket").applyInArrow(_answered, _ASKED_SQL)
+        answers = answers.unionByName(kept(found.select(F.lit(step).alias("pass"), "*"), f"pass-{step}"))
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut_out, _CLEAN)
 
 
 @F.arrow_udf(T.StringType())
