@@ -76,9 +76,9 @@ def gram_hashes(units: np.ndarray, m: int) -> np.ndarray:
     return mix(rolling(units, m))
 
 
-def contents(runs: Runs, windows: np.ndarray) -> np.ndarray:
-    """A hash of each run's content: of its first and last window, which meet at least, and their distance."""
-    return mix(windows[runs.first] * _B + windows[runs.first + runs.count - 1]) + runs.count.astype(U64)
+def contents(runs: Runs, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run's content, from those of its first and last window, which meet at least."""
+    return mix(first * _B + last) + runs.count.astype(U64)
 
 
 def to_ends(sizes: np.ndarray) -> np.ndarray:

@@ -118,6 +118,33 @@ def _joined(left: np.ndarray, width: int, right: np.ndarray, power: np.uint64, n
     return left * power + right[width : width + n]
 
 
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+_PREFIX_MUL = U64(0xD6E8FEB86659FD93)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the prefix multiplier and of its inverse modulo 2^64, kept by the Python worker."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((int(_PREFIX_MUL), pow(int(_PREFIX_MUL), -1, 2**64))):
+            steps = np.full(n, U64(base))
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
+
+
+class Prefix:
+    """Polynomial hashes of any stretch of values, from sums over their beginnings: for few stretches of many values."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.inverse = _powers(n + 1)[1]
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(values * _POWERS[0][:n], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, length: int) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+
+
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each ``w`` consecutive values."""
     have, width = values, 1

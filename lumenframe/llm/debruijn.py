@@ -47,7 +47,7 @@ def stretches(texts: DataFrame) -> DataFrame:
             found = runs_of(units, to_ends(words.counts), WINDOW, GRAM)
             doc = words.doc[found.first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.anchor.view(np.int64)), pa.array(contents(found, windows).view(np.int64)), pa.array(block.ids[doc]), pa.array((found.first - begin[doc]).astype(np.int32)), pa.array(found.count.astype(np.int32))],
+                [pa.array(found.anchor.view(np.int64)), pa.array(contents(found, windows[found.first], windows[found.first + found.count - 1]).view(np.int64)), pa.array(block.ids[doc]), pa.array((found.first - begin[doc]).astype(np.int32)), pa.array(found.count.astype(np.int32))],
                 names=["anchor", "content", "doc_id", "first", "n"],
             )
 

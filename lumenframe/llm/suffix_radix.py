@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.anchors import contents, gram_hashes, picked, runs_of, to_ends, window_hashes
-from lumenframe.llm.blocks import U64, Block, binary_column, blocks, byte_values, mix, spread, texts_of
+from lumenframe.llm.anchors import contents, picked, runs_of, to_ends
+from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byte_values, mix, spread, texts_of
 from lumenframe.llm.scratch import kept, new_folder, partitions
 
 DEPTH, GRAM, PASSES = 50, 16, 3
@@ -166,10 +166,11 @@ def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np
     go = np.flatnonzero(q.held_by_two(answers[1]))
     runs, d = picked(runs, go), d[go]
     ids, check = block.ids[d], runs.anchor & _LOW32
-    windows, grams = window_hashes(values, DEPTH), gram_hashes(values, GRAM)
+    prefix = Prefix(values)
     reach = np.clip(runs.at - runs.first - GRAM + 1, 0, runs.count)  # windows that reach far enough before the anchor
     before, after = np.flatnonzero(reach > 0), np.flatnonzero(reach < runs.count)
-    digits = [contents(runs, windows), mix(grams[runs.at[before] - GRAM] + U64(1)), mix(grams[runs.at[after] + GRAM] + U64(2))] if len(go) else [np.zeros(0, U64)]
+    whole = contents(runs, prefix.hashes(runs.first, DEPTH), prefix.hashes(runs.first + runs.count - 1, DEPTH))
+    digits = [whole, prefix.hashes(runs.at[before] - GRAM, GRAM) + U64(1), prefix.hashes(runs.at[after] + GRAM, GRAM) + U64(2)]
     anchored = [mix(x + a) for x, a in zip(digits, (runs.anchor, runs.anchor[before], runs.anchor[after]))]
     q = question(np.concatenate(anchored), np.concatenate([check, check[before], check[after]]), np.concatenate([ids, ids[before], ids[after]]))
     if 2 not in answers:
@@ -182,7 +183,7 @@ def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np
     first = np.concatenate([runs.first[before], (runs.first + reach)[after]])
     which, step = spread(np.concatenate([reach[before], (runs.count - reach)[after]]))
     place, of = first[which] + step, run[which]
-    q = question(mix(windows[place] + runs.anchor[of]) if len(place) else np.zeros(0, U64), check[of], ids[of])
+    q = question(mix(prefix.hashes(place, DEPTH) + runs.anchor[of]), check[of], ids[of])
     if 3 not in answers:
         return q
     single = q.earlier(answers[3])
