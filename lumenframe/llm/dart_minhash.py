@@ -12,7 +12,8 @@ probability of their similarity. Bands of three coordinates make candidates: at
 a probability of 1e-10.
 
 Candidates are never all pairs of a band's group. Texts with equal words are one text. In every group each text is
-compared with one pivot (the least by a hash, one of eight by band), and the links make components. Where a group still
+compared with two pivots, the text that shares most bands with others and the least by a hash (one of eight by band),
+and the links make components. Where a group still
 holds several components, the texts outside its largest are compared with those of other components, so that no link
 between candidates is lost. Comparison is exact, on the words of both texts, and skips pairs whose sizes alone rule
 out the threshold.
@@ -172,15 +173,22 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = wordy.join(lowest.select(F.col("rep").alias("doc_id"), "c0", "c1"), ["doc_id", "c0", "c1"], "left_semi")
     bands = reps.select("doc_id", "weight", F.posexplode("bands").alias("band", "key"))
 
-    order = F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(PIVOTS))).alias("h"), F.col("doc_id").alias("pivot"), F.col("weight").alias("pivot_weight"))
-    pivots = bands.groupBy("key").agg(F.min(order).alias("p"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "p.pivot", "p.pivot_weight")
-    tried = bands.join(pivots, "key").filter((F.col("doc_id") != F.col("pivot")) & _near_in_size("weight", "pivot_weight"))
-    tried = tried.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "size")
+    shared = kept(bands.join(sizes, "key"), "shared-bands")
+    central = shared.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    ranked = shared.join(central, "doc_id")
+    # of a star of copies the original shares most bands; the hashed pivot serves groups without a centre
+    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "weight"))
+    drawn = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(PIVOTS))).alias("h"), F.col("doc_id"), F.col("weight")))
+    pivots = ranked.groupBy("key").agg(hub.alias("a"), drawn.alias("b"))
+    pivots = pivots.select("key", F.explode(F.array(F.struct((-F.col("a.minus")).alias("pivot"), F.col("a.weight").alias("pivot_weight")), F.struct(F.col("b.doc_id").alias("pivot"), F.col("b.weight").alias("pivot_weight")))).alias("p")).select("key", "p.*").distinct()
+    tried = shared.join(pivots, "key").filter((F.col("doc_id") != F.col("pivot")) & _near_in_size("weight", "pivot_weight"))
+    tried = kept(tried.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct(), "tried")
     links = kept(_linked(tried, texts), "links")
     found = _components(links)
 
     # groups that still hold several components
-    placed = bands.join(pivots.select("key"), "key", "left_semi").join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = shared.join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     placed = kept(placed.select("key", "doc_id", "weight", "root"), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
