@@ -115,8 +115,8 @@ def sanity_flags(cases: DataFrame, rows: DataFrame) -> DataFrame:
             continue
         index = geo.mm_to_index([F.get(F.col(key), i) for i in range(3)])
         outside = [(c < -1.0) | (c > F.get(F.col("size"), a) + 1.0) for a, c in enumerate(index)]
-        axis = F.when(outside[0], 0).when(outside[1], 1).when(outside[2], 2)
-        flags.append(F.when(_is_xyz(key) & axis.isNotNull(), F.concat(F.lit("oob:"), rid, F.lit(f".{key}["), axis.cast("string"), F.lit("]"))))
+        place = F.when(outside[0], F.format_string("0]=%.2f", index[0])).when(outside[1], F.format_string("1]=%.2f", index[1])).when(outside[2], F.format_string("2]=%.2f", index[2]))
+        flags.append(F.when(_is_xyz(key) & place.isNotNull(), F.concat(F.lit("oob:"), rid, F.lit(f".{key}["), place)))
     of_row = j.select("case_id", F.explode(F.array_compact(F.array(*flags))).alias("flag"))
     return of_case.unionByName(of_row)
 

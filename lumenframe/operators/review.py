@@ -21,8 +21,13 @@ def number_branches(df: DataFrame, tie: str = "id") -> DataFrame:
 
 
 def attach_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Exact (case, instance) link; a verdict key is used once, rows without one stay blank."""
-    once = verdicts.groupBy(*KEY).agg(F.max("verdict").alias("verdict"))
+    """Exact (case, instance) link; rows without a verdict stay blank.
+
+    Of repeated keys the last edit by ``(edit_ts, edit_id)`` counts, as far as the table has these columns; else the
+    greatest verdict.
+    """
+    order = [c for c in ("edit_ts", "edit_id") if c in verdicts.columns]
+    once = verdicts.groupBy(*KEY).agg(F.max(F.struct(*order, "verdict")).getField("verdict").alias("verdict"))
     return rows.join(once, KEY, "left")
 
 
@@ -33,11 +38,11 @@ def carry_flags(rows: DataFrame, earlier: DataFrame, flag: str = "review_flag")
 
 def curated_flags(rows: DataFrame, curated: DataFrame) -> DataFrame:
     """Flags by (case, instance[, status]); a curated row with null status fits every status."""
-    c = curated.select(*KEY, F.col("status").alias("__status"), F.col("review_flag").alias("__flag"))
-    joined = rows.join(c, KEY, "left")
-    fits = F.col("__status").isNull() | (F.col("__status") == F.col("status"))
-    flag = F.coalesce(F.when(fits, F.col("__flag")), F.lit(""))
-    return joined.withColumn("review_flag", flag).drop("__status", "__flag")
+    exact = curated.filter("status is not null").groupBy(*KEY, "status").agg(F.min("review_flag").alias("__exact"))
+    any_ = curated.filter("status is null").groupBy(*KEY).agg(F.min("review_flag").alias("__any"))
+    joined = rows.join(exact, [*KEY, "status"], "left").join(any_, KEY, "left")
+    out = joined.withColumn("review_flag", F.coalesce("__exact", "__any", F.lit(""))).drop("__exact", "__any")
+    return out.select(*rows.columns, *[c for c in out.columns if c not in rows.columns])
 
 
 def current_verdicts(edits: DataFrame, base: DataFrame | None = None, key: Sequence[str] = ("key",)) -> DataFrame:

@@ -17,16 +17,26 @@ from lumenframe.operators.bricks import EDGE, KEY, spread, with_bricks
 from lumenframe.operators.percase import case_joiner
 from lumenframe.params import DEFAULTS, Params
 
-TRUNCATE = 4.0  # kernel half-width in standard deviations
+TRUNCATE = 5.0  # half-width of a pass in standard deviations of that pass
+
+
+def kernel_radius(sigma: float) -> int:
+    """Half-width of the kernels of ``derivative_kernels``."""
+    return 2 * max(int(TRUNCATE * sigma / np.sqrt(2.0) + 0.5), 2)
 
 
 def derivative_kernels(sigma: float) -> list[np.ndarray]:
-    """Sampled Gaussian and its first two derivatives, for correlation."""
-    r = int(TRUNCATE * sigma + 0.5)
+    """Smoothing, first and second derivative, for correlation: two passes of width sigma / sqrt(2) each.
+
+    The second derivative is the antisymmetric first-order kernel applied twice, so its taps sum to zero
+    at every width; a sampled second derivative would answer to flat input where sigma is below a voxel.
+    """
+    r, s = kernel_radius(sigma) // 2, sigma / np.sqrt(2.0)
     t = np.arange(-r, r + 1, dtype=float)
-    g = np.exp(-0.5 * (t / sigma) ** 2)
+    g = np.exp(-0.5 * (t / s) ** 2)
     g /= g.sum()
-    return [g, g * t / sigma**2, g * (t**2 / sigma**4 - 1.0 / sigma**2)]
+    d = g * t / s**2
+    return [np.convolve(g, g), np.convolve(g, d), np.convolve(d, d)]
 
 
 def _correlate(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
@@ -78,7 +88,7 @@ def tube_response(
     mean_sp = (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
     finest = grid.agg(F.min(mean_sp)).first()[0]
     widest = max([max(p.min_scale_voxels, s / finest) for s in p.tube_scales_mm]) if finest else 1.0
-    halo = int(TRUNCATE * widest + 0.5)
+    halo = kernel_radius(widest)
     bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
     attach = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), *bounds))
     bricked = attach(with_bricks(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep), halo, edge))

@@ -69,7 +69,7 @@ def _files(spark, sf):
     """Customers as files: a folder per five customers, names by market segment."""
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     n = F.floor(F.col("c_custkey") / 5).cast("string")
-    folder = F.when(F.col("c_custkey") % 10 < 5, F.concat(F.lit("case_"), n)).otherwise(F.concat(F.lit("subject"), F.lpad(n, 3, "0")))
+    folder = F.when(F.col("c_custkey") % 10 < 5, F.concat(F.lit("case_"), n)).otherwise(F.format_string("subject%03d", n.cast("int")))
     stem = (
         F.when(F.col("c_mktsegment") == "BUILDING", "orig").when(F.col("c_mktsegment") == "AUTOMOBILE", "image")
         .when(F.col("c_mktsegment") == "MACHINERY", "aorta").when(F.col("c_mktsegment") == "HOUSEHOLD", "mask").otherwise("aorta_and_daughters")
@@ -90,12 +90,12 @@ def unpaired_folders(spark, sf):
 
 def prediction_lookup(spark, sf):
     """Cases by nation; prediction files by the customers' keys under the four conventions."""
-    cases = table(spark, sf, "customer").select(F.concat(F.lit("case_"), F.lpad((F.col("c_custkey") % 700).cast("string"), 2, "0")).alias("case_id")).distinct()
+    cases = table(spark, sf, "customer").select(F.format_string("case_%02d", F.col("c_custkey")).alias("case_id")).distinct()
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    n = F.lpad((F.col("o_custkey") % 700).cast("string"), 2, "0")
+    n = F.format_string("%02d", F.col("o_custkey"))
     kind = F.col("o_orderkey") % 9
     path = (
-        F.when(kind == 0, F.concat(F.lit("subject"), F.lpad((F.col("o_custkey") % 700).cast("string"), 3, "0"), F.lit(".json")))
+        F.when(kind == 0, F.format_string("subject%03d.json", F.col("o_custkey")))
         .when(kind == 1, F.concat(F.lit("case_"), n, F.lit(".json")))
         .when(kind == 2, F.concat(F.lit("case_"), n, F.lit("/prediction.json")))
         .otherwise(F.concat(F.lit("other"), n, F.lit(".json")))
@@ -214,7 +214,7 @@ def stream_verdicts(spark, sf):
 
 
     log = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
-    raw = spark.readStream.schema(log.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(log.schema).parquet(f"{sf.rstrip('/')}/events.parquet*")  # a file or a folder of part files
     verdict = F.when(F.col("event_type") == "purchase", "confirmed_real").when(F.col("event_type") == "error", "confirmed_false").otherwise("uncertain")
     edits = raw.select(F.col("user_id").alias("key"), F.col("event_id").alias("edit_id"), F.col("ts").cast("timestamp").alias("edit_ts"), verdict.alias("verdict"))
     base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
@@ -231,10 +231,10 @@ def detected_branches(spark, sf):
 
 _SC = """sc AS (SELECT s_suppkey AS case_id, CAST(s_nationkey AS INT)+64 AS n0, 0.8::DOUBLE AS s0, 0.9::DOUBLE AS s1, 1.0::DOUBLE + s_nationkey/50.0::DOUBLE AS s2, s_acctbal/100.0::DOUBLE AS o0, -20.0::DOUBLE AS o1, 5.0::DOUBLE AS o2,
    cos(s_nationkey*0.25::DOUBLE) AS d0, -sin(s_nationkey*0.25::DOUBLE)+s_acctbal/1e8 AS d1, sin(s_nationkey*0.25::DOUBLE) AS d3, cos(s_nationkey*0.25::DOUBLE) AS d4 FROM supplier)"""
-_FILES = """fl AS (SELECT '/scans/' || CASE WHEN c_custkey % 10 < 5 THEN 'case_' || CAST(c_custkey // 5 AS VARCHAR) ELSE 'subject' || CASE WHEN length(CAST(c_custkey // 5 AS VARCHAR)) >= 3 THEN CAST(c_custkey // 5 AS VARCHAR)[1:3] ELSE lpad(CAST(c_custkey // 5 AS VARCHAR), 3, '0') END END AS folder,
+_FILES = """fl AS (SELECT '/scans/' || CASE WHEN c_custkey % 10 < 5 THEN 'case_' || CAST(c_custkey // 5 AS VARCHAR) ELSE printf('subject%03d', c_custkey // 5) END AS folder,
    CASE c_mktsegment WHEN 'BUILDING' THEN 'orig' WHEN 'AUTOMOBILE' THEN 'image' WHEN 'MACHINERY' THEN 'aorta' WHEN 'HOUSEHOLD' THEN 'mask' ELSE 'aorta_and_daughters' END || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_nationkey % 3 = 0 THEN '.nii' ELSE '.nii.gz' END AS name FROM customer),
  pp AS (SELECT folder, min(CASE WHEN name LIKE 'orig%' OR name LIKE 'image%' THEN folder || '/' || name END) AS image, min(CASE WHEN (name LIKE 'aorta%' OR name LIKE 'mask%') AND name NOT LIKE '%daughter%' AND name NOT LIKE '%and\\_%' ESCAPE '\\' THEN folder || '/' || name END) AS mask FROM fl GROUP BY 1),
- pi AS (SELECT folder, CASE WHEN folder LIKE '/scans/subject%' THEN regexp_extract(folder, '[^/]+$') ELSE 'subject' || CASE WHEN length(regexp_extract(folder, '\\d+$')) >= 3 THEN regexp_extract(folder, '\\d+$') ELSE lpad(regexp_extract(folder, '\\d+$'), 3, '0') END END AS case_id, image, mask FROM pp)"""
+ pi AS (SELECT folder, CASE WHEN folder LIKE '/scans/subject%' THEN regexp_extract(folder, '[^/]+$') ELSE printf('subject%03d', CAST(regexp_extract(folder, '\\d+$') AS BIGINT)) END AS case_id, image, mask FROM pp)"""
 _QUAD = "inst AS (SELECT *, CAST(floor(z/4.0) AS INT)*4 + CASE WHEN y >= 12 THEN 2 ELSE 0 END + CASE WHEN x >= 12 THEN 1 ELSE 0 END AS inst_id FROM lat WHERE hu > 300 AND NOT parent)"
 _SPR = """ms AS (SELECT case_id, inst_id, avg(z*1.5) AS a, avg(y*0.8) AS b, avg(x*0.8) AS c FROM ct GROUP BY 1,2),
  sp AS (SELECT ct.case_id, ct.inst_id, count(*) AS n_contact, max(sqrt((z*1.5-a)*(z*1.5-a)+(y*0.8-b)*(y*0.8-b)+(x*0.8-c)*(x*0.8-c))) AS s FROM ct JOIN ms ON ms.case_id=ct.case_id AND ms.inst_id=ct.inst_id GROUP BY 1,2)"""
@@ -249,12 +249,9 @@ COHORT_QUERIES = {
     "coregistration": (coregistration, with_sql(_SC) + ", e AS (SELECT case_id, (case_id % 20)*1.3e-5 AS e, o0, o1, o2 FROM sc) SELECT case_id, round_even(o0+e,4)=round_even(o0,4) AND round_even(o1+e,4)=round_even(o1,4) AND round_even(o2+e,4)=round_even(o2,4) AS same_grid FROM e"),
     "volume_pairs": (volume_pairs, with_sql(_FILES) + "SELECT folder, case_id, image, mask FROM pi WHERE image IS NOT NULL AND mask IS NOT NULL"),
     "unpaired_folders": (unpaired_folders, with_sql(_FILES) + "SELECT folder, case_id, image, mask FROM pi WHERE image IS NULL OR mask IS NULL"),
-    "prediction_lookup": (prediction_lookup, """WITH c AS (SELECT DISTINCT c_custkey % 700 AS k FROM customer), f AS (SELECT o_custkey % 700 AS k, min(CASE o_orderkey % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 END) AS p FROM orders GROUP BY 1),
- n AS (SELECT k, CASE WHEN k < 10 THEN '0' || CAST(k AS VARCHAR) WHEN k < 100 THEN CAST(k AS VARCHAR) ELSE CAST(k AS VARCHAR)[1:2] END AS two FROM c),
- g AS (SELECT DISTINCT 'case_' || two AS case_id, two FROM n),
- h AS (SELECT CASE o_orderkey % 9 WHEN 0 THEN 'subject' || lpad(CAST(o_custkey % 700 AS VARCHAR), 3, '0') || '.json' WHEN 1 THEN 'case_' || CASE WHEN o_custkey % 700 < 10 THEN '0' || CAST(o_custkey % 700 AS VARCHAR) ELSE CAST(o_custkey % 700 AS VARCHAR)[1:2] END || '.json'
-   WHEN 2 THEN 'case_' || CASE WHEN o_custkey % 700 < 10 THEN '0' || CAST(o_custkey % 700 AS VARCHAR) ELSE CAST(o_custkey % 700 AS VARCHAR)[1:2] END || '/prediction.json' END AS path FROM orders),
- w AS (SELECT case_id, 0 AS p, 'subject' || lpad(CAST(CAST(two AS INT) AS VARCHAR), 3, '0') || '.json' AS path FROM g UNION ALL SELECT case_id, 1, 'case_' || two || '.json' FROM g UNION ALL SELECT case_id, 3, case_id || '/prediction.json' FROM g)
+    "prediction_lookup": (prediction_lookup, """WITH g AS (SELECT DISTINCT c_custkey AS k, printf('case_%02d', c_custkey) AS case_id FROM customer),
+ h AS (SELECT CASE o_orderkey % 9 WHEN 0 THEN printf('subject%03d.json', o_custkey) WHEN 1 THEN printf('case_%02d.json', o_custkey) WHEN 2 THEN printf('case_%02d/prediction.json', o_custkey) END AS path FROM orders),
+ w AS (SELECT case_id, 0 AS p, printf('subject%03d.json', k) AS path FROM g UNION ALL SELECT case_id, 1, case_id || '.json' FROM g UNION ALL SELECT case_id, 3, case_id || '/prediction.json' FROM g)
 SELECT g.case_id, min_by(w.path, w.p) AS path FROM g LEFT JOIN (SELECT w.* FROM w WHERE path IN (SELECT path FROM h)) w ON w.case_id=g.case_id GROUP BY 1"""),
     "ingest_errors": (ingest_errors, "SELECT page_id AS case_id, 'image' AS role, CASE page_id % 7 WHEN 0 THEN 'missing_file' WHEN 1 THEN 'unreadable_volume' WHEN 2 THEN 'size_mismatch' WHEN 3 THEN 'not_co_registered' WHEN 4 THEN 'unreadable_volume' ELSE 'empty_mask' END AS kind, CASE page_id % 7 WHEN 0 THEN 'No such file: ' || url WHEN 1 THEN 'File too small to be NIfTI: ' || url WHEN 2 THEN 'Image and mask have different sizes' WHEN 3 THEN 'grids are not co-registered after correction' WHEN 4 THEN 'Could not read volume' ELSE 'mask is empty' END AS message FROM pages WHERE page_id % 7 < 6"),
     "manifest_check": (manifest_check, "SELECT CAST(d.doc_id AS VARCHAR) AS path, CASE WHEN d.doc_id % 10 = 0 THEN 'unlisted' WHEN toxic = 1 AND upper(text) <> text THEN 'sha256' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id"),

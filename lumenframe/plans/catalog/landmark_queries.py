@@ -289,5 +289,5 @@ UNION ALL SELECT case_id, instance_id, 'negative_radius' FROM v WHERE r < 0
 UNION ALL SELECT case_id, instance_id, 'direction_not_unit' FROM v WHERE nrm < 0.5 OR nrm > 1.5"""),
     "sanity_flags": (sanity_flags, with_sql(LM, NUM, SANITY) + """SELECT case_id, 'high_count:' || CAST(count(*) AS VARCHAR) AS flag FROM fl GROUP BY case_id HAVING count(*) > 15
 UNION ALL SELECT case_id, 'negative_radius:' || instance_id FROM fl WHERE r < 0
-UNION ALL SELECT case_id, 'oob:' || instance_id || '.' || k || '[' || CAST(a AS VARCHAR) || ']' FROM bad WHERE a IS NOT NULL"""),
+UNION ALL SELECT case_id, 'oob:' || instance_id || '.' || k || '[' || CAST(a AS VARCHAR) || ']=' || printf('%.2f', CASE a WHEN 0 THEN i0 WHEN 1 THEN i1 ELSE i2 END) FROM bad WHERE a IS NOT NULL"""),
 }

@@ -415,7 +415,7 @@ LATTICE_QUERIES = {
     "path_consistency": (path_consistency, None),
     "strip_landmarks": (strip_landmarks, None),
     "quality_reasons": (quality_reasons, q.QUALITY),
-    "tube_filter": (tube_filter, q.TUBE_FILTER),
+    "tube_filter": (tube_filter, None),
     "mip_slab": (mip_slab, q.MIP),
     "display_window": (display_window, q.WINDOW),
     "plane_crops": (plane_crops, q.PLANES),

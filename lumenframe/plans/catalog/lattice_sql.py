@@ -120,7 +120,6 @@ QUALITY = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, "inst AS (SELECT case_id,
  fe AS (SELECT sv.case_id, sv.inst_id, sv.n, sv1, sv2, mh, mv, coalesce(k,0) AS k, p10, p50, blood_low, t FROM sv JOIN iv ON iv.case_id=sv.case_id AND iv.inst_id=sv.inst_id LEFT JOIN nc ON nc.case_id=sv.case_id AND nc.inst_id=sv.inst_id JOIN cal ON cal.case_id=sv.case_id JOIN th ON th.case_id=sv.case_id)
 SELECT case_id, CAST(inst_id AS INT) AS inst_id, CASE WHEN n < 4 THEN 'too_few_voxels' WHEN sv1 < 3.2 THEN 'short_axis' WHEN sv1/greatest(sv2,1e-3) < 1.15 THEN 'blob_aniso' WHEN mh < least(p10, 0.45*p50+0.55*blood_low) THEN 'dim_hu'
   WHEN mh < 0.7*p50 AND mv < 0.4*t THEN 'low_vesselness' WHEN mv < 0.02 AND n > 400 AND 2*sqrt(k*pow(CAST(0.96 AS DOUBLE), 2.0/3.0)/pi()) < 6.5 THEN 'smear' WHEN n*0.96 < 20.0 THEN 'tiny_volume' END AS reason FROM fe"""
-TUBE_FILTER = None
 MIP = with_sql(LAT) + ", c AS (SELECT case_id, CAST(round_even(avg(z),0) AS INT) AS m FROM lat WHERE parent GROUP BY 1) SELECT lat.case_id, y, x, round(max(hu),6) AS mip, bool_or(parent) AS parent FROM lat JOIN c ON c.case_id=lat.case_id AND z BETWEEN m-2 AND m+2 GROUP BY 1,2,3"
 WINDOW = with_sql(LAT) + ", w AS (SELECT case_id, quantile_cont(hu,0.05)-80.0 AS lo, quantile_cont(hu,0.95)+80.0 AS hi FROM lat WHERE parent GROUP BY 1) SELECT lat.case_id, z, y, x, round(least(greatest((hu-lo)/greatest(hi-lo,1.0),0.0),1.0),6) AS shade FROM lat JOIN w ON w.case_id=lat.case_id WHERE parent"
 PLANES = with_sql(LAT) + """, c AS (SELECT case_id, CAST(round_even(avg(z),0) AS INT) AS mz, CAST(round_even(avg(y),0) AS INT) AS my, CAST(round_even(avg(x),0) AS INT) AS mx FROM lat WHERE parent GROUP BY 1)

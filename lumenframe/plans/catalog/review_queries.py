@@ -44,8 +44,8 @@ def overlap_band(spark, sf):
 
 
 def histogram(spark, sf):
-    out = ds.histogram(detections(spark, sf), "feature", 0.0, 50000.0, 25, ["verdict"])
-    return out.select("verdict", F.col("bin").cast("long").alias("bin"), "lo", "hi", "n")
+    out = ds.histogram_over_range(detections(spark, sf), "feature", 25, ["verdict"])
+    return out.select("verdict", F.col("bin").cast("long").alias("bin"), r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
 
 
 def short_path_audit(spark, sf):
@@ -251,7 +251,7 @@ REVIEW_QUERIES = {
     "youden_cut": (youden_cut, with_sql(DET, _TF, _CUM, _YHI) + _YEND),
     "youden_cut_ceiling": (youden_cut_ceiling, with_sql(DET, _TF, _CUM, _YLO) + _YEND),
     "overlap_band": (overlap_band, with_sql(DET, _TF) + ", b AS (SELECT greatest(min(v) FILTER (t), min(v) FILTER (NOT t)) AS lo, least(max(v) FILTER (t), max(v) FILTER (NOT t)) AS hi FROM tf) SELECT lo, hi, CAST(count_if(t) AS BIGINT) AS n_true, CAST(count_if(NOT t) AS BIGINT) AS n_extra, CAST(count_if(t AND v BETWEEN lo AND hi) AS BIGINT) AS n_true_in, CAST(count_if(NOT t AND v BETWEEN lo AND hi) AS BIGINT) AS n_extra_in FROM tf, b GROUP BY lo, hi"),
-    "histogram": (histogram, with_sql(DET) + "SELECT s.verdict, i AS bin, i*2000.0::DOUBLE AS lo, (i+1)*2000.0::DOUBLE AS hi, coalesce(n, 0) AS n FROM (SELECT verdict, unnest(range(0, 25)) AS i FROM (SELECT DISTINCT verdict FROM det)) s LEFT JOIN (SELECT verdict, least(CAST(floor(feature/2000.0) AS BIGINT), 24) AS b, count(*) AS n FROM det WHERE feature BETWEEN 0 AND 50000 GROUP BY 1, 2) c ON c.verdict=s.verdict AND c.b=s.i"),
+    "histogram": (histogram, with_sql(DET) + ", rg AS (SELECT min(feature) AS a, (max(feature)-min(feature))/25.0::DOUBLE AS w FROM det) SELECT s.verdict, i AS bin, round(a+i*w,6) AS lo, round(a+(i+1)*w,6) AS hi, coalesce(n, 0) AS n FROM (SELECT verdict, unnest(range(0, 25)) AS i FROM (SELECT DISTINCT verdict FROM det)) s CROSS JOIN rg LEFT JOIN (SELECT verdict, least(CAST(floor((feature-a)/w) AS BIGINT), 24) AS b, count(*) AS n FROM det, rg GROUP BY 1, 2) c ON c.verdict=s.verdict AND c.b=s.i"),
     "short_path_audit": (short_path_audit, with_sql(LM) + "SELECT case_id, id, round(path_mm,6) AS path_mm FROM lm WHERE path_mm < 5.0"),
     "threshold_sweep": (threshold_sweep, with_sql(DET, _SCORE, _SWEEP.format(lo="CAST(0.15 AS DOUBLE)", hi="CAST(0.75 AS DOUBLE)", n=12, m=13)) + 'SELECT round(threshold,6) AS threshold, tp, fn, tn, fp, round(tp/CAST(greatest(tp+fp,1) AS DOUBLE),6) AS "precision", round(tp/CAST(greatest(tp+fn,1) AS DOUBLE),6) AS recall FROM sw'),
     "safest_threshold": (safest_threshold, with_sql(DET, _SCORE, _SWEEP.format(lo="CAST(0.0 AS DOUBLE)", hi="CAST(0.6 AS DOUBLE)", n=24, m=25)) + "SELECT round(threshold,6) AS threshold, tn FROM sw WHERE fn = 0 ORDER BY threshold DESC LIMIT 1"),

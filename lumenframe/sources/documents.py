@@ -91,7 +91,7 @@ def choose_prediction_files(cases: DataFrame, files: DataFrame) -> DataFrame:
     num = F.regexp_extract("case_id", r"_(\d+)$", 1)
     # Conventions in priority order.
     names = F.array(
-        F.concat(F.lit("subject"), F.lpad(num.cast("int").cast("string"), 3, "0"), F.lit(".json")),
+        F.when(num != "", F.format_string("subject%03d.json", num.try_cast("int"))),
         F.concat(F.lit("case_"), num, F.lit(".json")),
         F.concat(F.col("case_id"), F.lit(".json")),
         F.concat(F.col("case_id"), F.lit("/prediction.json")),

@@ -131,7 +131,7 @@ def whole_response(hu, sp, p):
     out = np.zeros(hu.shape)
     for mm in p.tube_scales_mm:
         s = max(p.min_scale_voxels, mm / np.mean(sp))
-        halo = int(4 * s + 0.5)
+        halo = stencil.kernel_radius(s)
         out = np.maximum(out, stencil._response(np.pad(hu, halo, mode="symmetric"), halo, s, p.tube_alpha, p.tube_beta, p.tube_gamma))
     return out
 
@@ -157,3 +157,10 @@ def test_tube_filter_prefers_bright_tubes():
     dark = 200 - tube
     r = [whole_response(v, (1, 1, 1), DEFAULTS)[12, 12, 12] for v in (tube, plate, dark)]
     assert r[0] > 0.5 and r[1] < 0.05 and r[2] == 0.0
+
+
+def test_flat_input_has_no_tube_response():
+    from lumenframe.params import DEFAULTS
+
+    for spacing in (0.78, 1.0, 1.5):
+        assert whole_response(np.full((12, 12, 12), 300.0), (spacing,) * 3, DEFAULTS).max() < 1e-9

@@ -151,3 +151,11 @@ def test_opposing_ridges_are_split(spark):
     two = contact.where("y < 6 or y > 16 and y < 20")
     patches = splitting.contact_patch_split(cells, two, cells_df(spark, {"a": parent}), grid, 3.5)
     assert {r.part for r in patches.select("part").distinct().collect()} == {1, 2} and patches.count() == inst.sum()
+
+
+def test_curated_flags_keep_one_row_each_and_last_verdict_counts(spark):
+    rows = spark.createDataFrame([("a", "i", "extra")], "case_id string, instance_id string, status string")
+    curated = spark.createDataFrame([("a", "i", "extra", "x"), ("a", "i", "draft_match", "y"), ("a", "i", None, "z")], "case_id string, instance_id string, status string, review_flag string")
+    assert [r.review_flag for r in review.curated_flags(rows, curated).collect()] == ["x"]
+    edits = spark.createDataFrame([("a", "i", 1, "zz"), ("a", "i", 2, "aa")], "case_id string, instance_id string, edit_ts int, verdict string")
+    assert [r.verdict for r in review.attach_verdicts(rows, edits).collect()] == ["aa"]

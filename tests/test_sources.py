@@ -205,3 +205,11 @@ def test_run_logs(spark, folder):
     got = {r.case_id: r for r in quality_checks.run_summary(cases, logs, flags, exits).collect()}
     assert (got["subject001"].n_detections, got["subject001"].runtime_s, got["subject001"].peak_mem_gb, got["subject001"].flag) == (17, 10.99, 0.8227, "high_count:17")
     assert got["subject002"].flag == "warning" and got["subject003"].flag == "crash:exit_2" and got["subject003"].needs_inspection
+
+
+def test_prediction_files_of_four_digit_cases(spark):
+    from lumenframe.sources import documents
+
+    cases = spark.createDataFrame([("case_1000",), ("case_7",), ("odd",)], "case_id string")
+    files = spark.createDataFrame([("subject100.json",), ("subject1000.json",), ("subject007.json",)], "path string")
+    assert {r.case_id: r.path for r in documents.choose_prediction_files(cases, files).collect()} == {"case_1000": "subject1000.json", "case_7": "subject007.json", "odd": None}
