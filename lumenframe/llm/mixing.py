@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.blocks import Block, bytes_of, word_hashes, words_of
+from lumenframe.llm.blocks import Block, bytes_of, release, word_hashes, words_of
 from lumenframe.llm.scratch import kept
 
 TOPICS, LONG_WORD = 8, 5
@@ -46,6 +46,7 @@ def described(text: pa.Array) -> pa.Array:
         topics.append(votes.reshape(-1, TOPICS).argmax(1).astype(np.int32))
         counts.append(words.counts)
         at = to
+    release()
     return pa.StructArray.from_arrays([pa.array(np.concatenate(topics)), pa.array(np.concatenate(counts).astype(np.int64))], names=["topic", "n_tokens"])
 
 

@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.anchors import contents, picked, runs_of, to_ends
-from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byte_values, mix, spread, texts_of
+from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byte_values, mix, release, spread, texts_of
 from lumenframe.llm.scratch import kept, new_folder, partitions
 
 DEPTH, GRAM, PASSES = 50, 16, 3
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 #: Answers: two documents hold the digit; a document before the block's first holds it.
 SHARED, EARLIER = 1, 2
 _LOW32 = U64(0xFFFFFFFF)
@@ -148,6 +148,8 @@ def _answered(group: pa.Table) -> pa.Table:
     code[order] = many[of] * SHARED + (least[order] > np.minimum.reduceat(least[order], at)[of]) * EARLIER
     ends = np.cumsum(sizes)
     out = [pack(code[hi - n : hi].tobytes()) for hi, n in zip(ends.tolist(), sizes)]
+    del parts, digits, checks, least, shared, order, d, c, new, at, of, many, code
+    release()
     return pa.table([group.column("block"), group.column("bucket"), group.column("n"), pa.array(out, pa.binary())], schema=_ASKED)
 
 
@@ -206,6 +208,7 @@ def _next_question(step: int, n_buckets: int):
         out = [_ASKED.empty_table()]
         for key, payload in zip(texts.column("block").to_pylist(), texts.column("payload").to_pylist()):
             out.append(_asked(key, _judged(_unpacked(payload), known), n_buckets, step > 1))
+        release()
         return pa.concat_tables(out)
 
     return run
