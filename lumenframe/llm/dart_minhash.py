@@ -40,6 +40,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, ROWS = 96, 3
 BANDS = COORDINATES // ROWS
 PIVOTS = 8
+#: Shingle units of the texts that one task compares with each other.
+TILE_WEIGHT = 1 << 16
 _ODD = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, 8)]
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
 
@@ -163,6 +165,54 @@ def _near_in_size(a: str, b: str):
     return F.least(a, b) >= F.greatest(a, b) * (THRESHOLD - 1e-9)
 
 
+def _tiled(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of one ``home`` dealt by hash to tiles of about ``TILE_WEIGHT`` units: adds ``name``."""
+    counts = rows.groupBy("home").agg(F.ceil(F.sum("weight") / TILE_WEIGHT).alias("tiles"))
+    return rows.join(counts, "home").withColumn(name, F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "tiles"))).drop("tiles")
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Links ``u, v`` between the texts of a tile that ask and all its texts of other components."""
+    n = table.num_rows
+    ids, root = table["doc_id"].to_numpy(), table["root"].to_numpy()
+    ends, data = bytes_of(table["text"].combine_chunks())
+    doc, key, _ = unit_cells(Block(np.arange(n), ends - ends[0], data[ends[0] : ends[-1]]))
+    order = np.argsort(doc, kind="stable")
+    names, unit = np.unique(key[order], return_inverse=True)
+    weight = np.bincount(doc, minlength=n)
+    stop = np.cumsum(weight)
+    u, v = [], []
+    for a in np.flatnonzero(table["asks"].to_numpy(zero_copy_only=False)):
+        has = np.zeros(len(names), bool)
+        has[unit[stop[a] - weight[a] : stop[a]]] = True
+        before = np.concatenate([[0], np.cumsum(has[unit])])
+        common = before[stop] - before[stop - weight]
+        near = (common >= (THRESHOLD - 1e-12) * np.maximum(weight[a] + weight - common, 1)) & (root != root[a])
+        v.append(ids[near])
+        u.append(np.full(len(v[-1]), ids[a]))
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"u": np.concatenate(u or none), "v": np.concatenate(v or none)})
+
+
+def _across(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``u, v`` between components that share a band.
+
+    ``split``: ``key, doc_id, weight, root`` and the group's largest component ``main`` of ``n`` texts. The texts
+    outside it ask all texts of the group. Both are dealt to tiles of bounded size, and a text travels once to each
+    tile that holds a text it shares a band with; pairs are never rows.
+    """
+    outside = F.max(F.col("root") != F.col("main")).alias("asks")
+    homes = kept(split.groupBy("doc_id", "weight", "root").agg(F.max(F.struct("n", "main")).alias("h"), outside).select("doc_id", "weight", "root", "asks", F.col("h.main").alias("home")), "homes")
+    answering = _tiled(homes.select("doc_id", "weight", "home"), "tile").select("doc_id", "tile")
+    asking = _tiled(homes.filter("asks").select("doc_id", "weight", "home"), "ask_tile").select("doc_id", "ask_tile")
+    members = split.select("key", "doc_id").join(answering, "doc_id")
+    askers = split.filter(F.col("root") != F.col("main")).select("key", "doc_id").join(asking, "doc_id")
+    told = members.join(askers.select("key", "ask_tile").distinct(), "key").select("ask_tile", "tile", "doc_id", F.lit(False).alias("asks")).distinct()
+    told = told.unionByName(askers.join(members.select("key", "tile").distinct(), "key").select("ask_tile", "tile", "doc_id", F.lit(True).alias("asks")).distinct())
+    told = told.join(homes.select("doc_id", "root"), "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    return told.groupBy("ask_tile", "tile").applyInArrow(_met, "u long, v long").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id``: the least id of each document's class."""
     texts = texts_of(docs)
@@ -191,12 +241,8 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = shared.join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     placed = kept(placed.select("key", "doc_id", "weight", "root"), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.root").alias("main"))
-    split = placed.join(main, "key")
-    outer = split.filter(F.col("root") != F.col("main")).select("key", F.col("doc_id").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
-    rest = outer.join(split, "key").filter((F.col("ra") != F.col("root")) & _near_in_size("wa", "weight"))
-    rest = rest.select(F.least("a", "doc_id").alias("u"), F.greatest("a", "doc_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = kept(_linked(rest, texts), "more-links")
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", "m.n", F.col("m.root").alias("main"))
+    more = kept(_across(placed.join(main, "key"), texts), "more-links")
     same = named.filter("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     final = _components(links.unionByName(more).unionByName(same))
     ids = sets.select("doc_id").distinct()
