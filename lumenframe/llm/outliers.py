@@ -31,6 +31,8 @@ CHI2_MEDIAN, CUTOFF = 3.3567, 45.0
 #: What is added to the variance of each statistic.
 FLOOR = (0.06**2, 0.35**2, 0.35**2, 0.35**2)
 N = len(FLOOR)
+#: Parts into which the rows of a group are dealt where they meet its estimates.
+SALTS = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -108,20 +110,30 @@ def _distance() -> Column:
     return step(0, [])
 
 
+def _beside(rows: DataFrame, groups: DataFrame, key: str = "grp", how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group, over ``SALTS`` copies of it: a group may hold most of the rows."""
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, [key, "salt"], how)
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """Centre, scatter factor and scale of each ``grp`` of ``grp, f0..`` rows."""
+    """Centre, scatter factor and scale of each ``grp`` of ``grp, salt, f0..`` rows."""
     cols = [f"f{i}" for i in range(N)]
     quantile = lambda c, q: F.percentile_approx(c, q, 2000)
     middle = rows.groupBy("grp").agg(F.count("*").alias("n"), *[quantile(c, 0.5).alias(f"m{i}") for i, c in enumerate(cols)])
-    around = rows.join(middle, "grp").groupBy("grp").agg(
+    around = _beside(rows, middle).groupBy("grp").agg(
         F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(N)],
         *[F.pow(1.4826 * quantile(F.abs(F.col(f"f{i}") - F.col(f"m{i}")), 0.5), F.lit(2)).alias(f"c{i}{i}") for i in range(N)],
     )
     est = kept(_factored(around.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(N) for j in range(i)})), "mcd-start")
     for step in range(STEPS):
-        at = rows.join(est, "grp").withColumn("d", _distance())
+        at = _beside(rows, est).withColumn("d", _distance())
         nearest = at.groupBy("grp").agg(quantile(F.col("d"), INNER).alias("cut"))
-        inner = at.join(nearest, "grp").filter(F.col("d") <= F.col("cut"))
+        inner = _beside(at, nearest).filter(F.col("d") <= F.col("cut"))
         # moments about the last centre keep the sums small
         off = [F.col(f"f{i}") - F.col(f"m{i}") for i in range(N)]
         sums = inner.groupBy("grp").agg(
@@ -133,7 +145,7 @@ def estimates(rows: DataFrame) -> DataFrame:
             *[(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i in range(N) for j in range(i + 1)],
         )
         est = kept(_factored(moved), f"mcd-{step}")
-    scale = rows.join(est, "grp").groupBy("grp").agg((quantile(_distance(), 0.5) / CHI2_MEDIAN).alias("raw"))
+    scale = _beside(rows, est).groupBy("grp").agg((quantile(_distance(), 0.5) / CHI2_MEDIAN).alias("raw"))
     return kept(est.join(scale.select("grp", F.greatest("raw", F.lit(1.0)).alias("scale")), "grp"), "mcd")
 
 
@@ -141,12 +153,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """Statistics, ``base_failed``, ``distance`` (squared, null where the base rules fail) and ``kept`` of every document."""
     stats = kept(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
     own = F.concat_ws("\t", *[F.concat(F.lit("="), F.col(c)) for c in ("lang", "source")], F.isnull("lang").cast("string"))
-    rows = stats.filter(~F.col("base_failed")).select("doc_id", own.alias("own"), *[f.alias(f"f{i}") for i, f in enumerate(features())])
-    pooled = rows.select(F.explode(F.array(F.col("own"), F.lit("*"))).alias("grp"), *[f"f{i}" for i in range(N)])
+    rows = stats.filter(~F.col("base_failed")).select("doc_id", _salt(), own.alias("own"), *[f.alias(f"f{i}") for i, f in enumerate(features())])
+    pooled = rows.select(F.explode(F.array(F.col("own"), F.lit("*"))).alias("grp"), "salt", *[f"f{i}" for i in range(N)])
     est = estimates(pooled)
     usable = est.filter((F.col("n") >= MIN_GROUP) | (F.col("grp") == "*"))
     groups = rows.groupBy("own").agg(F.count("*").alias("size")).withColumn("grp", F.when(F.col("size") >= MIN_GROUP, F.col("own")).otherwise("*"))
     named = groups.select("own", "grp").join(usable, "grp").drop("grp", "n")
-    keyed = stats.withColumn("own", own).join(named, "own", "left").withColumns({f"f{i}": f for i, f in enumerate(features())})
+    keyed = _beside(stats.withColumns({"own": own, "salt": _salt()}), named, "own", "left").withColumns({f"f{i}": f for i, f in enumerate(features())})
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     return keyed.select(*stats.columns, distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))

@@ -149,6 +149,30 @@ def test_near_duplicate_classes(awkward, rows_of, empty):
     assert dart_minhash.deduplicated(awkward).columns == awkward.columns
 
 
+def test_links_past_the_pivot(spark):
+    """Copies of one text with up to seven words changed: many reach a copy but not the original."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    texts = [words]
+    for _ in range(120):
+        copy = list(words)
+        for _ in range(rng.randrange(1, 8)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(30)}"
+        texts.append(copy)
+    sets = [shingles(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = sum((a & b).values())
+            if both >= 0.8 * (sum(a.values()) + sum(b.values()) - both):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = by_id(dart_minhash.classes(docs))
+    assert [out[i].class_id for i in range(len(texts))] == root
+    assert len(set(root)) > 1
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = ["x y z u v " * 3 + " ".join(f"k{i}" for i in range(300))], ["x y z u v " * 3 + " ".join(f"k{i}" for i in range(60, 360))]
     docs, keys, _ = dart_minhash.unit_cells(block_of(a + b))
