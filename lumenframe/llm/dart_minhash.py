@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.blocks import U64, Block, blocks, bytes_of, mix, rolling, spread, texts_of, word_hashes, words_of
+from lumenframe.llm.blocks import U64, Block, blocks, bytes_of, mix, release, rolling, spread, texts_of, word_hashes, words_of
 from lumenframe.llm.scratch import kept
 from lumenframe.operators.components import connected
 
@@ -41,7 +41,7 @@ COORDINATES, ROWS = 96, 3
 BANDS = COORDINATES // ROWS
 PIVOTS = 8
 #: Shingle units of the texts that one task compares with each other.
-TILE_WEIGHT = 1 << 16
+TILE_WEIGHT = 1 << 15
 _ODD = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, 8)]
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
 
@@ -150,6 +150,8 @@ def similarities(pairs: DataFrame) -> DataFrame:
                 total = sum(np.bincount(doc, minlength=to - at) for doc, _ in sides)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(shared / np.maximum(total - shared, 1))], names=["u", "v", "similarity"])
                 at = to
+                del sides, own, both
+        release()
 
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, similarity double")
 
@@ -190,6 +192,8 @@ def _met(table: pa.Table) -> pa.Table:
         near = (common >= (THRESHOLD - 1e-12) * np.maximum(weight[a] + weight - common, 1)) & (root != root[a])
         v.append(ids[near])
         u.append(np.full(len(v[-1]), ids[a]))
+    del doc, key, order, names, unit
+    release()
     none = [np.zeros(0, np.int64)]
     return pa.table({"u": np.concatenate(u or none), "v": np.concatenate(v or none)})
 
