@@ -40,7 +40,7 @@ from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byt
 from lumenframe.llm.scratch import kept, new_folder, partitions
 
 DEPTH, GRAM, PASSES = 50, 16, 3
-BLOCK_BYTES = 3 << 19
+BLOCK_BYTES = 1 << 20
 #: Answers: two documents hold the digit; a document before the block's first holds it.
 SHARED, EARLIER = 1, 2
 _LOW32 = U64(0xFFFFFFFF)
