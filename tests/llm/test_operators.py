@@ -283,3 +283,20 @@ def test_mixing(spark, awkward, empty):
     drawn = mixing.sample(awkward)
     assert drawn.columns == awkward.columns and drawn.count() > 0
     assert mixing.sample(empty).count() == 0
+
+
+def test_sample_has_target_shares(spark):
+    """A budget that a rare language can't meet: the expected sample keeps the target shares, as large as they allow."""
+    langs = ["en"] * 80 + ["fr"] * 15 + ["es"] * 5
+    docs = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8] * 6} word " * (10 + i % 7), langs[i % 100], f"s{i % 3}") for i in range(1200)], "doc_id long, text string, lang string, source string")
+    rows = mixing.weighted(docs).collect()
+    total = sum(r._n_tokens for r in rows)
+    for dim, power in (("_source", 0.7), ("_lang", 0.7), ("_topic", 0.0)):
+        drawn, before = collections.Counter(), collections.Counter()
+        for r in rows:
+            drawn[r[dim]] += r.prob * r._n_tokens
+            before[r[dim]] += r._n_tokens
+        goal = {k: v**power for k, v in before.items()}
+        assert all(abs(drawn[k] / sum(drawn.values()) / (g / sum(goal.values())) - 1) < 1e-5 for k, g in goal.items())
+    assert all(r.prob <= 1 for r in rows) and max(r.prob for r in rows) > 0.99
+    assert 0.25 * total < sum(r.prob * r._n_tokens for r in rows) < 0.8 * total
