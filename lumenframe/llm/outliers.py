@@ -5,7 +5,8 @@ shuffled. Documents that pass the base rules are judged by the minimum covarianc
 source, the centre and scatter of the tightest three quarters of its documents are found by concentration steps
 (distances, their quantile, moments of the nearer ones), all as grouped sums that are added up before the shuffle.
 Scatter is floored by a diagonal, so a statistic that is nearly constant in a group doesn't make every other value an
-outlier. Groups of fewer than ``MIN_GROUP`` documents take the estimates of the whole table.
+outlier. A group of fewer than ``MIN_GROUP`` documents, too few for estimates of four dimensions, takes those of its
+language, and of the whole table only if the language has fewer, too.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are groups of
 their own; rows without an id are left out; repeated rows count each; an empty table gives no rows.
@@ -24,8 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Share of a group that its estimates describe, number of concentration steps, and the smallest group with its own.
-INNER, STEPS, MIN_GROUP = 0.75, 3, 200
+#: Share of a group that its estimates describe, number of concentration steps, and the smallest group with its own:
+#: ten documents for each of the four statistics.
+INNER, STEPS, MIN_GROUP = 0.75, 3, 40
 #: Median of the chi-squared distribution with four degrees of freedom, and the squared distance that rejects.
 CHI2_MEDIAN, CUTOFF = 3.3567, 45.0
 #: What is added to the variance of each statistic.
@@ -149,16 +151,29 @@ def estimates(rows: DataFrame) -> DataFrame:
     return kept(est.join(scale.select("grp", F.greatest("raw", F.lit(1.0)).alias("scale")), "grp"), "mcd")
 
 
+def _chosen(rows: DataFrame) -> DataFrame:
+    """``own, grp``: the group whose estimates judge the documents of each ``own``; ``*`` is the whole table."""
+    sizes = rows.groupBy("wide", "own").agg(F.count("*").alias("size"))
+    wide = sizes.groupBy("wide").agg(F.sum("size").alias("wide_size"))
+    grp = F.when(F.col("size") >= MIN_GROUP, F.col("own")).when(F.col("wide_size") >= MIN_GROUP, F.concat(F.lit("lang "), F.col("wide"))).otherwise("*")
+    return sizes.join(wide, "wide").select("own", grp.alias("grp"))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """``grp, salt, f0..``: every row once for each group that it is part of."""
+    grp = F.explode(F.array(F.col("own"), F.concat(F.lit("lang "), F.col("wide")), F.lit("*")))
+    return rows.select(grp.alias("grp"), "salt", *[f"f{i}" for i in range(N)])
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, ``base_failed``, ``distance`` (squared, null where the base rules fail) and ``kept`` of every document."""
     stats = kept(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
-    own = F.concat_ws("\t", *[F.concat(F.lit("="), F.col(c)) for c in ("lang", "source")], F.isnull("lang").cast("string"))
-    rows = stats.filter(~F.col("base_failed")).select("doc_id", _salt(), own.alias("own"), *[f.alias(f"f{i}") for i, f in enumerate(features())])
-    pooled = rows.select(F.explode(F.array(F.col("own"), F.lit("*"))).alias("grp"), "salt", *[f"f{i}" for i in range(N)])
-    est = estimates(pooled)
-    usable = est.filter((F.col("n") >= MIN_GROUP) | (F.col("grp") == "*"))
-    groups = rows.groupBy("own").agg(F.count("*").alias("size")).withColumn("grp", F.when(F.col("size") >= MIN_GROUP, F.col("own")).otherwise("*"))
-    named = groups.select("own", "grp").join(usable, "grp").drop("grp", "n")
+    # "=": a value, "-": null; the language's group has no tab
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
+    own = F.concat(lang, F.lit("\t"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    rows = stats.filter(~F.col("base_failed")).select("doc_id", _salt(), lang.alias("wide"), own.alias("own"), *[f.alias(f"f{i}") for i, f in enumerate(features())])
+    est = estimates(_levels(rows))
+    named = _chosen(rows).join(est, "grp").drop("grp", "n")
     keyed = _beside(stats.withColumns({"own": own, "salt": _salt()}), named, "own", "left").withColumns({f"f{i}": f for i, f in enumerate(features())})
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     return keyed.select(*stats.columns, distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))

@@ -300,3 +300,16 @@ def test_sample_has_target_shares(spark):
         assert all(abs(drawn[k] / sum(drawn.values()) / (g / sum(goal.values())) - 1) < 1e-5 for k, g in goal.items())
     assert all(r.prob <= 1 for r in rows) and max(r.prob for r in rows) > 0.99
     assert 0.25 * total < sum(r.prob * r._n_tokens for r in rows) < 0.8 * total
+
+
+def test_small_groups_have_their_own_estimates(spark):
+    """Clean texts of small groups in a language of longer words are no outliers; the languages' own outliers are."""
+    rng = random.Random(7)
+    def text(low, high, symbol=""):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(low, high))) + symbol for _ in range(120))
+
+    rows = [(i, text(2, 7), "en", "s") for i in range(600)]  # over three quarters of the table
+    rows += [(1000 + i, text(8, 16, "|" if i % 20 == 0 else ""), "de", "s") for i in range(60)]  # a group of its own
+    rows += [(2000 + i, text(8, 16, "|" if i % 20 == 0 else ""), "fi", f"s{i % 6}") for i in range(60)]  # ten a source: the language's
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in outliers.judge(docs).filter("not kept").collect()} == {b + i for b in (1000, 2000) for i in (0, 20, 40)}
