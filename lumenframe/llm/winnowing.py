@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.blocks import U64, blocks, mix, rolling, sliding_min, spread, texts_of
 from lumenframe.llm.scratch import partitions
 
-K, W = 16, 48
+#: Short enough that a text of 23 code points whose last third is replaced still shares a kept hash with it.
+K, W = 8, 8
 _PLACE_BITS = U64(24)
 _PLACE_MASK = U64((1 << 24) - 1)
 _NONE = U64(2**64 - 1)

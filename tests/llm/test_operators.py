@@ -313,3 +313,14 @@ def test_small_groups_have_their_own_estimates(spark):
     rows += [(2000 + i, text(8, 16, "|" if i % 20 == 0 else ""), "fi", f"s{i % 6}") for i in range(60)]  # ten a source: the language's
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert {r.doc_id for r in outliers.judge(docs).filter("not kept").collect()} == {b + i for b in (1000, 2000) for i in (0, 20, 40)}
+
+
+def test_short_texts_are_like_their_edits():
+    """A text keeps a likeness to its first two thirds with another end; texts of 23 code points on share 15 in a row."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    texts = [say(n) for n in range(23, 127) for _ in range(5)]
+    edited = [t[: len(t) - len(t) // 3] + say(len(t) // 3) for t in texts]
+    printed = lambda ts: winnowing.distinct(winnowing.winnow(np.frombuffer("".join(ts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, ts)])))
+    alike = winnowing.likeness(printed(texts), printed(edited), len(texts))
+    assert (alike > 0).all() and 0.5 < alike.mean() < 0.75
