@@ -139,9 +139,14 @@ def _with_surrogate(z):
     return z.withColumn("vesselness", (F.col("z") * 31 + F.col("y") * 17 + F.col("x") * 7) % 100 / F.lit(1000.0))
 
 
-def _seeded(vox):
+def _with_response(z, vox, grid):
+    return z.join(stencil.tube_response(vox, grid).select(*CELL, "vesselness"), CELL, "left").fillna(0.0, ["vesselness"])
+
+
+def _seeded(vox, surrogate=True):
+    """Seed masks; the queries with an SQL twin take a surrogate of the tube response, which SQL can express."""
     z, grid, _ = _zones(vox)
-    z = cut(_with_surrogate(z), "zones")
+    z = cut(_with_surrogate(z) if surrogate else _with_response(z, vox, grid), "zones")
     thr = calibration.tube_threshold(z.where("blood AND shell"), vox.select("case_id").distinct())
 
     return masks.with_seed_masks(join_case(z, thr), vox.where("parent"), grid), grid
@@ -193,7 +198,7 @@ def patch_table(spark, sf):
 
 
 def _markers(vox):
-    s, grid = _seeded(vox)
+    s, grid = _seeded(vox, surrogate=False)
     s = cut(s, "seeded")
     seeds = masks.drop_cap_seeds(s.where("seed").select(*CELL), masks.cap_slices(vox))
     return components.merged_markers(seeds, grid, 1.0), s, grid

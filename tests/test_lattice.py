@@ -164,3 +164,14 @@ def test_flat_input_has_no_tube_response():
 
     for spacing in (0.78, 1.0, 1.5):
         assert whole_response(np.full((12, 12, 12), 300.0), (spacing,) * 3, DEFAULTS).max() < 1e-9
+
+
+def test_markers_take_the_tube_response(spark):
+    from lumenframe.plans.catalog import lattice_queries as lq
+
+    vox = lq._vox(spark, "/root/testdata/sf0.001")
+    _, seeded, _ = lq._markers(vox)
+    real = lq.tube_filter(spark, "/root/testdata/sf0.001").withColumnRenamed("vesselness", "real")
+    both = seeded.join(real, lq.CELL)
+    assert both.count() == vox.count() and both.where("abs(vesselness - real) > 2e-5").count() == 0
+    assert both.where("seed").count() > 0
