@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, crf, dart_minhash, debruijn, mixing, nbsvm, outliers, suffix_radix, token_files, winnowing
+from lumenframe.llm import audit_sql, bpe, crf, dart_minhash, debruijn, deobfuscation, divergence, mixing, nbsvm, outliers
+from lumenframe.llm import removal_ranks, suffix_radix, token_files, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,21 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_removal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every source under every order."""
+    return removal_ranks.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text, plain and disguised."""
+    return deobfuscation.digests(deobfuscation.found(_documents(spark, sf_dir)))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its raised terms."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op1_suffix_radix": (op1_suffix_radix, None),
     "op2_winnowing": (op2_winnowing, None),
@@ -83,4 +99,7 @@ LLM_QUERIES = {
     "op8_nbsvm_quality": (op8_nbsvm_quality, None),
     "op9_debruijn_spans": (op9_debruijn_spans, None),
     "op10_bpe_words": (op10_bpe_words, None),
+    "op11_removal_ranks": (op11_removal_ranks, audit_sql.REMOVAL_RANKS),
+    "op12_deobfuscation": (op12_deobfuscation, None),
+    "op13_divergence": (op13_divergence, audit_sql.DIVERGENCE),
 }
