@@ -1,16 +1,20 @@
-"""Bounded exact Euclidean distance transforms by separable passes."""
+"""Exact Euclidean distance transforms by separable passes: bounded ones outwards, unbounded ones inwards."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenframe.functions import geometry as geo
-from lumenframe.operators.lattice import CELL, _shift
+from lumenframe.operators.lattice import CELL
 from lumenframe.operators.percase import case_joiner
-from lumenframe.session import cut
 
+_AXES = ["z", "y", "x"]
 BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
 
 
@@ -52,48 +56,114 @@ def distance_to_parent(parent: DataFrame, grid: DataFrame, radius_mm: float) ->
     return distance_from(parent, grid, radius_mm).select(*CELL, F.sqrt("d2").alias("dist_mm"))
 
 
-def depth_inside(cells: DataFrame, grid: DataFrame, key: tuple[str, ...] = (), first_mm: float = 4.0, out: str = "depth_mm") -> DataFrame:
-    """Distance of each set cell to the nearest grid cell outside the set.
+def depth_inside(cells: DataFrame, grid: DataFrame, key: tuple[str, ...] = (), out: str = "depth_mm") -> DataFrame:
+    """Distance of each set cell to the nearest grid cell outside the set, at any depth.
 
-    The nearest outside cell always has a face neighbour in the set, so only those are seeds; cells
-    beyond the grid are not outside. The search radius doubles until every cell is settled. ``key``
-    names extra columns (such as an instance id) that separate independent sets. Cells of a set
-    that fills its grid stay null.
+    Three passes along lines, each of which shuffles the set's cells once. Beyond the cell that ends a run of set cells
+    nothing can be nearer than that cell, so a run and its two ends are on their own: the squared distance after a pass is the lower envelope of the run's
+    parabolas. Cells beyond the grid are not outside. ``key`` names extra columns (such as an instance id) that separate independent
+    sets. Cells of a set that fills its grid stay null.
     """
-    extra = list(key)
-    cells = cut(cells.select("case_id", *extra, "z", "y", "x"), "depth-in")
-    if extra:
-        # give each set its own case id for the passes
-        tagged = cells.withColumn("__case", F.struct("case_id", *extra)).select(F.col("__case").alias("case_id"), "z", "y", "x")
-        own = cells.select("case_id", *extra).distinct().join(grid, "case_id").withColumn("__case", F.struct("case_id", *extra))
-        own = own.select(F.col("__case").alias("case_id"), "sz", "sy", "sx", *BOX)
-    else:
-        tagged, own = cells, grid.select("case_id", "sz", "sy", "sx", *BOX)
-    own = cut(own, "depth-grid")
-    rim = case_joiner(own)(_shift(tagged, geo.neighbour_offsets(6)).distinct())
-    inside = F.col("z").between(F.col("z0"), F.col("z1")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
-    rim = cut(rim.where(inside).select(*CELL).join(tagged, CELL, "left_anti"), "depth-rim")
-    radius, settled, open_ = first_mm, None, tagged
-    reach = own.join(rim.select("case_id").distinct(), "case_id", "left_semi").agg(
-        F.max(F.sqrt(
-            ((F.col("z1") - F.col("z0")) * F.col("sz")) ** 2 + ((F.col("y1") - F.col("y0")) * F.col("sy")) ** 2 + ((F.col("x1") - F.col("x0")) * F.col("sx")) ** 2
-        ))
-    ).first()[0]
-    while reach is not None:
-        near = distance_from(rim, own, radius)
-        got = cut(open_.join(near, CELL).select(*CELL, F.sqrt("d2").alias(out)), "depth-got")
-        settled = got if settled is None else settled.unionByName(got)
-        open_ = cut(open_.join(got, CELL, "left_anti"), "depth-open")
-        if radius >= reach or open_.isEmpty():
-            break
-        # only sets with open cells need the larger radius
-        left = open_.select("case_id").distinct()
-        rim = rim.join(left, "case_id", "left_semi")
-        radius = min(radius * 2.0, reach * (1 + 1e-9))
-    if settled is None:
-        settled = tagged.select(*CELL, F.lit(None).cast("double").alias(out))
-    else:
-        settled = settled.unionByName(open_.select(*CELL, F.lit(None).cast("double").alias(out)))
-    if not extra:
-        return settled
-    return settled.select("case_id.*", "z", "y", "x", out)
+    attach = case_joiner(grid, "sz", "sy", "sx", *BOX)
+    held = ["case_id", *key]
+    state = cells.select(*held, *_AXES).distinct().withColumn("d2", F.lit(float("inf")))
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*held, *_AXES, "d2"])
+    for axis in _AXES:
+        line = [*held, *[c for c in _AXES if c != axis]]
+        rows = attach(state).select(*held, *_AXES, "d2", F.col(f"s{axis}").alias("s"), F.col(f"{axis}0").alias("lo"), F.col(f"{axis}1").alias("hi"))
+        state = rows.repartition(*line).sortWithinPartitions(*line, axis).mapInArrow(_line_pass(line, axis, [*held, *_AXES]), schema)
+    return state.select(*held, *_AXES, F.when(F.col("d2") < float("inf"), F.sqrt("d2")).alias(out))
+
+
+def _line_pass(line: list[str], axis: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over rows sorted by line and axis; a run that goes on in the next batch waits for it."""
+
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        at, s = table[axis].to_numpy().astype(np.int64), table["s"].to_numpy()
+        d2 = envelopes(at, table["d2"].to_numpy(), starts, s, table["lo"].to_numpy(), table["hi"].to_numpy())
+        return pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in columns], pa.array(d2)], [*columns, "d2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            at = table[axis].to_numpy().astype(np.int64)
+            new = np.r_[True, np.diff(at) != 1]
+            for c in line:
+                values = table[c].combine_chunks()
+                new[1:] |= pc.fill_null(pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)), False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            rest = table.slice(starts[-1])
+            if starts[-1]:
+                yield solve(table.slice(0, starts[-1]), starts[:-1])
+        if rest is not None and len(rest):
+            yield solve(rest, np.zeros(1, np.int64))
+
+    return run
+
+
+def envelopes(at: np.ndarray, height: np.ndarray, starts: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Lower envelopes of parabolas ``height + (distance)^2`` along runs of neighbouring cells, at each cell.
+
+    Runs begin at ``starts``; a cell before and one behind each run, if within ``lo`` and ``hi``, has height 0. All runs are swept
+    together, cell by cell: the sweep keeps, per run, the parabolas that are lowest somewhere and where each begins to be.
+    """
+    ends = np.r_[starts[1:], len(at)]
+    first, last = starts[at[starts] > lo[starts]], ends[at[ends - 1] < hi[ends - 1]] - 1
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    at = np.r_[at, at[first] - 1, at[last] + 1]
+    height = np.r_[height, np.zeros(len(first) + len(last))]
+    run, s = np.r_[run, run[first], run[last]], np.r_[s, s[first], s[last]]
+    order = np.lexsort((at, run))
+    sizes = np.bincount(run, minlength=len(starts))
+    place, height = (at * s)[order], height[order]
+    found = np.empty(len(at))
+    found[order] = _swept(place, height, sizes)
+    return found[: len(found) - len(first) - len(last)]
+
+
+def _swept(place: np.ndarray, height: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    begin = np.cumsum(sizes) - sizes
+    by_size = np.argsort(-sizes, kind="stable")
+    longest, base = sizes[by_size], begin[by_size]
+    lowest = np.zeros(len(place), np.int64)  # per run: the parabolas kept, from its first place on
+    since = np.empty(len(place))  # where each kept one begins to be lowest
+    kept = np.zeros(len(sizes), np.int64)
+    for t in range(longest[0] if len(longest) else 0):
+        runs = np.arange(np.searchsorted(-longest, -t, "left"))
+        runs = runs[np.isfinite(height[base[runs] + t])]
+        new = base[runs] + t
+        from_here = np.full(len(runs), -np.inf)
+        open_ = np.flatnonzero(kept[runs] > 0)
+        while len(open_):
+            r, q = runs[open_], new[open_]
+            top = base[r] + kept[r] - 1
+            v = lowest[top]
+            cross = ((height[q] + place[q] ** 2) - (height[v] + place[v] ** 2)) / (2.0 * (place[q] - place[v]))
+            hidden = cross <= since[top]
+            from_here[open_[~hidden]] = cross[~hidden]
+            kept[r[hidden]] -= 1
+            open_ = open_[hidden]
+            open_ = open_[kept[runs[open_]] > 0]
+        slot = base[runs] + kept[runs]
+        lowest[slot], since[slot] = new, from_here
+        kept[runs] += 1
+    out = np.full(len(place), np.inf)
+    now = np.zeros(len(sizes), np.int64)
+    for t in range(longest[0] if len(longest) else 0):
+        runs = np.arange(np.searchsorted(-longest, -t, "left"))
+        runs = runs[kept[runs] > 0]
+        here = base[runs] + t
+        while True:
+            ahead = now[runs] + 1 < kept[runs]
+            ahead[ahead] = since[base[runs[ahead]] + now[runs[ahead]] + 1] <= place[here[ahead]]
+            if not ahead.any():
+                break
+            now[runs[ahead]] += 1
+        for step in (-1, 0, 1):  # a crossing is rounded: its neighbours may be lower by a last digit
+            k = np.clip(now[runs] + step, 0, kept[runs] - 1)
+            v = lowest[base[runs] + k]
+            out[here] = np.minimum(out[here], height[v] + (place[here] - place[v]) ** 2)
+    return out

@@ -2,6 +2,10 @@
 
 Ties go to the lowest label. Distances are whole micrometres, so sums do not depend on the order
 in which bricks are visited.
+
+What a brick ends as is settled by its own cells and markers and the best distances that ever arrived at its faces. So
+the cells are written once, by brick, and only arrivals at faces are state: a round works on the bricks whose faces got
+something better, and writes what gets better on theirs.
 """
 
 from __future__ import annotations
@@ -17,61 +21,105 @@ from lumenframe.operators.lattice import CELL
 from lumenframe.operators.percase import case_joiner
 from lumenframe.session import cut
 
-_LABEL_BITS = 24  # labels per case; the distance uses the bits above
-_FAR = np.int64(1) << 61
+_FAR = np.iinfo(np.int64).max
 
 
-def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int = EDGE, max_rounds: int = 500) -> DataFrame:
-    """``markers(case_id, z, y, x, label)`` over ``allowed(case_id, z, y, x)`` -> labels of reached cells.
+def relaxed(free: np.ndarray, dist: np.ndarray, label: np.ndarray, costs: list[tuple[tuple[int, int, int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Least (distance, label) of every cell, from cells with a distance, over steps into free cells.
 
-    Returns ``(case_id, z, y, x, label, geo_mm)``. Markers outside ``allowed`` are dropped. Each
-    round relaxes every brick to its own fixpoint and then exchanges a one-cell halo, so the number
-    of rounds follows the number of bricks a path crosses, not its number of steps.
+    ``dist`` is ``_FAR`` where nothing has arrived. A sweep looks at the box around the cells that changed in the last one only.
     """
-    attach = case_joiner(spacing, "sz", "sy", "sx")
-    start = allowed.select(*CELL).join(markers.groupBy(*CELL).agg(F.min("label").cast("long").alias("key")), CELL, "left")
-    state = cut(start.withColumn("changed", F.lit(False)), "grow")
-    kind = allowed.schema["case_id"].dataType.simpleString()
+    shape = dist.shape
+    changed = dist < _FAR
+    while changed.any():
+        box = [(int(i.min()), int(i.max()) + 1) for i in np.nonzero(changed)]
+        then = changed
+        changed = np.zeros(shape, bool)
+        for offset, cost in costs:
+            src = tuple(slice(max(lo, -o), min(hi, n - o)) for (lo, hi), n, o in zip(box, shape, offset, strict=True))
+            dst = tuple(slice(s.start + o, s.stop + o) for s, o in zip(src, offset, strict=True))
+            if any(s.start >= s.stop for s in src):
+                continue
+            far, near = np.where(then[src] | changed[src], dist[src], _FAR), free[dst]
+            better = near & (far < _FAR)
+            far = np.where(better, far + cost, _FAR)
+            better &= (far < dist[dst]) | ((far == dist[dst]) & (label[src] < label[dst]))
+            if better.any():
+                dist[dst] = np.where(better, far, dist[dst])
+                label[dst] = np.where(better, label[src], label[dst])
+                changed[dst] |= better
+    return dist, label
+
+
+def _relax_brick(edge: int, faces_only: bool):
+    """Cells, markers and arrivals of one brick -> its reached cells, or those of them that another brick can see."""
     steps = geo.neighbour_offsets(26)
 
-    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
         lo = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
         sp = np.array([one["sz"], one["sy"], one["sx"]])
-        cost = [np.int64(round(float(np.linalg.norm(np.array(o) * sp)) * 1000.0)) << _LABEL_BITS for o in steps]
+        costs = [(o, int(round(float(np.linalg.norm(np.array(o) * sp)) * 1000.0))) for o in steps]
         at = pdf[["z", "y", "x"]].to_numpy()
         first = at.min(axis=0)
         shape = tuple(at.max(axis=0) - first + 1)  # the cells of a brick fill a fraction of it
-        ix = tuple((at - first).T)
-        before = pdf["key"].fillna(-1).to_numpy(np.int64)
-        before = np.where(before < 0, _FAR, before)
-        free = np.zeros(shape, bool)
-        free[ix] = True
-        key = np.full(shape, _FAR)
-        key[ix] = before
-        while (key < _FAR).any():
-            old = key.copy()
-            for (dz, dy, dx), c in zip(steps, cost):
-                src = key[tuple(slice(max(0, d), n + min(0, d)) for d, n in zip((dz, dy, dx), shape))]
-                dst = tuple(slice(max(0, -d), n + min(0, -d)) for d, n in zip((dz, dy, dx), shape))
-                key[dst] = np.where(free[dst] & (src < _FAR), np.minimum(key[dst], src + c), key[dst])
-            if np.array_equal(key, old):
-                break
-        own = ((at >= lo) & (at < lo + edge)).all(axis=1)
-        after, before = key[ix][own], before[own]
+        own = pdf["own"].to_numpy(bool)
+        free, dist, label = np.zeros(shape, bool), np.full(shape, _FAR), np.full(shape, _FAR)
+        free[tuple((at[own] - first).T)] = True
+        known = pdf["dist"].notna().to_numpy()
+        ix = tuple((at[known] - first).T)
+        # a brick's rows hold a cell of its own and an arrival at its face once each
+        dist[ix], label[ix] = pdf["dist"][known].to_numpy(np.int64), pdf["label"][known].to_numpy(np.int64)
+        dist, label = relaxed(free, dist, label, costs)
         mine = at[own]
-        out = pd.DataFrame({"case_id": one["case_id"], "z": mine[:, 0], "y": mine[:, 1], "x": mine[:, 2]})
-        out["key"] = pd.array(np.where(after < _FAR, after, 0), dtype="Int64")
-        out.loc[after >= _FAR, "key"] = pd.NA
-        out["changed"] = after < before
-        return out
-
-    for _ in range(max_rounds):
-        bricked = attach(with_bricks(state.drop("changed"), 1, edge))
-        state = cut(spread(bricked, KEY).groupBy(*KEY).applyInPandas(relax, f"case_id {kind}, z int, y int, x int, key bigint, changed boolean"), "grow")
-        if state.where("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError("growth not settled")
-    label = F.col("key").bitwiseAND((1 << _LABEL_BITS) - 1)
-    return state.where(F.col("key").isNotNull()).select(*CELL, label.alias("label"), (F.shiftright("key", _LABEL_BITS) / 1000.0).alias("geo_mm"))
+        ix = tuple((mine - first).T)
+        out = pd.DataFrame({"case_id": one["case_id"], **{c: mine[:, i] for i, c in enumerate("zyx")}, "dist": dist[ix], "label": label[ix]})
+        keep = dist[ix] < _FAR
+        if faces_only:
+            keep &= ((mine == lo) | (mine == lo + edge - 1)).any(axis=1)
+        return out[keep]
+
+    return run
+
+
+def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int = EDGE) -> DataFrame:
+    """``markers(case_id, z, y, x, label)`` over ``allowed(case_id, z, y, x)`` -> labels of reached cells.
+
+    Returns ``(case_id, z, y, x, label, geo_mm)``. Markers outside ``allowed`` are dropped. Each
+    round relaxes the bricks at whose faces something better arrived to their own fixpoint, so the number
+    of rounds follows the number of bricks a path crosses, not its number of steps.
+    """
+    own = [F.floor(F.col(a) / edge).cast("int").alias(f"b{a}") for a in "zyx"]
+    start = allowed.select(*CELL).distinct().join(markers.groupBy(*CELL).agg(F.min("label").cast("long").alias("label")), CELL, "left")
+    dist = F.when(F.col("label").isNotNull(), F.lit(0).cast("long")).alias("dist")
+    cells = cut(case_joiner(spacing, "sz", "sy", "sx")(start.select(*CELL, *own, F.lit(True).alias("own"), dist, "label")), "grow-cells")
+    kind = allowed.schema["case_id"].dataType.simpleString()
+    schema = f"case_id {kind}, z int, y int, x int, dist bigint, label bigint"
+    sizes = cut(cells.select(*KEY, "sz", "sy", "sx").distinct(), "grow-bricks")
+    best = F.min(F.struct("dist", "label")).alias("best")
+
+    def seen(faces: DataFrame) -> DataFrame:
+        """Cells at faces, once in every other brick that sees them."""
+        moved = with_bricks(faces, 1, edge)
+        return moved.where(F.array(*[F.col(f"b{a}") for a in "zyx"]) != F.array(*own))
+
+    def solve(rows: DataFrame, arrivals: DataFrame | None, active: DataFrame | None, faces_only: bool) -> DataFrame:
+        if arrivals is not None:
+            met = seen(arrivals.groupBy(*CELL).agg(best).select(*CELL, "best.*")).join(sizes, KEY)
+            rows = rows.unionByName(met.withColumn("own", F.lit(False)))
+        if active is not None:
+            rows = rows.join(active, KEY, "left_semi")
+        return spread(rows, KEY).groupBy(*KEY).applyInPandas(_relax_brick(edge, faces_only), schema)
+
+    active = cut(cells.where("label is not null").select(*KEY).distinct(), "grow-active")
+    arrivals, fresh = None, None
+    while not active.isEmpty():
+        out = solve(cells, arrivals, active, True)
+        if arrivals is not None:
+            before = arrivals.groupBy(*CELL).agg(best)
+            out = out.join(before, CELL, "left").where(F.col("best").isNull() | (F.struct("dist", "label") < F.col("best"))).select(*CELL, "dist", "label")
+        fresh = cut(out, "grow-faces")
+        arrivals = fresh if arrivals is None else arrivals.unionByName(fresh)
+        active = cut(seen(fresh).select(*KEY).distinct().join(sizes, KEY, "left_semi"), "grow-active")
+    reached = solve(cells, arrivals, None, False)
+    return reached.select(*CELL, "label", (F.col("dist") / 1000.0).alias("geo_mm"))

@@ -1,92 +1,112 @@
 """Ridge walks from an origin into a lumen, and what is read off the walked path.
 
-A walk can only see cells within its maximum length of the start, so each walk is one small group
-whose size is fixed by geometry, not by the instance or the case.
+All walks of all cases advance together. A walk is one row that carries the cells it has been to, and their number is
+bounded by the greatest length; a round meets the 26 neighbours of every walk's end with the cells of the lumen by an
+equi-join, so a walk never sees more of its instance than it touches.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import linalg as la
-from lumenframe.operators.bricks import spread
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
+from lumenframe.session import cut
 
 WALK = ["case_id", "inst_id", "walk_id"]
+_AT = ["z", "y", "x"]
+#: Rounds in one job; the lumen is shuffled once per job.
+ROUNDS = 4
 
+# Weights of the walk score (gain in distance, depth, length), the loss of distance that a step may
+# have, and the fork test (share of the shortest path, difference of scores, difference of distances).
+GAIN, DEEP, LONG, MAX_LOSS = 1.6, 0.5, 0.05, 0.35
+FORK_FROM, FORK_SCORES, FORK_LEVELS = 0.6, 0.25, 1.2
+EXTRA_STEPS, LEAST_STEP_MM = 8, 0.3
 
-def _walk(pdf: pd.DataFrame, max_mm: float, min_mm: float) -> list[tuple]:
-    """(step, z, y, x, cum_mm, fork) rows of one walk."""
-    one = pdf.iloc[0]
-    sp = np.array([one["sz"], one["sy"], one["sx"]])
-    real = pdf[pdf["z"].notna()]
-    at = map(tuple, real[["z", "y", "x"]].to_numpy(int).tolist())
-    cells = dict(zip(at, zip(real["dist_mm"].tolist(), real["depth_mm"].tolist())))
-    here = tuple(int(v) for v in np.rint([one["wz"], one["wy"], one["wx"]]))
-    steps = geo.neighbour_offsets(26)
-    lengths = {o: float(np.linalg.norm(np.array(o) * sp)) for o in steps}
-    around = lambda c: [(c[0] + a, c[1] + b, c[2] + d) for a, b, d in steps]
-    if here not in cells:
-        near = [c for c in around(here) if c in cells]
-        if not near:
-            return [(0, *here, 0.0, False)]
-        here = near[0]
-    path, seen, total = [(0, *here, 0.0, False)], {here}, 0.0
-    # Weights and limits of the walk score and of the fork test.
-    for step in range(1, int(max_mm / max(float(sp.min()), 0.3)) + 9):
-        level = cells[here][0]
-        options = []
-        for c in around(here):
-            if c in seen or c not in cells or cells[c][0] < level - 0.35:
-                continue
-            length = lengths[c[0] - here[0], c[1] - here[1], c[2] - here[2]]
-            options.append((1.6 * (cells[c][0] - level) + 0.5 * cells[c][1] - 0.05 * length, c, length))
-        if not options:
-            break
-        options.sort(reverse=True)
-        if len(options) > 1 and total >= 0.6 * min_mm and options[0][0] - options[1][0] < 0.25:
-            if abs(cells[options[0][1]][0] - cells[options[1][1]][0]) < 1.2:
-                path[-1] = (*path[-1][:5], True)
-                break
-        _, here, length = options[0]
-        seen.add(here)
-        total += length
-        path.append((step, *here, total, False))
-        if total >= max_mm:
-            break
-    return path
+
+def _around(df: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """One row per walk and offset: ``rank`` of the offset, its length, and the cell it leads to as ``nz, ny, nx``."""
+    steps = df.select(*WALK, *_AT, "sz", "sy", "sx", F.posexplode(geo.offset_array(offsets)).alias("rank", "o"))
+    length = la.norm([F.col(f"o.d{c}") * F.col(f"s{c}") for c in "zyx"])
+    return steps.select(*WALK, "rank", length.alias("length"), *[(F.col(c) + F.col(f"o.d{c}")).alias(f"n{c}") for c in "zyx"])
+
+
+def _same(a: Column, b: Column) -> Column:
+    return (a["z"] == b["z"]) & (a["y"] == b["y"]) & (a["x"] == b["x"])
+
+
+def _placed(starts: DataFrame, cells: DataFrame, spacing: DataFrame, p: Params) -> DataFrame:
+    """Walks at step 0: on the lumen, else on its first neighbour in scan order, else standing still."""
+    s = join_case(starts.select(*WALK, *[F.rint(f"w{c}").cast("int").alias(c) for c in "zyx"]), spacing, "sz", "sy", "sx")
+    most = F.floor(p.max_trace_mm / F.greatest(F.least("sz", "sy", "sx"), F.lit(LEAST_STEP_MM))).cast("int") + EXTRA_STEPS
+    near = _around(s, [(0, 0, 0), *geo.neighbour_offsets(26)]).join(cells, ["case_id", "inst_id", "nz", "ny", "nx"])
+    home = near.groupBy(*WALK).agg(F.min_by(F.struct("nz", "ny", "nx", "next_level"), "rank").alias("home"))
+    j = s.join(home, WALK, "left")
+    at = {c: F.coalesce(F.col(f"home.n{c}"), F.col(c)) for c in "zyx"}
+    first = F.struct(F.lit(0).alias("step"), *[at[c].alias(c) for c in "zyx"], F.lit(0.0).alias("cum_mm"))
+    return j.select(
+        *WALK, "sz", "sy", "sx", most.alias("most"), *[at[c].alias(c) for c in "zyx"], F.col("home.next_level").alias("level"), F.lit(0.0).alias("total"),
+        F.array(first).alias("path"), F.lit(False).alias("fork"), F.col("home").isNotNull().alias("live"),
+    )
 
 
-def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def _advanced(walks: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
+    """Every live walk one step further: to its best neighbour, or at its end."""
+    near = _around(walks.where("live"), geo.neighbour_offsets(26)).join(cells, ["case_id", "inst_id", "nz", "ny", "nx"])
+    cell = F.struct(F.col("nz").alias("z"), F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("next_level").alias("level"), "depth_mm", "length")
+    met = near.groupBy(*WALK).agg(F.collect_list(cell).alias("met"))  # 26 at most
+    free = F.filter("met", lambda c: (c["level"] >= F.col("level") - MAX_LOSS) & ~F.exists("path", lambda q: _same(q, c)))
+    scored = F.transform(
+        free,
+        lambda c: F.struct(
+            (GAIN * (c["level"] - F.col("level")) + DEEP * c["depth_mm"] - LONG * c["length"]).alias("score"), *[c[n].alias(n) for n in (*_AT, "level", "length")]
+        ),
+    )
+    j = walks.join(met, WALK, "left").withColumn("__best", F.slice(F.sort_array(scored, asc=False), 1, 2)).drop("met")
+    one, two = F.get("__best", 0), F.get("__best", 1)
+    split = F.coalesce(
+        (F.col("total") >= FORK_FROM * p.min_path_mm) & (one["score"] - two["score"] < FORK_SCORES) & (F.abs(one["level"] - two["level"]) < FORK_LEVELS), F.lit(False)
+    )
+    j = j.withColumn("__fork", F.col("live") & split)
+    goes = F.col("live") & ~F.col("__fork") & one.isNotNull()
+    total = F.col("total") + one["length"]
+    step = F.struct(F.size("path").alias("step"), *[one[c].alias(c) for c in "zyx"], total.alias("cum_mm"))
+    kept = {c: F.when(goes, one[c]).otherwise(F.col(c)) for c in (*_AT, "level")}
+    return j.select(
+        *WALK, "sz", "sy", "sx", "most", *[kept[c].alias(c) for c in (*_AT, "level")], F.when(goes, total).otherwise(F.col("total")).alias("total"),
+        F.when(goes, F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"), (F.col("fork") | F.col("__fork")).alias("fork"),
+        (goes & (total < p.max_trace_mm) & (F.size("path") < F.col("most"))).alias("live"),
+    )
+
+
+def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Params = DEFAULTS, rounds: int = ROUNDS) -> DataFrame:
     """``lumen(case_id, inst_id, z, y, x, dist_mm, depth_mm)`` and ``starts(case_id, inst_id,
     walk_id, wz, wy, wx)`` -> path rows ``(walk key, step, z, y, x, cum_mm, fork)``.
 
-    Every start yields at least its own point.
+    A step goes to the neighbour with the best score that the walk hasn't been to (ties: the greatest z, y, x); a walk ends
+    at a fork, without a neighbour, or at its greatest length. Every start yields at least its own point.
     """
-    s = join_case(starts, spacing, "sz", "sy", "sx")
-    reach = p.max_trace_mm + 3.0 * la.norm([F.col("sz"), F.col("sy"), F.col("sx")])
-    gap = la.norm([(F.col(c) - F.col(f"w{c}")) * F.col(f"s{c}") for c in "zyx"])
-    seen = s.join(lumen.select("case_id", "inst_id", "z", "y", "x", "dist_mm", "depth_mm"), ["case_id", "inst_id"]).where(gap <= reach)
-    alone = s.join(seen.select(*WALK).distinct(), WALK, "left_anti")
-    none = {c: F.lit(None).cast(t) for c, t in (("z", "int"), ("y", "int"), ("x", "int"), ("dist_mm", "double"), ("depth_mm", "double"))}
-    seen = seen.unionByName(alone.withColumns(none))
-    max_mm, min_mm = p.max_trace_mm, p.min_path_mm
-    kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_walk(pdf, max_mm, min_mm), columns=["step", "z", "y", "x", "cum_mm", "fork"])
-        for i, k in enumerate(WALK):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in WALK) + ", step int, z int, y int, x int, cum_mm double, fork boolean"
-    return spread(seen, WALK).groupBy(*WALK).applyInPandas(solve, schema)
+    cells = cut(lumen.select("case_id", "inst_id", *[F.col(c).alias(f"n{c}") for c in "zyx"], F.col("dist_mm").alias("next_level"), "depth_mm"), "walk-cells")
+    walks, ended = cut(_placed(starts, cells, spacing, p), "walks"), []
+    while True:
+        ended.append(walks.where("not live"))
+        walks = walks.where("live")
+        if walks.isEmpty():
+            break
+        for _ in range(rounds):
+            walks = _advanced(walks, cells, p)
+        walks = cut(walks, "walks")
+    every = ended[0]
+    for part in ended[1:]:
+        every = every.unionByName(part)
+    last = F.size("path") - 1
+    points = every.select(*WALK, "fork", last.alias("__last"), F.explode("path").alias("q"))
+    return points.select(*WALK, "q.step", "q.z", "q.y", "q.x", "q.cum_mm", (F.col("fork") & (F.col("q.step") == F.col("__last"))).alias("fork"))
 
 
 def walk_summary(paths: DataFrame, spacing: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -188,7 +188,7 @@ def sampled_starts(spark, sf):
 
 def strip_profile(spark, sf):
     vox = _vox(spark, sf)
-    depth = distance.depth_inside(vox.where("parent OR hu > 700"), _grid(vox), first_mm=2.0)
+    depth = distance.depth_inside(vox.where("parent OR hu > 700"), _grid(vox))
     c = lattice.contact_cells(_instances(vox), vox.where("parent")).join(depth, CELL)
     return strips.strip_profile(c, _grid(vox)).select("case_id", "inst_id", *_r("end_cos", "waist_mm", "end_radius_mm", "waist_ratio", "mean_turn_deg", "max_turn_deg", "turn_concentration", "top15_turn_share"))
 
@@ -203,7 +203,7 @@ def ridge_clusters(spark, sf):
     vox = _vox(spark, sf)
     grid = _grid(vox)
     near = distance.distance_to_parent(vox.where("parent"), grid, 14.0)
-    depth = distance.depth_inside(vox.where("parent OR hu > 300"), grid, first_mm=2.0)
+    depth = distance.depth_inside(vox.where("parent OR hu > 300"), grid)
     inst = cut(_quadrants(vox).join(near, CELL).join(depth, CELL), "cluster-inst")
     good, _ = splitting.ridge_clusters(lattice.contact_cells(inst, vox.where("parent")), inst, grid, Params(split_max_cosine=0.95))
     return good.select("case_id", "inst_id", *_r("cluster_cos"))

@@ -125,13 +125,13 @@ def distance_shell(spark, sf):
 
 def lumen_depth(spark, sf):
     vox = _vox(spark, sf)
-    d = distance.depth_inside(vox.where("parent OR hu > 700"), _grid(vox), first_mm=2.0)
+    d = distance.depth_inside(vox.where("parent OR hu > 700"), _grid(vox))
     return d.select(*CELL, *_r("depth_mm"))
 
 
 def instance_depth(spark, sf):
     vox = _vox(spark, sf)
-    d = distance.depth_inside(_instances(vox), _grid(vox), key=("inst_id",), first_mm=2.0)
+    d = distance.depth_inside(_instances(vox), _grid(vox), key=("inst_id",))
     return d.select("case_id", "inst_id", "z", "y", "x", *_r("depth_mm"))
 
 
@@ -231,7 +231,7 @@ def _walks(vox):
     dist = distance.distance_to_parent(vox.where("parent"), grid, 14.0)
     inst = _quadrants(vox)
     inst = cut(inst.join(dist, CELL), "walk-inst")
-    depth = distance.depth_inside(vox.where("parent OR hu > 300"), grid, first_mm=2.0)
+    depth = distance.depth_inside(vox.where("parent OR hu > 300"), grid)
     contact = lattice.contact_cells(inst, vox.where("parent"))
     starts = features.centroids(lattice.ostium_cells(contact, vox.where("parent")), prefix="w").withColumn("walk_id", F.lit(0))
     return cut(ridge.ridge_walks(inst.join(depth, CELL), starts, grid), "walks"), grid
@@ -257,7 +257,7 @@ def contact_spread(spark, sf):
 def origin_diameter(spark, sf):
     vox = _vox(spark, sf)
     grid = _grid(vox)
-    depth = distance.depth_inside(vox.where("parent OR hu > 700"), grid, first_mm=2.0)
+    depth = distance.depth_inside(vox.where("parent OR hu > 700"), grid)
     c = lattice.contact_cells(_instances(vox), vox.where("parent")).join(depth, CELL, "left")
     return features.origin_diameter(c, grid).select("case_id", "inst_id", "n_contact", *_r("diameter_mm"))
 
@@ -308,7 +308,7 @@ def path_consistency(spark, sf):
     vox = _vox(spark, sf)
     walks, grid = _walks(vox)
     inst = _quadrants(vox)
-    depth = distance.depth_inside(inst, grid, key=("inst_id",), first_mm=2.0)
+    depth = distance.depth_inside(inst, grid, key=("inst_id",))
     out = sections.path_consistency(walks.select("case_id", "inst_id", "step", "z", "y", "x"), depth, grid, ["case_id", "inst_id"])
     return out.select("case_id", "inst_id", *_r("radius_cv", "circularity"))
 

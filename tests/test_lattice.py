@@ -46,16 +46,45 @@ def test_distance_matches_brute_force(spark):
         assert np.isinf(have[want > 4.0]).all()
 
 
-@pytest.mark.parametrize("first", [0.9, 50.0])
-def test_depth_inside(spark, first):
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_depth_inside(spark, batch):
     m = {"a": random_mask(5, 0.93), "full": np.ones(SHAPE, bool)}
-    got = dist.depth_inside(cells_df(spark, m), grid_df(spark, {"a": SHAPE, "full": SHAPE}), first_mm=first).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = dist.depth_inside(cells_df(spark, m), grid_df(spark, {"a": SHAPE, "full": SHAPE})).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     want = distance(~m["a"])
     have = as_array([r for r in got if r.case_id == "a"], SHAPE, "depth_mm")
     assert np.abs(have - want)[m["a"]].max() < 1e-12
     assert all(r.depth_mm is None for r in got if r.case_id == "full") and len(got) == m["a"].sum() + m["full"].sum()
 
 
+def test_depth_of_a_thick_body_takes_no_search_radius(spark):
+    shape = (9, 60, 60)
+    m = np.ones(shape, bool)
+    m[4, 30, 57] = m[0, 2, 2] = False
+    got = dist.depth_inside(cells_df(spark, {"a": m}), grid_df(spark, {"a": shape})).collect()
+    assert np.abs(as_array(got, shape, "depth_mm") - distance(~m))[m].max() < 1e-12
+
+
+def test_envelopes_against_all_pairs():
+    g = np.random.default_rng(12)
+    for _ in range(60):
+        sizes = g.integers(1, 30, 5)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        at = np.concatenate([np.arange(n) + g.integers(-3, 9) for n in sizes])
+        height = np.where(g.random(len(at)) < 0.3, np.inf, g.choice([0.0, 1.0, 4.0, 50.0, 7.3], len(at)))
+        s, lo, hi = np.full(len(at), 0.7), np.full(len(at), -3), np.full(len(at), 30)
+        got = dist.envelopes(at, height, starts, s, lo, hi)
+        for a, n in zip(starts, sizes):
+            own, h = at[a : a + n], height[a : a + n]
+            if own[0] > -3:
+                own, h = np.r_[own[0] - 1, own], np.r_[0.0, h]
+            if at[a + n - 1] < 30:
+                own, h = np.r_[own, own[-1] + 1], np.r_[h, 0.0]
+            want = (h[None] + (0.7 * (at[a : a + n, None] - own[None])) ** 2).min(1)
+            assert np.allclose(got[a : a + n], want, rtol=1e-12, atol=0)
+
+
 def test_depth_per_instance(spark):
     m = random_mask(6, 0.9)
     df = cells_df(spark, {"a": m}).withColumn("inst_id", (F.col("x") > 5).cast("int"))
@@ -104,6 +133,29 @@ def test_growth_equals_dijkstra(spark, edge):
     assert {(r.z, r.y, r.x): (round(r.geo_mm * 1000), r.label) for r in got} == want
 
 
+def test_growth_rewrites_only_what_gets_better(spark, monkeypatch):
+    """Labels beyond any packed width; rounds work on fewer bricks as the front leaves them behind."""
+    rows = []
+    wide = growth.cut
+    monkeypatch.setattr(growth, "cut", lambda df, label="": rows.append((label, kept := wide(df, label), kept.count())) or kept)
+    shape = (3, 4, 90)
+    allowed, marks = np.ones(shape, bool), np.zeros(shape, int)
+    allowed[:, :, 40] = False
+    marks[1, 1, 0], marks[1, 2, 41], marks[0, 0, 89] = 2**40 + 1, 2**33, 2**40
+    df = cells_df(spark, {"a": marks > 0}, label={"a": marks})
+    got = growth.grow(df, cells_df(spark, {"a": allowed}), grid_df(spark, {"a": shape}), edge=4).collect()
+    assert {(r.z, r.y, r.x): (round(r.geo_mm * 1000), r.label) for r in got} == geodesic(marks, allowed)
+    work = [n for label, _, n in rows if label == "grow-active"]
+    bricks = len({(z // 4, y // 4, x // 4) for z, y, x in np.argwhere(allowed)})
+    assert max(work) <= 6 < bricks and work[-1] == 0 and work[-2] <= work[1]
+
+
+def test_growth_from_nothing(spark):
+    allowed = cells_df(spark, {"a": random_mask(10, 0.2)})
+    none = cells_df(spark, {"a": np.zeros(SHAPE, bool)}, label={"a": np.zeros(SHAPE, int)})
+    assert growth.grow(none, allowed, grid_df(spark, {"a": SHAPE})).count() == 0
+
+
 def test_contact_and_ostium_cells(spark):
     parent = np.zeros(SHAPE, bool)
     parent[:, 4:7, 4:7] = True
