@@ -118,13 +118,13 @@ def envelopes(at: np.ndarray, height: np.ndarray, starts: np.ndarray, s: np.ndar
     run, s = np.r_[run, run[first], run[last]], np.r_[s, s[first], s[last]]
     order = np.lexsort((at, run))
     sizes = np.bincount(run, minlength=len(starts))
-    place, height = (at * s)[order], height[order]
     found = np.empty(len(at))
-    found[order] = _swept(place, height, sizes)
+    found[order] = _swept(at[order], s[order], height[order], sizes)
     return found[: len(found) - len(first) - len(last)]
 
 
-def _swept(place: np.ndarray, height: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _swept(at: np.ndarray, s: np.ndarray, height: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    place = at * s
     begin = np.cumsum(sizes) - sizes
     by_size = np.argsort(-sizes, kind="stable")
     longest, base = sizes[by_size], begin[by_size]
@@ -165,5 +165,5 @@ def _swept(place: np.ndarray, height: np.ndarray, sizes: np.ndarray) -> np.ndarr
         for step in (-1, 0, 1):  # a crossing is rounded: its neighbours may be lower by a last digit
             k = np.clip(now[runs] + step, 0, kept[runs] - 1)
             v = lowest[base[runs] + k]
-            out[here] = np.minimum(out[here], height[v] + (place[here] - place[v]) ** 2)
+            out[here] = np.minimum(out[here], height[v] + ((at[here] - at[v]) * s[here]) ** 2)
     return out

@@ -10,6 +10,7 @@ from lumenframe.functions.rounding import r6
 from lumenframe.operators import calibration, components, distance, features, growth, lattice, masks, ridge, rules, sections, stencil, views3d
 from lumenframe.operators.percase import join_case
 from lumenframe.plans.catalog import lattice_sql as q
+from lumenframe.plans.catalog import recursive_sql as rq
 from lumenframe.plans.catalog.views import SIDE, SPACING_ZYX
 from lumenframe.plans.catalog.views import lattice as lattice_view
 from lumenframe.session import cut
@@ -214,6 +215,14 @@ def grow_labels(spark, sf):
     return growth.grow(m, s.where("allowed"), grid).select(*CELL, F.col("label").cast("long").alias("label"), *_r("geo_mm"))
 
 
+def grow_basins(spark, sf):
+    """Bright cells around the parent by the contact patch they are nearest to along the cells."""
+    vox = _vox(spark, sf)
+    inst = cut(_quadrants(vox), "basins")
+    marks = lattice.contact_cells(inst, vox.where("parent")).withColumn("label", F.col("inst_id").cast("long"))
+    return growth.grow(marks, inst, _grid(vox)).select(*CELL, "label", *_r("geo_mm"))
+
+
 def ridge_walk(spark, sf):
     vox = _vox(spark, sf)
     walks, _ = _walks(vox)
@@ -408,8 +417,9 @@ LATTICE_QUERIES = {
     "patch_table": (patch_table, q.PATCHES),
     "merged_markers": (merged_markers, None),
     "grow_labels": (grow_labels, None),
-    "ridge_walk": (ridge_walk, None),
-    "walk_summary": (walk_summary, None),
+    "grow_basins": (grow_basins, rq.BASINS),
+    "ridge_walk": (ridge_walk, rq.WALKS),
+    "walk_summary": (walk_summary, rq.SUMMARY),
     "pca_shape": (pca_shape, q.PCA),
     "contact_spread": (contact_spread, q.SPREAD),
     "origin_diameter": (origin_diameter, q.DIAMETER),
