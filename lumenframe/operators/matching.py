@@ -17,11 +17,18 @@ from lumenframe.operators.spatial import pairs_within
 from lumenframe.params import DEFAULTS, Params
 from lumenframe.session import cut
 
-# a case is solved inside one task only while its cost matrix stays below this many entries
-LOCAL_COST_ENTRIES = 4_000_000
 
+class Distances:
+    """A cost matrix of distances whose rows are computed when they are asked for: memory follows its sides, not its area."""
 
-def min_cost_assignment(cost: np.ndarray) -> np.ndarray:
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.shape = a, b, (len(a), len(b))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.sqrt(((self.b - self.a[i]) ** 2).sum(axis=1))
+
+
+def min_cost_assignment(cost: np.ndarray | Distances) -> np.ndarray:
     """Column of each row in a minimum-total assignment (rows <= columns), by augmenting paths."""
     n, m = cost.shape
     row_of = np.full(m, -1)
@@ -64,39 +71,28 @@ def _solve_case(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["is_gt", "id"])
     gt, pred = pdf[pdf.is_gt], pdf[~pdf.is_gt]
     a, b = gt[["x", "y", "z"]].to_numpy(float), pred[["x", "y", "z"]].to_numpy(float)
-    cost = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
     if len(a) <= len(b):
-        i, j = np.arange(len(a)), min_cost_assignment(cost)
+        i, j = np.arange(len(a)), min_cost_assignment(Distances(a, b))
     else:
-        i, j = min_cost_assignment(cost.T), np.arange(len(b))
-    return pd.DataFrame(
-        {"case_id": pdf["case_id"].iloc[0], "gt_id": gt["id"].to_numpy()[i], "pred_id": pred["id"].to_numpy()[j], "dist_mm": cost[i, j]}
-    )
+        i, j = min_cost_assignment(Distances(b, a)), np.arange(len(b))
+    gap = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+    return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "gt_id": gt["id"].to_numpy()[i], "pred_id": pred["id"].to_numpy()[j], "dist_mm": gap})
 
 
-def optimal_matches(
-    gt: DataFrame, pred: DataFrame, p: Params = DEFAULTS, local_entries: int = LOCAL_COST_ENTRIES
-) -> DataFrame:
+def optimal_matches(gt: DataFrame, pred: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Minimum-total matching per case, gated afterwards: ``(case_id, gt_id, pred_id, dist_mm)``.
 
     The gate comes after the assignment, so a far pair may displace a near one; that order is part
-    of the scoring rule. A case holds tens of landmarks; one whose cost matrix would exceed
-    ``local_entries`` is refused with an error rather than cut down or pulled into one task.
+    of the scoring rule. A case holds tens of landmarks and is solved in one task, whose memory follows its number of
+    landmarks, not of pairs.
     """
     both = gt.select("case_id", "id", "x", "y", "z", F.lit(True).alias("is_gt")).unionByName(
         pred.select("case_id", "id", "x", "y", "z", F.lit(False).alias("is_gt"))
     )
-    size = both.groupBy("case_id").agg(
-        F.count_if("is_gt").alias("n_gt"), F.count_if(~F.col("is_gt")).alias("n_pred")
-    )
-    size = cut(size.withColumn("entries", F.col("n_gt") * F.col("n_pred")), "match-size")
-    fits = size.where((F.col("entries") > 0) & (F.col("entries") <= local_entries))
+    sides = both.groupBy("case_id").agg(F.bool_or("is_gt").alias("g"), F.bool_or(~F.col("is_gt")).alias("p")).where("g AND p")
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = f"case_id {kinds['case_id']}, gt_id {kinds['id']}, pred_id {kinds['id']}, dist_mm double"
-    out = spread(both.join(fits, "case_id", "left_semi"), ["case_id"]).groupBy("case_id").applyInPandas(_solve_case, schema)
-    big = [r["case_id"] for r in size.where(F.col("entries") > local_entries).limit(5).collect()]
-    if big:
-        raise ValueError(f"too many landmarks for an exact assignment in cases {big}")
+    out = spread(both.join(sides, "case_id", "left_semi"), ["case_id"]).groupBy("case_id").applyInPandas(_solve_case, schema)
     return out.where(F.col("dist_mm") <= p.match_mm)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +18,9 @@ from lumenframe.session import cut
 # Model features in order.
 FEATURES = ("vesselness", "radius_cv", "circularity", "path_mm", "radius_mm", "bone_frac", "adj_lumen_frac")
 
+#: Folds whose sums one matrix product holds, rows of a chunk, and the largest change of a weight at which a fold is settled.
+FOLD_BLOCK, CHUNK_ROWS, TOLERANCE = 1024, 2048, 1e-9
+
 
 def design_rows(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Confirmed rows with every feature finite; ``label`` is 1.0 for confirmed_real."""
@@ -72,27 +77,120 @@ def score_gate(model, rows: DataFrame, features: Sequence[str] = FEATURES) -> Da
     return model.transform(vec).withColumn("p_real", F.get(vector_to_array("probability"), 1)).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def leave_one_case_out(rows: DataFrame, features: Sequence[str] = FEATURES, fold: str = "case_id", l2: float = 1.0, max_folds: int = 500) -> DataFrame:
-    """Held-out score of every row: one distributed fit per fold.
+def leave_one_case_out(rows: DataFrame, features: Sequence[str] = FEATURES, fold: str = "case_id", l2: float = 1.0, block: int = FOLD_BLOCK) -> DataFrame:
+    """Held-out score ``p_real`` of every row: one ridge-penalised fit per fold, all folds at once.
 
-    The number of fits equals the number of folds, so large cohorts should pass a coarser ``fold``
-    column (``fold_column`` groups cases).
+    A round is one Newton step of every fold. Rows are packed once into chunks of arrays; a chunk adds up the loss,
+    gradient and Gram sums of a block of folds by matrix products, without the rows of each fold itself, and only these sums are shuffled. A
+    step that raises a fold's loss is halved. A fold whose training rows have one label scores 0 or 1.
     """
-    rows = cut(rows, "folds-in")
-    folds = [r[0] for r in rows.select(fold).distinct().limit(max_folds + 1).collect()]
-    if len(folds) > max_folds:
-        raise ValueError(f"more than {max_folds} folds; group cases with fold_column first")
-    stats = cut(fold_scales(rows, features, fold), "folds-scale")
-    out = None
-    for f in folds:
-        one = stats.where(F.col(fold) == F.lit(f)).drop(fold)
-        z = {c: (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in features}
-        scaled = rows.join(F.broadcast(one)).withColumns(z).drop(*one.columns)  # one row
-        held = scaled.where(F.col(fold) == F.lit(f))
-        train = scaled.where(F.col(fold) != F.lit(f))
-        scored = score_gate(fit_gate(train, features, l2), held, features)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    d = len(features)
+    rows = cut(rows.withColumn("__fold", F.coalesce(F.col(fold).cast("string"), F.lit(""))), "folds-in")
+    mid = rows.agg(*[F.avg(f).alias(f"c_{f}") for f in features])  # one row; centring avoids cancellation
+    ones = rows.groupBy("__fold").agg(F.sum("label").alias("own"))
+    every = ones.agg(F.sum("own").alias("every"))
+    state = fold_scales(rows, features, "__fold").join(ones, "__fold").join(F.broadcast(every)).join(F.broadcast(mid))
+    blocks = max(1, -(-rows.select("__fold").distinct().count() // block))
+    share = (F.col("every") - F.col("own")) / F.col("n_train")
+    bias = F.when((share > 0) & (share < 1), F.log(share / (1.0 - share))).otherwise(F.lit(0.0))
+    state = cut(
+        state.select(
+            "__fold", F.pmod(F.xxhash64("__fold"), F.lit(blocks)).cast("int").alias("block"), share.alias("share"),
+            F.array(*[F.col(f"mu_{f}") - F.col(f"c_{f}") for f in features]).alias("mu"), F.array(*[F.col(f"sd_{f}") for f in features]).alias("sd"),
+            F.array(bias, *[F.lit(0.0)] * d).alias("w"), F.array(*[F.lit(0.0)] * (d + 1)).alias("step"), F.lit(float("inf")).alias("loss"), F.lit(True).alias("open"),
+        ).where("share > 0 AND share < 1"),
+        "folds-state",
+    )
+    values = [(F.col(f) - F.col(f"c_{f}")).cast("double") for f in features]
+    packed = rows.join(F.broadcast(mid)).select("__fold", F.col("label").cast("double").alias("label"), F.array(*values).alias("x"))
+    chunks = cut(packed.mapInArrow(_packed(d), "folds array<string>, label array<double>, x array<double>"), "folds-rows")
+    chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    n_sums = 1 + (d + 1) + (d + 1) * (d + 2) // 2
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
+    while not state.where("open").isEmpty():
+        live = F.struct("__fold", "mu", "sd", "w")
+        models = state.where("open").groupBy("block").agg(F.collect_list(live).alias("models"))  # about ``block`` of them
+        parts = chunks.join(models, "block").mapInArrow(_fold_sums(d), "__fold string, " + ", ".join(f"s{i} double" for i in range(n_sums)))
+        sums = parts.groupBy("__fold").agg(F.array(*[F.sum(f"s{i}") for i in range(n_sums)]).alias("sums"))
+        state = cut(state.join(sums, "__fold", "left").mapInArrow(_newton(d, l2), kinds), "folds-state")
+    model = state.select("__fold", "mu", "sd", "w")
+    found = rows.join(F.broadcast(mid)).join(model, "__fold", "left").join(ones, "__fold").join(F.broadcast(every))
+    line = F.col("w")[0]
+    for i, f in enumerate(features):
+        line = line + F.col("w")[i + 1] * (F.col(f) - F.col(f"c_{f}") - F.col("mu")[i]) / F.col("sd")[i]
+    other = F.when(F.col("every") > F.col("own"), 1.0).otherwise(0.0)
+    return found.withColumn("p_real", F.when(F.col("w").isNull(), other).otherwise(1.0 / (1.0 + F.exp(-line)))).select(*[c for c in rows.columns if c != "__fold"], "p_real")
+
+
+def _packed(d: int):
+    """Rows -> one row per Arrow batch that holds them as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK_ROWS):
+                some = batch.slice(at, CHUNK_ROWS)
+                whole = [some.column(0).to_pylist(), some.column(1).to_numpy(), some.column(2).flatten().to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array([whole[0]], pa.list_(pa.string())), pa.array([whole[1]]), pa.array([whole[2]])], ["folds", "label", "x"])
+
+    return run
+
+
+def _fold_sums(d: int):
+    """A chunk of rows beside a block of folds -> loss, gradient and Gram sums of each fold over the rows outside it."""
+    upper = np.triu_indices(d + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                y, x = np.array(r["label"]), np.array(r["x"]).reshape(-1, d)
+                x = np.hstack([np.ones((len(y), 1)), x])
+                names = [m["__fold"] for m in r["models"]]
+                mu, sd, w = (np.array([m[k] for m in r["models"]]) for k in ("mu", "sd", "w"))
+                v = w[:, 1:] / sd
+                z = x @ np.hstack([w[:, :1] - (mu * v).sum(axis=1, keepdims=True), v]).T
+                p = 1.0 / (1.0 + np.exp(-z))
+                loss, miss, spread = np.logaddexp(0.0, z) - y[:, None] * z, p - y[:, None], p * (1.0 - p)
+                place = {n: i for i, n in enumerate(names)}
+                own = [(i, place[f]) for i, f in enumerate(r["folds"]) if f in place]
+                if own:
+                    at = tuple(np.array(own).T)
+                    loss[at], miss[at], spread[at] = 0.0, 0.0, 0.0
+                pairs = x[:, upper[0]] * x[:, upper[1]]
+                sums = np.hstack([loss.sum(axis=0)[:, None], miss.T @ x, spread.T @ pairs])
+                yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(c) for c in sums.T]], ["__fold", *[f"s{i}" for i in range(sums.shape[1])]])
+
+    return run
+
+
+def _newton(d: int, l2: float):
+    """Folds beside their sums -> folds after one step, in the scale of each fold's own features."""
+    upper = np.triu_indices(d + 1)
+
+    def step(r: dict) -> dict:
+        if not r["open"]:
+            return r
+        sums, mu, sd, w = (np.array(r[k]) for k in ("sums", "mu", "sd", "w"))
+        # from centred to standardised features: (1, x) -> (1, (x - mu) / sd)
+        scale = np.zeros((d + 1, d + 1))
+        scale[0, 0] = 1.0
+        scale[1:, 0], scale[1:, 1:] = -mu / sd, np.diag(1.0 / sd)
+        gram = np.zeros((d + 1, d + 1))
+        gram[upper] = sums[d + 2 :]
+        gram = gram + np.triu(gram, 1).T
+        pull = np.r_[0.0, np.full(d, l2)]
+        loss = sums[0] + 0.5 * (pull * w * w).sum()
+        if loss > r["loss"] * (1 + 1e-14):
+            last = np.array(r["step"]) / 2.0
+            w, last = w - last, last
+            return {**r, "w": w.tolist(), "step": last.tolist(), "open": bool(np.abs(last).max() > TOLERANCE)}
+        change = -np.linalg.solve(scale @ gram @ scale.T + np.diag(pull), scale @ sums[1 : d + 2] + pull * w)
+        return {**r, "w": (w + change).tolist(), "step": change.tolist(), "loss": float(loss), "open": bool(np.abs(change).max() > TOLERANCE)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([step(r) for r in batch.to_pylist()], pa.schema([f for f in batch.schema if f.name != "sums"]))
+
+    return run
 
 
 def fold_column(rows: DataFrame, folds: int, case: str = "case_id") -> DataFrame:

@@ -20,7 +20,7 @@ from lumenframe.session import cut
 WALK = ["case_id", "inst_id", "walk_id"]
 _AT = ["z", "y", "x"]
 #: Rounds in one job; the lumen is shuffled once per job.
-ROUNDS = 4
+ROUNDS = 2
 
 # Weights of the walk score (gain in distance, depth, length), the loss of distance that a step may
 # have, and the fork test (share of the shortest path, difference of scores, difference of distances).

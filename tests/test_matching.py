@@ -31,10 +31,24 @@ def test_gate_comes_after_the_assignment(spark):
     assert got == {("g2", "p1")}
 
 
-def test_refuses_oversized_cases(spark):
-    gt = lm(spark, [("c", f"g{i}", (float(i), 0, 0), (0, 0, 1.0), 1.0) for i in range(4)])
-    with pytest.raises(ValueError):
-        matching.optimal_matches(gt, gt, local_entries=10)
+def test_large_cases_are_solved_row_by_row(spark):
+    """2,600 x 2,600 costs in one case: no row of an assignment can be exchanged with others at a gain (no negative cycle)."""
+    g = np.random.default_rng(8)
+    a, b = g.uniform(0, 300, (2600, 3)), g.uniform(0, 300, (2600, 3))
+    col = matching.min_cost_assignment(matching.Distances(a, b))
+    assert sorted(col) == list(range(2600))
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    price = np.zeros(2600)  # potentials of the exchange graph exist only at an optimum
+    gain = cost - cost[np.arange(2600), col][:, None]
+    for _ in range(2600):
+        lower = np.minimum(price, (price[:, None] + gain).min(0)[col])
+        if np.allclose(lower, price, atol=1e-10):
+            break
+        price = lower
+    else:
+        raise AssertionError("a cycle of exchanges gains")
+    few = lm(spark, [("c", f"g{i}", tuple(q), (0, 0, 1.0), 1.0) for i, q in enumerate(a[:70])]), lm(spark, [("c", f"p{i}", tuple(q), (0, 0, 1.0), 1.0) for i, q in enumerate(a[:90] + 0.1)])
+    assert {(r.gt_id[1:], r.pred_id[1:]) for r in matching.optimal_matches(*few).collect()} == {(str(i),) * 2 for i in range(70)}
 
 
 def test_empty_sides_and_flags(spark):

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import distributions as ds
@@ -62,6 +63,36 @@ def test_held_out_scores_use_only_other_cases(spark):
             assert abs(scored[r[0], r[1]] - v) < 1e-3
 
 
+def newton_reference(x, y, l2=1.0):
+    mu, sd = x.mean(0), x.std(0)
+    sd = np.where(sd < 1e-8, 1.0, sd)
+    z, w, pen = np.c_[np.ones(len(x)), (x - mu) / sd], np.zeros(x.shape[1] + 1), np.r_[0.0, np.full(x.shape[1], l2)]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(pen), z.T @ (p - y) + pen * w)
+    return lambda q: 1 / (1 + np.exp(-np.c_[np.ones(len(q)), (q - mu) / sd] @ w))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_every_case_is_a_fold(spark, block):
+    """400 cases, one of them a third of the rows, and a case whose removal leaves one label."""
+    g = np.random.default_rng(21)
+    n = 1500
+    case = np.where(g.random(n) < 0.33, 0, g.integers(1, 400, n))
+    x = g.normal(0, 1, (n, 2)) * [1.0, 40.0] + [3.0, 900.0]
+    y = (x[:, 0] - 3 + g.normal(0, 1, n) > 0).astype(float)
+    y[case == 3] = 1 - y[case == 3]
+    df = spark.createDataFrame([(int(c), i, float(v), *map(float, q)) for i, (c, v, q) in enumerate(zip(case, y, x))], "case_id long, id long, label double, a double, b double")
+    got = {r.id: r.p_real for r in qm.leave_one_case_out(df, ("a", "b"), block=block).collect()}
+    assert len(got) == n
+    for c in [0, 3, 17, 200, 399]:
+        own = case == c
+        want = newton_reference(x[~own], y[~own])(x[own]) if own.any() else []
+        assert np.abs(np.array([got[i] for i in np.flatnonzero(own)]) - want).max() < 1e-8
+    two = spark.createDataFrame([("p", 1.0, 0.0), ("p", 1.0, 1.0), ("q", 0.0, 2.0), ("q", 1.0, 5.0)], "case_id string, label double, a double")
+    assert {(r.case_id, round(r.p_real, 6)) for r in qm.leave_one_case_out(two, ("a",)).collect() if r.case_id == "q"} == {("q", 1.0)}
+
+
 def test_threshold_studies(spark):
     g = np.random.default_rng(3)
     t, f = np.round(g.normal(1, 1, 40), 1), np.round(g.normal(0, 1, 50), 1)
