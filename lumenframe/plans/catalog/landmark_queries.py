@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lumenframe.functions.rounding import r6
 from lumenframe.operators import components, matching, metrics, quality_checks, resolve, review, rules, spatial
+from lumenframe.params import Params
 from lumenframe.plans.catalog.views import LM, landmarks, with_sql
 from lumenframe.sources import documents
 
@@ -86,6 +87,26 @@ def optimal_matches(spark, sf):
     return m.select("case_id", "gt_id", "pred_id", r6(F.col("dist_mm")).alias("dist_mm"))
 
 
+def _tens(spark, sf):
+    """Landmarks in cases of ten consecutive ids, so that SQL can enumerate the assignments."""
+    lm = landmarks(spark, sf).withColumn("case_id", F.floor(F.col("id") / 10).cast("long"))
+    return lm.where("is_gt"), lm.where(~F.col("is_gt"))
+
+
+def optimal_matches_of_ten(spark, sf):
+    m = matching.optimal_matches(*_tens(spark, sf), Params(match_mm=25.0))
+    return m.select("case_id", "gt_id", "pred_id", r6(F.col("dist_mm")).alias("dist_mm"))
+
+
+def overall_prf_of_ten(spark, sf):
+    """Scoring of the small cases with the exact assignment."""
+    gt, pred = _tens(spark, sf)
+    attrs = matching.match_attributes(matching.optimal_matches(gt, pred, Params(match_mm=25.0)), gt, pred)
+    cases = gt.select("case_id").unionByName(pred.select("case_id")).distinct()
+    m = metrics.overall_metrics(metrics.case_metrics(cases, gt, pred, attrs))
+    return m.select("n_gt", "n_pred", "n_matched", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "mean_ostium_err_mm")])
+
+
 def _attrs(spark, sf):
     gt, pred = _split(spark, sf)
     return gt, pred, matching.match_attributes(matching.mutual_nearest_matches(gt, pred), gt, pred)
@@ -255,6 +276,23 @@ SANITY = """fl AS (SELECT CAST(lm.case_id AS VARCHAR) AS case_id, bn.instance_id
     SELECT case_id, instance_id, 'seed_xyz_mm', [sx, sy, sz] FROM fl)),
  bad AS (SELECT *, CASE WHEN i0 < -1.0 OR i0 > 65.0 THEN 0 WHEN i1 < -1.0 OR i1 > 65.0 THEN 1 WHEN i2 < -1.0 OR i2 > 65.0 THEN 2 END AS a FROM ax)"""
 
+TENS = "WITH RECURSIVE " + LM + """,
+tg AS MATERIALIZED (SELECT floor(id / 10)::BIGINT AS case_id, id, x, y, z, row_number() OVER (PARTITION BY floor(id / 10) ORDER BY id) AS k FROM lm WHERE is_gt),
+tp AS MATERIALIZED (SELECT floor(id / 10)::BIGINT AS case_id, id, x, y, z FROM lm WHERE NOT is_gt),
+tn AS MATERIALIZED (SELECT g.case_id, g.n AS ng, p.n AS np FROM (SELECT case_id, count(*) AS n FROM tg GROUP BY 1) g JOIN (SELECT case_id, count(*) AS n FROM tp GROUP BY 1) p USING (case_id)),
+tries(case_id, k, skipped, used, pairs, total) AS (
+  SELECT case_id, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::STRUCT(g BIGINT, p BIGINT, d DOUBLE)[], 0.0::DOUBLE FROM tn
+  UNION ALL
+  SELECT t.case_id, t.k + 1, t.skipped + (p.id IS NULL)::BIGINT, CASE WHEN p.id IS NULL THEN used ELSE list_append(used, p.id) END,
+    CASE WHEN p.id IS NULL THEN pairs ELSE list_append(pairs, {'g': g.id, 'p': p.id, 'd': sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)+(g.z-p.z)*(g.z-p.z))}) END,
+    total + coalesce(sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)+(g.z-p.z)*(g.z-p.z)), 0.0)
+  FROM tries t JOIN tn USING (case_id) JOIN tg g ON g.case_id = t.case_id AND g.k = t.k + 1
+  JOIN (SELECT * FROM tp UNION ALL SELECT case_id, NULL, NULL, NULL, NULL FROM tn) p ON p.case_id = t.case_id
+  WHERE CASE WHEN p.id IS NULL THEN t.skipped < ng - np ELSE NOT list_contains(used, p.id) END),
+won AS (SELECT case_id, min_by(pairs, total) AS pairs FROM tries JOIN tn USING (case_id) WHERE k = ng AND len(pairs) = least(ng, np) GROUP BY 1),
+hit AS (SELECT case_id, q.g AS gt_id, q.p AS pred_id, q.d AS d FROM (SELECT case_id, unnest(pairs) AS q FROM won) WHERE q.d <= 25.0)
+"""
+
 LANDMARK_QUERIES = {
     "landmark_pairs_within": (landmark_pairs_within, with_sql(LM, PAIRS) + "SELECT case_id, gt_id, pred_id, round(d, 6) AS dist_mm FROM pr WHERE d <= 10"),
     "landmark_self_pairs": (landmark_self_pairs, with_sql(LM) + "SELECT * FROM (SELECT g.case_id, g.id AS id_i, p.id AS id_j, round(" + DIST + ", 6) AS dist_mm FROM lm g JOIN lm p ON g.case_id=p.case_id AND g.id<p.id) WHERE dist_mm <= 8.0"),
@@ -263,6 +301,11 @@ LANDMARK_QUERIES = {
     "landmark_nearest_cutoff": (landmark_nearest_cutoff, with_sql(LM, PAIRS) + "SELECT g.case_id, g.id AS gt_id, n.pred_id, round(n.d, 6) AS dist_mm FROM lm g LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY case_id, gt_id ORDER BY d, pred_id) AS rn FROM pr WHERE d <= 12) n ON n.case_id=g.case_id AND n.gt_id=g.id AND n.rn=1 WHERE g.is_gt"),
     "mutual_nearest_matches": (mutual_nearest_matches, with_sql(LM, PAIRS, MUTUAL) + "SELECT case_id, gt_id, pred_id, round(d, 6) AS dist_mm FROM mm"),
     "optimal_matches": (optimal_matches, None),
+    "optimal_matches_of_ten": (optimal_matches_of_ten, TENS + "SELECT case_id, gt_id, pred_id, round(d, 6) AS dist_mm FROM hit"),
+    "overall_prf_of_ten": (overall_prf_of_ten, TENS + """, c AS (SELECT case_id, count(*) FILTER (is_gt) AS ng, count(*) FILTER (NOT is_gt) AS np FROM (SELECT floor(id / 10)::BIGINT AS case_id, is_gt FROM lm) GROUP BY 1),
+ k AS (SELECT case_id, count(*) AS nm, avg(d) AS mo FROM hit GROUP BY 1),
+ t AS (SELECT sum(ng)::BIGINT AS n_gt, sum(np)::BIGINT AS n_pred, coalesce(sum(nm), 0)::BIGINT AS n_matched, avg(mo) AS mo FROM c LEFT JOIN k USING (case_id))
+SELECT n_gt, n_pred, n_matched, round(n_matched / n_pred, 6) AS "precision", round(n_matched / n_gt, 6) AS recall, round(2.0 * n_matched / (n_pred + n_gt), 6) AS f1, round(mo, 6) AS mean_ostium_err_mm FROM t"""),
     "match_attributes": (match_attributes, with_sql(LM, PAIRS, MUTUAL, ATTR) + "SELECT case_id, gt_id, pred_id, round(ostium_err_mm,6) AS ostium_err_mm, round(seed_err_mm,6) AS seed_err_mm, round(cosine,6) AS cosine, round(pred_radius_mm,6) AS pred_radius_mm, round(gt_radius_mm,6) AS gt_radius_mm, round(radius_ratio,6) AS radius_ratio FROM att"),
     "match_flags": (match_flags, with_sql(LM, PAIRS, MUTUAL, ATTR) + """SELECT case_id, gt_id, pred_id, 'direction_mismatch' AS flag FROM att WHERE cosine < 0.35
 UNION ALL SELECT case_id, gt_id, pred_id, 'implausible_radius' FROM att WHERE NOT (pred_radius_mm BETWEEN 0.35 AND 8.0)
