@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.blocks import Block, blocks, texts_of, word_hashes, words_of
+from lumenframe.llm.blocks import Block, binary_column, blocks, texts_of, word_hashes, words_of
 from lumenframe.llm.scratch import kept
 
 DIM = 1 << 15
@@ -128,6 +128,14 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def _packed_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id`` and the places of a text's indicators, two bytes each."""
+    for block in blocks(batches, **_BLOCK):
+        doc, place = indicators(block)
+        ends = np.searchsorted(doc, np.arange(len(block.ids) + 1)) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids), binary_column(ends, place.astype(np.uint16).view(np.uint8))], names=["doc_id", "places"])
+
+
 _LEARNED = "place int, zeros long, ones long, label int, found binary"
 
 
@@ -138,23 +146,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     share = min(1.0, max_rows / max(marks.count(), 1))
     # the sample is drawn by hash, so it is the same in every run
     marks = marks.withColumn("drawn", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = texts_of(docs).join(marks, "doc_id").select("doc_id", "text", "label", "drawn")
+    # places, not texts, meet the labels, and by the same kind of join at any size
+    packed = texts_of(docs).filter(~is_held_out(F.col("doc_id"))).mapInArrow(_packed_places, "doc_id long, places binary")
+    rows = packed.join(marks.hint("merge"), "doc_id").select("places", "label", "drawn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, DIM), np.int64)
         for batch in batches:
-            label, drawn, at = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), 0
-            for block in blocks([batch], **_BLOCK):
-                own, take = label[at : at + len(block.ids)], drawn[at : at + len(block.ids)]
-                at += len(own)
-                doc, place = indicators(block)
-                for k in (0, 1):
-                    totals[k] += np.bincount(place[own[doc] == k], minlength=DIM)
-                ends = np.searchsorted(doc, np.arange(len(own) + 1))
-                some = np.flatnonzero(take)
-                found = [place[ends[i] : ends[i + 1]].astype(np.uint16).tobytes() for i in some]
-                none = pa.nulls(len(some))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(own[some], pa.int32()), pa.array(found, pa.binary())], names=["place", "zeros", "ones", "label", "found"])
+            places, label, drawn = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for k in (0, 1):
+                found = b"".join(places.filter(pa.array(label == k)).to_pylist())
+                totals[k] += np.bincount(np.frombuffer(found, np.uint16), minlength=DIM)
+            some = pa.array(np.flatnonzero(drawn))
+            none = pa.nulls(len(some))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(label, pa.int32()).take(some), places.take(some)], names=["place", "zeros", "ones", "label", "found"])
         used = np.flatnonzero(totals.any(0))
         none = pa.nulls(len(used))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(totals[0][used]), pa.array(totals[1][used]), none.cast(pa.int32()), none.cast(pa.binary())], names=["place", "zeros", "ones", "label", "found"])

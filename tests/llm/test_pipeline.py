@@ -10,7 +10,7 @@ from lumenframe.llm.queries import LLM_QUERIES
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in LLM_QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "near-duplicates", "repeated strings", "mixture", "token ids"]
 
 
