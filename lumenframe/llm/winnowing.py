@@ -48,8 +48,22 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, ends[offsets]
 
 
-def winnow(points: np.ndarray, offsets: np.ndarray, k: int = K, w: int = W) -> Prints:
-    """Fingerprints of all documents of a block."""
+def winnow(points: np.ndarray, offsets: np.ndarray, k: int = K, w: int = W, longest: int = 1 << 23) -> Prints:
+    """Fingerprints of all documents of a block; windows of a text over ``longest`` code points are taken in stretches."""
+    sizes = np.diff(offsets)
+    if not len(sizes) or sizes.max() <= longest:
+        return _winnowed(points, offsets, k, w)
+    doc, step = spread(np.maximum(-(-(sizes - (w + k - 2)) // longest), 1))
+    start = offsets[:-1][doc] + step * longest
+    stop = np.minimum(start + longest + w + k - 2, offsets[1:][doc])
+    found = _winnowed(np.concatenate([points[a:b] for a, b in zip(start, stop, strict=True)]), np.concatenate([[0], np.cumsum(stop - start)]), k, w)
+    doc, position = doc[found.doc], found.position + (step * longest)[found.doc]
+    new = np.ones(len(doc), bool)  # the last window of a stretch and the first of the next may keep the same gram
+    new[1:] = (doc[1:] != doc[:-1]) | (position[1:] != position[:-1])
+    return Prints(doc[new], found.hash[new], position[new])
+
+
+def _winnowed(points: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Prints:
     n, sizes = len(points), np.diff(offsets)
     values = mix(points.astype(U64) + U64(1))
     place = np.arange(n) - np.repeat(offsets[:-1], sizes)
