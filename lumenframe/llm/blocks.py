@@ -22,6 +22,7 @@ _MUL = U64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _PLACE = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * U64(2) + U64(1)
+_FAR_PLACE = np.r_[U64(1), _rng.integers(1, 2**63, (1 << 16) - 1, dtype=np.uint64) * U64(2) + U64(1)]
 #: The space characters of ``[\x20\x09-\x0D]``.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -195,6 +196,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
     at = place + np.repeat(start, lengths) if first[-1] != start[-1] else slice(0, len(place))
     parts = _BYTE[data[at]] * _PLACE[place & 0xFFFF]
+    if lengths.max() > 0xFFFF:  # places repeat every 65,536 bytes and stretches every 4 GB, beyond any text
+        parts *= _FAR_PLACE[place >> 16]
     return mix(np.add.reduceat(parts, first) + lengths.astype(U64) * _MUL)
 
 
