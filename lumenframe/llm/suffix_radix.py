@@ -23,6 +23,7 @@ no rows. What is left of a text need not be valid UTF-8 and is returned as bytes
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -214,7 +215,7 @@ def _next_question(step: int, n_buckets: int):
     return run
 
 
-_CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_md5 string"
 
 
 def _cut_out(texts: pa.Table, rows: pa.Table) -> pa.Table:
@@ -236,7 +237,7 @@ def _cut_out(texts: pa.Table, rows: pa.Table) -> pa.Table:
         total = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
         spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[block.offsets])
         sizes, removed = np.diff(block.offsets), np.diff(total)
-        out.append(pa.table({"doc_id": block.ids, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": binary_column(np.concatenate([[0], np.cumsum(sizes - removed)]), block.data[~gone])}))
+        out.append(pa.table({"doc_id": block.ids, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": binary_column(np.concatenate([[0], np.cumsum(sizes - removed)]), block.data[~gone]), "text_md5": [hashlib.md5(block.text(i)).hexdigest() for i in range(len(sizes))]}))
     return pa.concat_tables(out)
 
 
@@ -262,11 +263,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns, repeated strings cut out of ``text`` and ``n_chars`` (if there) counted anew.
 
     A document of which nothing but white space is left goes; texts that lose nothing stay as they are, nulls too.
-    Ids must be unique here: rows of one id would each get every cut text of the id.
+    Rows of one id each get the cut of their own text, equal rows stay as many as they are.
     """
-    found = cleaned(docs).select("doc_id", "n_removed", _readable("kept").alias("_text"))
-    rest = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"))
-    both = found.join(rest, F.col("doc_id") == F.col("_id")).filter((F.col("n_removed") == 0) | (F.trim("_text") != ""))
+    found = cleaned(docs).select("doc_id", "text_md5", "n_removed", _readable("kept").alias("_text")).dropDuplicates(["doc_id", "text_md5"])
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    rest = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5(whole).alias("_md5"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"))
+    both = found.join(rest, (F.col("doc_id") == F.col("_id")) & (F.col("text_md5") == F.col("_md5"))).filter((F.col("n_removed") == 0) | (F.trim("_text") != ""))
     text = F.when(~F.col("_null"), F.col("_text"))
     counted = lambda c: F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}")
     return both.select(*[text.alias("text") if c == "text" else counted(c) for c in docs.columns])
