@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.blocks import U64, Block, blocks, bytes_of, mix, release, rolling, spread, texts_of, word_hashes, words_of
@@ -40,6 +40,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, ROWS = 96, 3
 BANDS = COORDINATES // ROWS
 PIVOTS = 8
+#: Bands whose pivots every text of a group asks; in the others only texts that these left apart ask.
+FIRST_BANDS = 8
 #: Shingle units of the texts that one task compares with each other.
 TILE_WEIGHT = 1 << 15
 _ODD = [U64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, 8)]
@@ -217,6 +219,23 @@ def _across(split: DataFrame, texts: DataFrame) -> DataFrame:
     return told.groupBy("ask_tile", "tile").applyInArrow(_met, "u long, v long").distinct()
 
 
+def _asked_pivots(rows: DataFrame, asks: Column | None = None) -> DataFrame:
+    """Pairs ``u, v`` of texts and a pivot of a group they are in: of all texts, or of those that ``asks`` names.
+
+    Of a star of copies the original shares most bands; the pivot by hash serves groups without a centre.
+    """
+    central = rows.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    ranked = rows.join(central, "doc_id")
+    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "weight"))
+    drawn = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(PIVOTS))).alias("h"), F.col("doc_id"), F.col("weight")))
+    pivots = ranked.groupBy("key").agg(hub.alias("a"), drawn.alias("b"))
+    both = F.array_distinct(F.array(F.struct((-F.col("a.minus")).alias("pivot"), F.col("a.weight").alias("pivot_weight")), F.struct(F.col("b.doc_id").alias("pivot"), F.col("b.weight").alias("pivot_weight"))))
+    asking = rows if asks is None else rows.filter(asks)
+    tried = asking.join(pivots.select("key", both.alias("both")), "key").select("doc_id", "weight", F.explode("both").alias("p")).select("doc_id", "weight", "p.*")
+    tried = tried.filter((F.col("doc_id") != F.col("pivot")) & _near_in_size("weight", "pivot_weight"))
+    return kept(tried.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct(), "tried")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id``: the least id of each document's class."""
     texts = texts_of(docs)
@@ -229,16 +248,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
     sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "size")
     shared = kept(bands.join(sizes, "key"), "shared-bands")
-    central = shared.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    ranked = shared.join(central, "doc_id")
-    # of a star of copies the original shares most bands; the hashed pivot serves groups without a centre
-    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "weight"))
-    drawn = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(PIVOTS))).alias("h"), F.col("doc_id"), F.col("weight")))
-    pivots = ranked.groupBy("key").agg(hub.alias("a"), drawn.alias("b"))
-    pivots = pivots.select("key", F.explode(F.array(F.struct((-F.col("a.minus")).alias("pivot"), F.col("a.weight").alias("pivot_weight")), F.struct(F.col("b.doc_id").alias("pivot"), F.col("b.weight").alias("pivot_weight")))).alias("p")).select("key", "p.*").distinct()
-    tried = shared.join(pivots, "key").filter((F.col("doc_id") != F.col("pivot")) & _near_in_size("weight", "pivot_weight"))
-    tried = kept(tried.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct(), "tried")
-    links = kept(_linked(tried, texts), "links")
+    # first few bands link most copies to a pivot; of the other bands only what those links left apart asks a pivot
+    first = kept(_linked(_asked_pivots(shared.filter(F.col("band") < FIRST_BANDS)), texts), "links")
+    found = _components(first)
+    placed = shared.join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
+    apart = kept(placed.join(main, "key"), "apart")
+    links = first.unionByName(kept(_linked(_asked_pivots(apart, F.col("root") != F.col("main")), texts), "links"))
     found = _components(links)
 
     # groups that still hold several components
