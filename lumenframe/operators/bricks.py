@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE = 32
 KEY = ["case_id", "bz", "by", "bx"]
 
 
-def with_bricks(cells: DataFrame, halo: int, edge: int = EDGE) -> DataFrame:
+def with_bricks(cells: DataFrame, halo: int | Column, edge: int = EDGE) -> DataFrame:
     """Each cell once in its own brick and once in every brick whose halo contains it."""
     out = cells
     for a in "zyx":

@@ -77,29 +77,38 @@ def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: fl
     return out
 
 
+def brick_rows(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, edge: int = EDGE, keep: Sequence[str] = ()) -> DataFrame:
+    """Every cell once per brick that needs it, with its case's bounds, mean spacing and ``halo``.
+
+    A case's halo is the half-width of its own widest kernel, so a fine grid doesn't widen the halo of the others.
+    """
+    mean_sp = (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
+    widest = F.greatest(F.lit(p.min_scale_voxels), F.lit(max(p.tube_scales_mm)) / mean_sp)
+    half = F.floor(TRUNCATE * widest / F.sqrt(F.lit(2.0)) + 0.5)  # ``kernel_radius`` of the widest scale
+    halo = (2 * F.greatest(half, F.lit(2))).cast("int").alias("halo")
+    bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
+    sized = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), halo, *bounds))(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep))
+    bricked = with_bricks(sized, F.col("halo"), edge)
+    inside = [(F.col(f"b{a}") >= F.floor(F.col(f"{a}0") / edge)) & (F.col(f"b{a}") <= F.floor(F.col(f"{a}1") / edge)) for a in "zyx"]
+    return bricked.where(inside[0] & inside[1] & inside[2])
+
+
 def tube_response(
     cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE, keep: Sequence[str] = ()
 ) -> DataFrame:
     """``vesselness`` of every cell of ``cells(case_id, z, y, x, hu)``, with hu and ``keep`` passed through.
 
     ``grid`` is as in ``distance_from``. Beyond the grid the volume is mirrored; grid cells without
-    a row count as ``fill``. The halo is sized by the finest grid of the cohort.
+    a row count as ``fill``.
     """
-    mean_sp = (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
-    finest = grid.agg(F.min(mean_sp)).first()[0]
-    widest = max([max(p.min_scale_voxels, s / finest) for s in p.tube_scales_mm]) if finest else 1.0
-    halo = kernel_radius(widest)
-    bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
-    attach = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), *bounds))
-    bricked = attach(with_bricks(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep), halo, edge))
-    inside = [(F.col(f"b{a}") >= F.floor(F.col(f"{a}0") / edge)) & (F.col(f"b{a}") <= F.floor(F.col(f"{a}1") / edge)) for a in "zyx"]
-    bricked = bricked.where(inside[0] & inside[1] & inside[2])
+    bricked = brick_rows(cells, grid, p, edge, keep)
     scales: Sequence[float] = p.tube_scales_mm
     alpha, beta, gamma, least = p.tube_alpha, p.tube_beta, p.tube_gamma, p.min_scale_voxels
     kind = cells.schema["case_id"].dataType.simpleString()
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
+        halo = int(one["halo"])
         lo = np.array([int(one[f"{a}0"]) for a in "zyx"])
         hi = np.array([int(one[f"{a}1"]) for a in "zyx"])
         corner = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])

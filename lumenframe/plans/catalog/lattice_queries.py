@@ -371,7 +371,7 @@ def plane_crops(spark, sf):
 
 
 def _points(vox):
-    return vox.where("hu > 1030").select("case_id", (F.col("z") * 24 * 24 + F.col("y") * 24 + F.col("x")).alias("id"), (F.col("z") + 0.3).alias("pz"), (F.col("y") - 0.4).alias("py"), (F.col("x") + 0.2).alias("px"))
+    return vox.select("case_id", (F.col("z") * 24 * 24 + F.col("y") * 24 + F.col("x")).alias("id"), (F.col("z") + 0.3).alias("pz"), (F.col("y") - 0.4).alias("py"), (F.col("x") + 0.2).alias("px"))
 
 
 def point_samples(spark, sf):

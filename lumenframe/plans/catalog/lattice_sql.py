@@ -126,7 +126,8 @@ PLANES = with_sql(LAT) + """, c AS (SELECT case_id, CAST(round_even(avg(z),0) AS
 SELECT lat.case_id, 'axial' AS view, x-mx AS u, y-my AS v, round(hu,6) AS hu, parent FROM lat JOIN c ON c.case_id=lat.case_id WHERE z=mz AND abs(y-my)<=6 AND abs(x-mx)<=6
 UNION ALL SELECT lat.case_id, 'coronal', x-mx, z-mz, round(hu,6), parent FROM lat JOIN c ON c.case_id=lat.case_id WHERE y=my AND abs(z-mz)<=6 AND abs(x-mx)<=6
 UNION ALL SELECT lat.case_id, 'sagittal', y-my, z-mz, round(hu,6), parent FROM lat JOIN c ON c.case_id=lat.case_id WHERE x=mx AND abs(z-mz)<=6 AND abs(y-my)<=6"""
-_PTS = "pt AS (SELECT case_id, CAST(z*24*24+y*24+x AS INT) AS id, z, y, x FROM lat WHERE hu > 1030)"
+_PTS = "pt AS (SELECT case_id, CAST(z*24*24+y*24+x AS INT) AS id, z, y, x FROM lat)"
 SAMPLES = with_sql(LAT, _PTS) + "SELECT pt.case_id, id, round(hu,6) AS hu, parent FROM pt LEFT JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z AND lat.y=pt.y+1 AND lat.x=pt.x"
-BALL_STATS = with_sql(LAT, _PTS) + 'SELECT pt.case_id, id, count(*) AS n, round(min(hu),6) AS "min", round(quantile_cont(hu,0.5),6) AS p50, round(max(hu),6) AS "max" FROM pt JOIN lat ON lat.case_id=pt.case_id AND abs(lat.z-pt.z)<=1 AND abs(lat.y-pt.y)<=2 AND abs(lat.x-pt.x)<=2 GROUP BY 1,2'
-BALL_SHARE = with_sql(LAT, _PTS) + 'SELECT pt.case_id, id, CAST(count_if(parent) AS BIGINT) AS "sum", round(avg(CASE WHEN parent THEN 1.0 ELSE 0.0 END),6) AS frac FROM pt JOIN lat ON lat.case_id=pt.case_id AND abs(lat.z-pt.z)<=1 AND abs(lat.y-pt.y)<=2 AND abs(lat.x-pt.x)<=2 GROUP BY 1,2'
+_B75 = "b75 AS (SELECT dz, dy, dx FROM (SELECT unnest(range(-1,2)) AS dz), (SELECT unnest(range(-2,3)) AS dy), (SELECT unnest(range(-2,3)) AS dx))"
+BALL_STATS = with_sql(LAT, _PTS, _B75) + 'SELECT pt.case_id, id, count(*) AS n, round(min(hu),6) AS "min", round(quantile_cont(hu,0.5),6) AS p50, round(max(hu),6) AS "max" FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'
+BALL_SHARE = with_sql(LAT, _PTS, _B75) + 'SELECT pt.case_id, id, CAST(count_if(parent) AS BIGINT) AS "sum", round(avg(CASE WHEN parent THEN 1.0 ELSE 0.0 END),6) AS frac FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'

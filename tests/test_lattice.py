@@ -156,6 +156,19 @@ def test_growth_from_nothing(spark):
     assert growth.grow(none, allowed, grid_df(spark, {"a": SHAPE})).count() == 0
 
 
+def test_a_fine_grid_does_not_widen_the_halo_of_others(spark):
+    shape = (6, 40, 40)
+    cells = cells_df(spark, {c: np.ones(shape, bool) for c in ("a", "fine")}, hu={c: np.full(shape, 40.0) for c in ("a", "fine")})
+    coarse, fine = grid_df(spark, {"a": shape}), grid_df(spark, {"fine": shape}, (0.3, 0.3, 0.3))
+    alone = stencil.brick_rows(cells.where("case_id = 'a'"), coarse, edge=8)
+    both = stencil.brick_rows(cells, coarse.unionByName(fine), edge=8)
+    halos = {r.case_id: r.halo for r in both.select("case_id", "halo").distinct().collect()}
+    assert halos == {"a": stencil.kernel_radius(1.8 / (sum(SP) / 3)), "fine": stencil.kernel_radius(1.8 / 0.3)}
+    assert both.where("case_id = 'a'").count() == alone.count() < both.where("case_id = 'fine'").count()
+    one = stencil.tube_response(cells.where("case_id = 'a'"), coarse, edge=8)
+    assert stencil.tube_response(cells, coarse.unionByName(fine), edge=8).where("case_id = 'a'").exceptAll(one).isEmpty()
+
+
 def test_contact_and_ostium_cells(spark):
     parent = np.zeros(SHAPE, bool)
     parent[:, 4:7, 4:7] = True
