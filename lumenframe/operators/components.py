@@ -12,18 +12,19 @@ from lumenframe.operators.spatial import pairs_within_self
 from lumenframe.session import cut
 
 
-def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """``edges(case_id, u, v)`` -> ``(case_id, node, root)`` with root the least node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each step finds the least
     neighbour with a mergeable aggregate and joins it back, so a hub is never gathered in one task;
-    AQE splits the join when one hub dominates. Nodes without an edge are not returned.
+    AQE splits the join when one hub dominates. Components that have become a star leave the edge table, so a round
+    only rewrites what isn't settled. Nodes without an edge are not returned.
     """
     e = edges.where(F.col("u") != F.col("v")).select(
         "case_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    e = cut(e.distinct(), "cc-edges")
-    for _ in range(max_rounds):
+    e, stars = cut(e.distinct(), "cc-edges"), []
+    while True:
         both = e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("case_id", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # large star: neighbours above a node move to the least node around it
@@ -37,21 +38,30 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         low = large.groupBy("case_id", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["case_id", "u"]).select("case_id", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where(F.col("u") != F.col("v")).distinct(), "cc-stars")
-        if _only_stars(e):
+        open_ = cut(_open_centres(e), "cc-open")
+        stars.append(e.join(open_, ["case_id", "v"], "left_anti"))
+        if open_.isEmpty():
             break
-    else:
-        raise RuntimeError("components not settled")
-    nodes = e.select("case_id", F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = e.select("case_id", F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        e = e.join(open_, ["case_id", "v"], "left_semi").select("case_id", "u", "v")
+    settled = stars[0]
+    for part in stars[1:]:
+        settled = settled.unionByName(part)
+    nodes = settled.select("case_id", F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = settled.select("case_id", F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return nodes.unionByName(roots)
 
 
-def _only_stars(e: DataFrame) -> bool:
-    """Whether every node is either a centre or has exactly one edge to a centre."""
+def _open_centres(e: DataFrame) -> DataFrame:
+    """Centres ``(case_id, v)`` that aren't yet the centre of a star on its own.
+
+    A star's centre points nowhere, and each of its leaves points to it only and isn't a centre itself.
+    """
     one, none = F.lit(1), F.lit(0)
     ends = F.array(F.struct(F.col("u").alias("n"), one.alias("a"), none.alias("b")), F.struct(F.col("v").alias("n"), none.alias("a"), one.alias("b")))
     roles = e.select("case_id", F.explode(ends).alias("r")).groupBy("case_id", "r.n").agg(F.sum("r.a").alias("a"), F.max("r.b").alias("b"))
-    return roles.where((F.col("a") > 1) | ((F.col("a") > 0) & (F.col("b") > 0))).isEmpty()
+    loose = roles.where((F.col("a") > 1) | ((F.col("a") > 0) & (F.col("b") > 0))).select("case_id", "n")
+    of_leaf = e.join(loose.withColumnRenamed("n", "u"), ["case_id", "u"], "left_semi").select("case_id", "v")
+    return of_leaf.unionByName(e.join(loose.withColumnRenamed("n", "v"), ["case_id", "v"], "left_semi").select("case_id", "v")).distinct()
 
 
 def merge_close(points: DataFrame, radius: float, ident: str = "id", xyz=("x", "y", "z")) -> DataFrame:

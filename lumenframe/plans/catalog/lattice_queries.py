@@ -185,14 +185,20 @@ def cap_seed_drop(spark, sf):
     return masks.drop_cap_seeds(s.where("seed").select(*CELL), masks.cap_slices(vox)).select(*CELL)
 
 
+def _blood(vox):
+    """Cells of the calibrated blood mask."""
+    seen = join_case(vox, calibration.calibrate(vox).select("case_id", "blood_low", "blood_high"))
+    return seen.where(F.col("hu").between(F.col("blood_low"), F.col("blood_high")) & ~F.col("parent")).select(*CELL)
+
+
 def components26(spark, sf):
-    lab = components.label_mask(_vox(spark, sf).where("hu > 920"))
+    lab = components.label_mask(_blood(_vox(spark, sf)))
     return lab.select(*CELL, F.col("label").cast("long").alias("label"))
 
 
 def patch_table(spark, sf):
     vox = _vox(spark, sf)
-    lab = components.label_mask(vox.where("hu > 950"))
+    lab = components.label_mask(_blood(vox))
     return lab.groupBy("case_id", "label").agg(
         F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(f"c{c}") for c in "zyx"]
     ).select("case_id", F.col("label").cast("long").alias("label"), "n", "cz", "cy", "cx")

@@ -80,18 +80,20 @@ CAPS = with_sql(LAT, CAPC) + "SELECT * FROM cp"
 CAP_DROP = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, SEEDED, CAPC) + "SELECT sd.case_id, z, y, x FROM sd JOIN cp ON cp.case_id=sd.case_id WHERE seed AND NOT (lo_cap AND z < z_first+2) AND NOT (hi_cap AND z >= z_last-1)"
 
 
-def _components(limit: int) -> str:
-    return "WITH RECURSIVE " + LAT + ",\n" + BOX27 + f""",
- m AS MATERIALIZED (SELECT case_id, (CAST(z AS BIGINT)*1048576+y)*1048576+x AS k, z, y, x FROM lat WHERE hu > {limit}),
+_COMPONENTS = "WITH RECURSIVE " + LAT + ",\n" + CAL + ",\n" + BOX27 + """,
+ m AS MATERIALIZED (SELECT lat.case_id, (CAST(z AS BIGINT)*1048576+y)*1048576+x AS k, z, y, x FROM lat JOIN cal ON cal.case_id=lat.case_id WHERE hu BETWEEN blood_low AND blood_high AND NOT parent),
  e AS MATERIALIZED (SELECT a.case_id, a.k AS a, b.k AS b FROM m a, o27 o JOIN m b ON b.case_id=a.case_id AND b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx AND b.k <> a.k),
- reach(case_id, src, node) AS (SELECT case_id, k, k FROM m UNION SELECT r.case_id, r.src, e.b FROM reach r JOIN e ON e.case_id=r.case_id AND e.a=r.node),
- root AS (SELECT case_id, src, min(node) AS root FROM reach GROUP BY 1,2),
- lb AS (SELECT m.case_id, m.z, m.y, m.x, dense_rank() OVER (PARTITION BY m.case_id ORDER BY root) AS label FROM m JOIN root ON root.case_id=m.case_id AND root.src=m.k)
+ reach(case_id, k, root) USING KEY (case_id, k) AS (
+  SELECT case_id, k, k FROM m
+  UNION
+  SELECT c.case_id, c.b, c.root FROM (SELECT r.case_id, e.b, min(r.root) AS root FROM reach r JOIN e ON e.case_id=r.case_id AND e.a=r.k GROUP BY 1, 2) c
+  JOIN recurring.reach o ON o.case_id=c.case_id AND o.k=c.b WHERE c.root < o.root),
+ lb AS (SELECT m.case_id, m.z, m.y, m.x, dense_rank() OVER (PARTITION BY m.case_id ORDER BY root) AS label FROM m JOIN reach ON reach.case_id=m.case_id AND reach.k=m.k)
 """
 
 
-COMPONENTS = _components(920) + "SELECT case_id, z, y, x, label FROM lb"
-PATCHES = _components(950) + "SELECT case_id, label, count(*) AS n, round(avg(z),6) AS cz, round(avg(y),6) AS cy, round(avg(x),6) AS cx FROM lb GROUP BY 1,2"
+COMPONENTS = _COMPONENTS + "SELECT case_id, z, y, x, label FROM lb"
+PATCHES = _COMPONENTS + "SELECT case_id, label, count(*) AS n, round(avg(z),6) AS cz, round(avg(y),6) AS cy, round(avg(x),6) AS cx FROM lb GROUP BY 1,2"
 PCA = with_sql(LAT, INST, EIG) + "SELECT case_id, inst_id, n AS n_voxels, round(sv1,4) AS sv1, round(sv2,4) AS sv2, round(sv3,4) AS sv3 FROM sv"
 SPREAD = with_sql(LAT, BOX27, INST, CONT) + ", m AS (SELECT case_id, inst_id, avg(z*1.5) AS a, avg(y*0.8) AS b, avg(x*0.8) AS c, count(*) AS n FROM ct GROUP BY 1,2) SELECT ct.case_id, ct.inst_id, any_value(n) AS n_contact, round(max(sqrt((z*1.5-a)*(z*1.5-a)+(y*0.8-b)*(y*0.8-b)+(x*0.8-c)*(x*0.8-c))),6) AS contact_spread_mm FROM ct JOIN m ON m.case_id=ct.case_id AND m.inst_id=ct.inst_id GROUP BY 1,2"
 DIAMETER = with_sql(LAT, BOX27, FACE6, GRIDC, "st AS (SELECT * FROM lat WHERE parent OR hu > 700)", RIM, INST, CONT, "dp AS (" + _depth("st") + ")") + "SELECT ct.case_id, inst_id, count(*) AS n_contact, round(greatest(2*sqrt(count(*)*pow(CAST(1.5*0.8*0.8 AS DOUBLE), 2.0/3.0)/pi()), 2*max(dp)),6) AS diameter_mm FROM ct JOIN dp ON dp.case_id=ct.case_id AND dp.z=ct.z AND dp.y=ct.y AND dp.x=ct.x GROUP BY 1,2"
@@ -129,5 +131,5 @@ UNION ALL SELECT lat.case_id, 'sagittal', y-my, z-mz, round(hu,6), parent FROM l
 _PTS = "pt AS (SELECT case_id, CAST(z*24*24+y*24+x AS INT) AS id, z, y, x FROM lat)"
 SAMPLES = with_sql(LAT, _PTS) + "SELECT pt.case_id, id, round(hu,6) AS hu, parent FROM pt LEFT JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z AND lat.y=pt.y+1 AND lat.x=pt.x"
 _B75 = "b75 AS (SELECT dz, dy, dx FROM (SELECT unnest(range(-1,2)) AS dz), (SELECT unnest(range(-2,3)) AS dy), (SELECT unnest(range(-2,3)) AS dx))"
-BALL_STATS = with_sql(LAT, _PTS, _B75) + 'SELECT pt.case_id, id, count(*) AS n, round(min(hu),6) AS "min", round(quantile_cont(hu,0.5),6) AS p50, round(max(hu),6) AS "max" FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'
-BALL_SHARE = with_sql(LAT, _PTS, _B75) + 'SELECT pt.case_id, id, CAST(count_if(parent) AS BIGINT) AS "sum", round(avg(CASE WHEN parent THEN 1.0 ELSE 0.0 END),6) AS frac FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'
+BALL_STATS = with_sql(LAT.replace("lat AS (", "lat AS MATERIALIZED (", 1), _PTS, _B75) + 'SELECT pt.case_id, id, count(*) AS n, round(min(hu),6) AS "min", round(quantile_cont(hu,0.5),6) AS p50, round(max(hu),6) AS "max" FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'
+BALL_SHARE = with_sql(LAT.replace("lat AS (", "lat AS MATERIALIZED (", 1), _PTS, _B75) + 'SELECT pt.case_id, id, CAST(count_if(parent) AS BIGINT) AS "sum", round(avg(CASE WHEN parent THEN 1.0 ELSE 0.0 END),6) AS frac FROM pt, b75 JOIN lat ON lat.case_id=pt.case_id AND lat.z=pt.z+dz AND lat.y=pt.y+dy AND lat.x=pt.x+dx GROUP BY 1,2'

@@ -103,6 +103,27 @@ def test_labels_follow_scan_order(spark):
         assert (as_array([r for r in got if r.case_id == c], SHAPE, "label") == label26(m[c])).all()
 
 
+def test_settled_components_leave_the_edge_table(spark, monkeypatch):
+    """Rows rewritten fall from round to round: pairs and stars are settled long before a path is."""
+    g = np.random.default_rng(14)
+    names = g.permutation(4000)
+    path = [(int(names[i]), int(names[i + 1])) for i in range(600)]
+    pairs = [(int(names[i]), int(names[i + 1])) for i in range(1000, 2600, 2)]
+    star = [(int(names[3000]), int(names[i])) for i in range(3001, 3900)]
+    edges = spark.createDataFrame([(c, u, v) for c in ("a", "b") for u, v in path + pairs + star], "case_id string, u long, v long")
+    rows, wide = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, label="": rows.append((label, kept := wide(df, label), kept.count())) or kept)
+    got = {(r.case_id, r.node): r.root for r in components.connected(edges).collect()}
+    root = {}
+    for group in ([path], [[p] for p in pairs], [star]):
+        for part in group:
+            ids = {i for p in part for i in p}
+            root |= {i: min(ids) for i in ids}
+    assert got == {(c, i): r for c in ("a", "b") for i, r in root.items()}
+    stars = [n for label, _, n in rows if label == "cc-stars"]
+    assert stars[1] <= 2 * 700 and all(b <= a for a, b in zip(stars[1:], stars[2:]))
+
+
 def test_merged_markers(spark):
     m = random_mask(9, 0.04)
     lab = label26(m)
