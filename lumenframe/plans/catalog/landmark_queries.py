@@ -265,6 +265,25 @@ PM = """q AS (SELECT a.case_id, a.id AS i, b.id AS j,
  reasons AS (SELECT *, CASE WHEN d<=3.5 THEN 'close_ostium' WHEN c<0.25 OR s>d+2.0 THEN 'keep_diverged'
     WHEN c<0.40 AND s+1.0>=d THEN 'keep_unaligned' ELSE 'path_merge' END AS reason FROM q WHERE d <= 8.0)"""
 
+# The ordered collapse, pair by pair: a pair both of whose ends are left drops its loser.
+DROPS = "WITH RECURSIVE " + ",\n".join([LM, CAND, PM.replace("q AS (", "q AS MATERIALIZED (", 1)]) + """,
+np AS MATERIALIZED (SELECT case_id, i, j, near_loser AS loser, row_number() OVER (PARTITION BY case_id ORDER BY i, j) AS n FROM q WHERE d <= 5.0),
+nf(case_id, n, gone) AS (
+  SELECT DISTINCT case_id, 0::BIGINT, []::BIGINT[] FROM np
+  UNION ALL
+  SELECT f.case_id, f.n + 1, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END
+  FROM nf f JOIN np ON np.case_id = f.case_id AND np.n = f.n + 1),
+near_left AS MATERIALIZED (SELECT case_id, id FROM cd WHERE NOT EXISTS (SELECT 1 FROM (SELECT case_id, unnest(max_by(gone, n)) AS id FROM nf GROUP BY 1) g WHERE g.case_id = cd.case_id AND g.id = cd.id))"""
+PATH_DROPS = DROPS + """,
+pp AS MATERIALIZED (SELECT r.case_id, i, j, loser, row_number() OVER (PARTITION BY r.case_id ORDER BY i, j) AS n FROM reasons r
+  JOIN near_left a ON a.case_id = r.case_id AND a.id = r.i JOIN near_left b ON b.case_id = r.case_id AND b.id = r.j WHERE reason IN ('close_ostium', 'path_merge')),
+pf(case_id, n, gone) AS (
+  SELECT DISTINCT case_id, 0::BIGINT, []::BIGINT[] FROM pp
+  UNION ALL
+  SELECT f.case_id, f.n + 1, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, loser) END
+  FROM pf f JOIN pp ON pp.case_id = f.case_id AND pp.n = f.n + 1)
+SELECT case_id, id FROM near_left l WHERE NOT EXISTS (SELECT 1 FROM (SELECT case_id, unnest(max_by(gone, n)) AS id FROM pf GROUP BY 1) g WHERE g.case_id = l.case_id AND g.id = l.id)"""
+
 _RULE = """CASE WHEN bone_frac >= 0.22 THEN 'bone_frac' WHEN path_mm < 6.0 AND circularity < 0.38 THEN 'short_flat'
   WHEN vesselness < 0.08 AND adj_lumen_frac >= 0.28 AND radius_mm >= 3.0 THEN 'adj_blob'
   WHEN vesselness < 0.02 AND radius_cv >= 0.40 THEN 'smear_cv' END"""
@@ -316,9 +335,9 @@ UNION ALL SELECT case_id, gt_id, pred_id, 'radius_ratio' FROM att WHERE radius_r
     "overall_prf": (overall_prf, with_sql(LM, PAIRS, MUTUAL, ATTR, CASES) + ', t AS (SELECT CAST(sum(n_gt) AS BIGINT) AS n_gt, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_matched) AS BIGINT) AS n_matched, avg(mo) AS mo FROM cm), u AS (SELECT *, n_matched/CAST(n_pred AS DOUBLE) AS p, n_matched/CAST(n_gt AS DOUBLE) AS r FROM t) SELECT n_gt, n_pred, n_matched, round(p,6) AS "precision", round(r,6) AS recall, round(2*p*r/(p+r),6) AS f1, round(mo,6) AS mean_ostium_err_mm FROM u'),
     "overall_prf_optimal": (overall_prf_optimal, None),
     "near_dup_candidates": (near_dup_candidates, with_sql(LM, CAND, PM) + "SELECT case_id, i, j, near_loser AS loser, 'near_dup' AS reason, round(d,6) AS dist_mm FROM q WHERE d <= 5.0"),
-    "near_dup_kept": (near_dup_kept, None),
+    "near_dup_kept": (near_dup_kept, DROPS + "SELECT case_id, id FROM near_left"),
     "merge_reasons": (merge_reasons, with_sql(LM, CAND, PM) + "SELECT case_id, i, j, reason, CASE WHEN reason IN ('close_ostium','path_merge') THEN loser END AS loser, round(d,6) AS dist_mm, round(s,6) AS seed_sep_mm, round(c,6) AS cosine, round(dzm,6) AS dz_mm FROM reasons"),
-    "path_merge_kept": (path_merge_kept, None),
+    "path_merge_kept": (path_merge_kept, PATH_DROPS),
     "landmark_clusters": (landmark_clusters, "WITH RECURSIVE " + LM + """,
 e AS (SELECT g.case_id, g.id AS a, p.id AS b FROM lm g JOIN lm p ON g.case_id=p.case_id AND g.id<>p.id AND """ + DIST + """ <= 3.5),
 reach(case_id, src, node) AS (SELECT case_id, id, id FROM lm UNION SELECT r.case_id, r.src, e.b FROM reach r JOIN e ON e.case_id=r.case_id AND e.a=r.node)
