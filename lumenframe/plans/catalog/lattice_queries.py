@@ -136,18 +136,14 @@ def instance_depth(spark, sf):
     return d.select("case_id", "inst_id", "z", "y", "x", *_r("depth_mm"))
 
 
-def _with_surrogate(z):
-    return z.withColumn("vesselness", (F.col("z") * 31 + F.col("y") * 17 + F.col("x") * 7) % 100 / F.lit(1000.0))
-
-
 def _with_response(z, vox, grid):
     return z.join(stencil.tube_response(vox, grid).select(*CELL, "vesselness"), CELL, "left").fillna(0.0, ["vesselness"])
 
 
-def _seeded(vox, surrogate=True):
-    """Seed masks; the queries with an SQL twin take a surrogate of the tube response, which SQL can express."""
+def _seeded(vox):
+    """Seed masks by the tube response."""
     z, grid, _ = _zones(vox)
-    z = cut(_with_surrogate(z) if surrogate else _with_response(z, vox, grid), "zones")
+    z = cut(_with_response(z, vox, grid), "zones")
     thr = calibration.tube_threshold(z.where("blood AND shell"), vox.select("case_id").distinct())
 
     return masks.with_seed_masks(join_case(z, thr), vox.where("parent"), grid), grid
@@ -155,8 +151,8 @@ def _seeded(vox, surrogate=True):
 
 def tube_threshold(spark, sf):
     vox = _vox(spark, sf)
-    z, _, _ = _zones(vox)
-    t = calibration.tube_threshold(_with_surrogate(z).where("blood AND shell"), vox.select("case_id").distinct())
+    z, grid, _ = _zones(vox)
+    t = calibration.tube_threshold(_with_response(z, vox, grid).where("blood AND shell"), vox.select("case_id").distinct())
     return t.select("case_id", *_r("v_thresh"))
 
 
@@ -205,7 +201,7 @@ def patch_table(spark, sf):
 
 
 def _markers(vox):
-    s, grid = _seeded(vox, surrogate=False)
+    s, grid = _seeded(vox)
     s = cut(s, "seeded")
     seeds = masks.drop_cap_seeds(s.where("seed").select(*CELL), masks.cap_slices(vox))
     return components.merged_markers(seeds, grid, 1.0), s, grid
@@ -339,7 +335,7 @@ def strip_landmarks(spark, sf):
 def quality_reasons(spark, sf):
     vox = _vox(spark, sf)
     z, grid, calib = _zones(vox)
-    z = cut(_with_surrogate(z), "zones")
+    z = cut(_with_response(z, vox, grid), "zones")
     thr = calibration.tube_threshold(z.where("blood AND shell"), vox.select("case_id").distinct())
     inst = _instances(z.select("case_id", "z", "y", "x", "hu", "parent", "vesselness")).withColumn("inst_id", F.col("inst_id") * 24 + F.col("y"))
     shape = features.pca(inst, grid)
@@ -436,7 +432,7 @@ LATTICE_QUERIES = {
     "path_consistency": (path_consistency, None),
     "strip_landmarks": (strip_landmarks, None),
     "quality_reasons": (quality_reasons, q.QUALITY),
-    "tube_filter": (tube_filter, None),
+    "tube_filter": (tube_filter, q.TUBE_FILTER),
     "mip_slab": (mip_slab, q.MIP),
     "display_window": (display_window, q.WINDOW),
     "plane_crops": (plane_crops, q.PLANES),

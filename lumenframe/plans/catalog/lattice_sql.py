@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenframe.plans.catalog.tube_sql import TUBE
 from lumenframe.plans.catalog.views import LAT, with_sql
 
 BOX27 = "o27 AS (SELECT dz, dy, dx FROM (SELECT unnest(range(-1,2)) AS dz), (SELECT unnest(range(-1,2)) AS dy), (SELECT unnest(range(-1,2)) AS dx))"
@@ -19,9 +20,12 @@ CAL = """cq AS (SELECT case_id, count(*) AS n_voxels, max(hu) AS mx, quantile_co
  cal AS (SELECT *, CASE WHEN least(hi92+80.0, 850.0) <= blood_low+20.0 THEN least(mx, 850.0) ELSE least(hi92+80.0, 850.0) END AS blood_high FROM cl)"""
 DIST = """ds AS (SELECT c.case_id, c.z, c.y, c.x, min(sqrt(((c.z-p.z)*1.5)*((c.z-p.z)*1.5) + ((c.y-p.y)*0.8)*((c.y-p.y)*0.8) + ((c.x-p.x)*0.8)*((c.x-p.x)*0.8))) AS d
    FROM lat c JOIN (SELECT * FROM lat WHERE parent) p ON p.case_id=c.case_id GROUP BY 1,2,3,4)"""
-ZONES = """zn AS (SELECT lat.*, ds.d, cal.p10, cal.p50, cal.p95, cal.blood_low, cal.blood_high, hu BETWEEN blood_low AND blood_high AND NOT parent AS blood, d > 0 AND d <= 14.0 AS shell, ((lat.z*31+lat.y*17+lat.x*7) % 100)/1000.0 AS v
+ZONES = """zn AS (SELECT lat.*, ds.d, cal.p10, cal.p50, cal.p95, cal.blood_low, cal.blood_high, hu BETWEEN blood_low AND blood_high AND NOT parent AS blood, d > 0 AND d <= 14.0 AS shell, 0.0::DOUBLE AS v
    FROM lat JOIN ds ON ds.case_id=lat.case_id AND ds.z=lat.z AND ds.y=lat.y AND ds.x=lat.x JOIN cal ON cal.case_id=lat.case_id),
  zm AS (SELECT *, blood AND d > 0 AND d <= 2.5 AS ring, blood AND d > 2.5 AND d <= 14.0 AS outward FROM zn)"""
+#: Zones with the tube response, and what they need before them.
+_LAT = LAT.replace("lat AS (", "lat AS MATERIALIZED (", 1)
+TUBED = TUBE + ",\n" + ZONES.replace("0.0::DOUBLE AS v", "tube.v").replace("JOIN cal ON", "JOIN tube ON tube.case_id=lat.case_id AND tube.z=lat.z AND tube.y=lat.y AND tube.x=lat.x JOIN cal ON", 1)
 THR = "th AS (SELECT c.case_id, greatest(CAST(0.015 AS DOUBLE), 0.35*coalesce(q, 0.0)) AS t FROM (SELECT DISTINCT case_id FROM lat) c LEFT JOIN (SELECT case_id, quantile_cont(CAST(v AS DOUBLE), 0.7) AS q FROM zm WHERE blood AND shell GROUP BY 1) s ON s.case_id=c.case_id)"
 SEEDED = """rc AS (SELECT DISTINCT a.case_id, a.z+o.dz AS z, a.y+o.dy AS y, a.x+o.dx AS x FROM zm a, o27 o WHERE a.outward),
  sd AS (SELECT zm.*, th.t, ring AND (rc.z IS NOT NULL OR v >= t) AS seed, (hu BETWEEN p10 AND blood_high AND NOT parent AND shell) OR (blood AND shell AND v >= t*0.6) AS allowed
@@ -54,6 +58,7 @@ EIG = """mo AS (SELECT case_id, inst_id, count(*) AS n, covar_pop(pz,pz) AS aa,
  m4 AS (SELECT *, q+2*p*cos(acos(r)/3) AS e1, q+2*p*cos(acos(r)/3+2.0943951023931953) AS e3 FROM m3),
  sv AS (SELECT case_id, inst_id, n, sqrt(greatest(n*e1,0)) AS sv1, sqrt(greatest(n*(3*q-e1-e3),0)) AS sv2, sqrt(greatest(n*e3,0)) AS sv3 FROM m4)"""
 
+TUBE_FILTER = with_sql(_LAT, TUBE) + "SELECT case_id, z, y, x, round(v, 5) AS vesselness FROM tube"
 CALIBRATION = with_sql(LAT, CAL) + "SELECT case_id, n_voxels, " + ", ".join(f"round({c},6) AS {c}" for c in ("p05", "p10", "p50", "p90", "p95", "blood_low", "blood_high")) + ", round(0.55*p50+0.45*blood_low,6) AS strict_low FROM cal"
 BLOOD_COUNTS = with_sql(LAT, CAL) + "SELECT lat.case_id, CAST(count_if(hu BETWEEN blood_low AND blood_high AND NOT parent) AS BIGINT) AS n_blood, count(*) AS n FROM lat JOIN cal ON cal.case_id=lat.case_id GROUP BY 1"
 ZONE_COUNTS = with_sql(LAT, CAL, DIST, ZONES) + "SELECT case_id, CAST(count_if(shell) AS BIGINT) AS n_shell, CAST(count_if(ring) AS BIGINT) AS n_ring, CAST(count_if(outward) AS BIGINT) AS n_outward FROM zm GROUP BY 1"
@@ -72,12 +77,12 @@ FACES = with_sql(LAT, FACE6, INST) + "SELECT a.case_id, a.inst_id, count(*) AS f
 DISTANCE = with_sql(LAT, DIST) + "SELECT case_id, z, y, x, round(d,6) AS dist_mm FROM ds WHERE d <= 14.0"
 DEPTH = with_sql(LAT, FACE6, GRIDC, "st AS (SELECT * FROM lat WHERE parent OR hu > 700)", RIM) + "SELECT case_id, z, y, x, round(dp,6) AS depth_mm FROM (" + _depth("st") + ")"
 INSTANCE_DEPTH = with_sql(LAT, FACE6, GRIDC, INST, RIM_I) + "SELECT case_id, inst_id, z, y, x, round(dp,6) AS depth_mm FROM (" + _depth("inst", "inst_id") + ")"
-TUBE_THRESHOLD = with_sql(LAT, CAL, DIST, ZONES, THR) + "SELECT case_id, round(t,6) AS v_thresh FROM th"
-SEEDS = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, SEEDED) + "SELECT case_id, z, y, x FROM sd WHERE seed"
-ALLOWED = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, SEEDED) + "SELECT case_id, z, y, x FROM sd WHERE allowed"
-SHEET = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, SEEDED) + "SELECT case_id, CAST(count_if(ring AND NOT seed) AS BIGINT) AS n_sheet, CAST(count_if(seed) AS BIGINT) AS n_seed FROM sd GROUP BY 1"
+TUBE_THRESHOLD = with_sql(_LAT, CAL, DIST, TUBED, THR) + "SELECT case_id, round(t,6) AS v_thresh FROM th"
+SEEDS = with_sql(_LAT, BOX27, CAL, DIST, TUBED, THR, SEEDED) + "SELECT case_id, z, y, x FROM sd WHERE seed"
+ALLOWED = with_sql(_LAT, BOX27, CAL, DIST, TUBED, THR, SEEDED) + "SELECT case_id, z, y, x FROM sd WHERE allowed"
+SHEET = with_sql(_LAT, BOX27, CAL, DIST, TUBED, THR, SEEDED) + "SELECT case_id, CAST(count_if(ring AND NOT seed) AS BIGINT) AS n_sheet, CAST(count_if(seed) AS BIGINT) AS n_seed FROM sd GROUP BY 1"
 CAPS = with_sql(LAT, CAPC) + "SELECT * FROM cp"
-CAP_DROP = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, SEEDED, CAPC) + "SELECT sd.case_id, z, y, x FROM sd JOIN cp ON cp.case_id=sd.case_id WHERE seed AND NOT (lo_cap AND z < z_first+2) AND NOT (hi_cap AND z >= z_last-1)"
+CAP_DROP = with_sql(_LAT, BOX27, CAL, DIST, TUBED, THR, SEEDED, CAPC) + "SELECT sd.case_id, z, y, x FROM sd JOIN cp ON cp.case_id=sd.case_id WHERE seed AND NOT (lo_cap AND z < z_first+2) AND NOT (hi_cap AND z >= z_last-1)"
 
 
 _COMPONENTS = "WITH RECURSIVE " + LAT + ",\n" + CAL + ",\n" + BOX27 + """,
@@ -116,7 +121,7 @@ PLANE_RADIUS = with_sql(LAT, BOX27, CAL, INST, CONT, OST, HEAD) + """, hn AS (SE
  sn AS (SELECT case_id, inst_id, CAST(round_even(cz+(u*a1z+v*a2z)/1.5, 0) AS INT) AS z, CAST(round_even(cy+(u*a1y+v*a2y)/0.8, 0) AS INT) AS y, CAST(round_even(cx+(u*a1x+v*a2x)/0.8, 0) AS INT) AS x FROM sm),
  ht AS (SELECT sn.case_id, inst_id, count(*) AS n FROM sn JOIN lat ON lat.case_id=sn.case_id AND lat.z=sn.z AND lat.y=sn.y AND lat.x=sn.x JOIN cal ON cal.case_id=sn.case_id WHERE hu BETWEEN blood_low AND blood_high GROUP BY 1,2)
 SELECT hd.case_id, hd.inst_id, round(coalesce(sqrt(ht.n*0.4*0.4/pi()), 0.0),6) AS plane_radius_mm FROM hd LEFT JOIN ht ON ht.case_id=hd.case_id AND ht.inst_id=hd.inst_id"""
-QUALITY = with_sql(LAT, BOX27, CAL, DIST, ZONES, THR, "inst AS (SELECT case_id, z, y, x, hu, v, CAST(floor(z/4.0) AS INT)*24+y AS inst_id FROM zm WHERE hu > 700 AND NOT parent)", CONT, EIG) + """,
+QUALITY = with_sql(_LAT, BOX27, CAL, DIST, TUBED, THR, "inst AS (SELECT case_id, z, y, x, hu, v, CAST(floor(z/4.0) AS INT)*24+y AS inst_id FROM zm WHERE hu > 700 AND NOT parent)", CONT, EIG) + """,
  iv AS (SELECT case_id, inst_id, avg(hu) AS mh, quantile_cont(CAST(v AS DOUBLE), 0.5) AS mv FROM inst GROUP BY 1,2),
  nc AS (SELECT case_id, inst_id, count(*) AS k FROM ct GROUP BY 1,2),
  fe AS (SELECT sv.case_id, sv.inst_id, sv.n, sv1, sv2, mh, mv, coalesce(k,0) AS k, p10, p50, blood_low, t FROM sv JOIN iv ON iv.case_id=sv.case_id AND iv.inst_id=sv.inst_id LEFT JOIN nc ON nc.case_id=sv.case_id AND nc.inst_id=sv.inst_id JOIN cal ON cal.case_id=sv.case_id JOIN th ON th.case_id=sv.case_id)
