@@ -9,6 +9,7 @@ from lumenframe.functions import geometry as geo
 from lumenframe.functions.rounding import r6
 from lumenframe.operators import calibration, components, distance, features, growth, lattice, masks, ridge, rules, sections, stencil, views3d
 from lumenframe.operators.percase import join_case
+from lumenframe.params import DEFAULTS
 from lumenframe.plans.catalog import lattice_sql as q
 from lumenframe.plans.catalog import recursive_sql as rq
 from lumenframe.plans.catalog.views import SIDE, SPACING_ZYX
@@ -204,7 +205,7 @@ def _markers(vox):
     s, grid = _seeded(vox)
     s = cut(s, "seeded")
     seeds = masks.drop_cap_seeds(s.where("seed").select(*CELL), masks.cap_slices(vox))
-    return components.merged_markers(seeds, grid, 1.0), s, grid
+    return components.merged_markers(seeds, grid, DEFAULTS.ostium_merge_mm), s, grid
 
 
 def merged_markers(spark, sf):
@@ -417,8 +418,8 @@ LATTICE_QUERIES = {
     "cap_seed_drop": (cap_seed_drop, q.CAP_DROP),
     "components26": (components26, q.COMPONENTS),
     "patch_table": (patch_table, q.PATCHES),
-    "merged_markers": (merged_markers, None),
-    "grow_labels": (grow_labels, None),
+    "merged_markers": (merged_markers, rq.MARKERS),
+    "grow_labels": (grow_labels, rq.GROWN),
     "grow_basins": (grow_basins, rq.BASINS),
     "ridge_walk": (ridge_walk, rq.WALKS),
     "walk_summary": (walk_summary, rq.SUMMARY),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.plans.catalog.lattice_sql import BOX27, CONT, DIST, FACE6, GRIDC, OST, RIM, _depth
+from lumenframe.plans.catalog.lattice_sql import _LAT, BOX27, CAL, CAPC, CONT, DIST, FACE6, GRIDC, OST, RIM, SEEDED, THR, TUBED, _depth
 from lumenframe.plans.catalog.views import LAT
 
 QUADRANTS = """inst AS MATERIALIZED (SELECT *, CAST(floor(z/4.0) AS INT)*4 + CASE WHEN y >= 12 THEN 2 ELSE 0 END + CASE WHEN x >= 12 THEN 1 ELSE 0 END AS inst_id
@@ -68,3 +68,35 @@ SELECT case_id, inst_id, hit IS NOT NULL OR (walk_mm > 0 AND walk_mm >= 4.25) AS
   round(CASE WHEN n >= 4 THEN m.c*s WHEN tn > 1e-8 THEN tx/tn ELSE 0.0 END, 6) + 0.0 AS head_x
 FROM e6
 """
+
+_MARKERS = "WITH RECURSIVE " + ",\n".join([_LAT, BOX27, CAL, DIST, TUBED, THR, SEEDED.replace("sd AS (", "sd AS MATERIALIZED (", 1), CAPC]) + """,
+mk AS MATERIALIZED (SELECT sd.case_id, (CAST(z AS BIGINT)*1048576+y)*1048576+x AS k, z, y, x FROM sd JOIN cp ON cp.case_id=sd.case_id
+  WHERE seed AND NOT (lo_cap AND z < z_first+2) AND NOT (hi_cap AND z >= z_last-1)),
+me AS MATERIALIZED (SELECT a.case_id, a.k AS a, b.k AS b FROM mk a, o27 o JOIN mk b ON b.case_id=a.case_id AND b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx AND b.k <> a.k),
+mr(case_id, k, root) USING KEY (case_id, k) AS (
+  SELECT case_id, k, k FROM mk
+  UNION
+  SELECT c.case_id, c.b, c.root FROM (SELECT r.case_id, me.b, min(r.root) AS root FROM mr r JOIN me ON me.case_id=r.case_id AND me.a=r.k GROUP BY 1, 2) c
+  JOIN recurring.mr o ON o.case_id=c.case_id AND o.k=c.b WHERE c.root < o.root),
+mp AS MATERIALIZED (SELECT mr.case_id, mr.root, avg(z)*1.5 AS pz, avg(y)*0.8 AS py, avg(x)*0.8 AS px FROM mr JOIN mk ON mk.case_id=mr.case_id AND mk.k=mr.k GROUP BY 1, 2),
+mc(case_id, root, cluster) USING KEY (case_id, root) AS (
+  SELECT case_id, root, root FROM mp
+  UNION
+  SELECT c.case_id, c.b, c.cluster FROM (SELECT r.case_id, b.root AS b, min(r.cluster) AS cluster FROM mc r JOIN mp a ON a.case_id=r.case_id AND a.root=r.root
+    JOIN mp b ON b.case_id=a.case_id AND b.root <> a.root AND sqrt((a.pz-b.pz)*(a.pz-b.pz)+(a.py-b.py)*(a.py-b.py)+(a.px-b.px)*(a.px-b.px)) <= 3.5 GROUP BY 1, 2) c
+  JOIN recurring.mc o ON o.case_id=c.case_id AND o.root=c.b WHERE c.cluster < o.cluster),
+ml AS MATERIALIZED (SELECT mk.case_id, mk.z, mk.y, mk.x, dense_rank() OVER (PARTITION BY mk.case_id ORDER BY cluster) AS label
+  FROM mk JOIN mr ON mr.case_id=mk.case_id AND mr.k=mk.k JOIN mc ON mc.case_id=mr.case_id AND mc.root=mr.root)"""
+MARKERS = _MARKERS + "SELECT case_id, z, y, x, label FROM ml"
+GROWN = _MARKERS + """,
+free AS MATERIALIZED (SELECT case_id, z, y, x FROM sd WHERE allowed),
+steps AS MATERIALIZED (SELECT *, CAST(round(sqrt((dz*1.5)*(dz*1.5)+(dy*0.8)*(dy*0.8)+(dx*0.8)*(dx*0.8))*1000) AS BIGINT) AS cost FROM o27 WHERE NOT (dz = 0 AND dy = 0 AND dx = 0)),
+gw(case_id, z, y, x, d, label) USING KEY (case_id, z, y, x) AS (
+  SELECT ml.case_id, ml.z, ml.y, ml.x, 0::BIGINT, label FROM ml JOIN free USING (case_id, z, y, x)
+  UNION
+  SELECT c.case_id, c.z, c.y, c.x, c.b.d, c.b.label FROM (
+    SELECT i.case_id, i.z, i.y, i.x, min({'d': r.d + o.cost, 'label': r.label}) AS b
+    FROM gw r, steps o JOIN free i ON i.case_id = r.case_id AND i.z = r.z + o.dz AND i.y = r.y + o.dy AND i.x = r.x + o.dx GROUP BY ALL) c
+  LEFT JOIN recurring.gw k ON k.case_id = c.case_id AND k.z = c.z AND k.y = c.y AND k.x = c.x
+  WHERE k.d IS NULL OR c.b.d < k.d OR (c.b.d = k.d AND c.b.label < k.label))
+SELECT case_id, z, y, x, label, round(d / 1000.0, 6) AS geo_mm FROM gw"""
