@@ -42,6 +42,8 @@ from lumenframe.llm.scratch import kept, new_folder, partitions
 
 DEPTH, GRAM, PASSES = 50, 16, 3
 BLOCK_BYTES = 1 << 20
+#: Blocks whose digits one bucket answers: the memory of a Python worker follows this number.
+BUCKET_BLOCKS = 8
 #: Answers: two documents hold the digit; a document before the block's first holds it.
 SHARED, EARLIER = 1, 2
 _LOW32 = U64(0xFFFFFFFF)
@@ -139,6 +141,7 @@ def _answered(group: pa.Table) -> pa.Table:
         least, at = _unplanes(raw, np.int64, n, at)
         parts.append((np.cumsum(steps), checks, least, np.frombuffer(raw, bool, n, at)))
     digits, checks, least, shared = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.lexsort((checks, digits))
     d, c = digits[order], checks[order]
     new = np.ones(len(d), bool)
@@ -149,7 +152,7 @@ def _answered(group: pa.Table) -> pa.Table:
     code[order] = many[of] * SHARED + (least[order] > np.minimum.reduceat(least[order], at)[of]) * EARLIER
     ends = np.cumsum(sizes)
     out = [pack(code[hi - n : hi].tobytes()) for hi, n in zip(ends.tolist(), sizes)]
-    del parts, digits, checks, least, shared, order, d, c, new, at, of, many, code
+    del digits, checks, least, shared, order, d, c, new, at, of, many, code
     release()
     return pa.table([group.column("block"), group.column("bucket"), group.column("n"), pa.array(out, pa.binary())], schema=_ASKED)
 
@@ -245,6 +248,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every document."""
     n = partitions(docs.sparkSession)
     texts = packed_texts(texts_of(docs), n)
+    # a bucket holds the digits of so many blocks, however many blocks and shuffle partitions there are
+    n = max(n, -(-texts.count() // BUCKET_BLOCKS))
     answers = docs.sparkSession.createDataFrame([], f"pass int, {_ASKED_SQL}")
     for step in range(1, PASSES + 1):
         asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next_question(step, n), _ASKED_SQL)
