@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -85,8 +85,10 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, most: int =
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             to = min(to, len(ids), at + most)
-            yield Block(ids[at:to], offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]])
+            # a view would hold the whole batch for as long as its reader holds the block
+            yield Block(ids[at:to].copy(), offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]].copy())
             at = to
+        del batch, ids, offsets, data
     release()
 
 
@@ -145,11 +147,15 @@ def _powers(n: int) -> list[np.ndarray]:
 class Prefix:
     """Polynomial hashes of any stretch of values, from sums over their beginnings: for few stretches of many values."""
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.inverse = _powers(n + 1)[1]
+    def __init__(self, units: np.ndarray, value: Callable[[np.ndarray], np.ndarray], stretch: int = 1 << 17):
+        """``value`` turns units into values, ``stretch`` units at a time."""
+        n = len(units)
+        powers, self.inverse = _powers(n + 1)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * _POWERS[0][:n], out=self.sums[1:])
+        for lo in range(0, n, stretch):
+            hi = min(lo + stretch, n)
+            sums = np.cumsum(value(units[lo:hi]) * powers[lo:hi], out=self.sums[lo + 1 : hi + 1])
+            sums += self.sums[lo]
 
     def hashes(self, start: np.ndarray, length: int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])

@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.anchors import contents, picked, runs_of, to_ends
+from lumenframe.llm.anchors import Runs, contents, picked, runs_of, to_ends
 from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byte_values, mix, release, spread, texts_of
 from lumenframe.llm.scratch import kept, new_folder, partitions
 
 DEPTH, GRAM, PASSES = 50, 16, 3
 BLOCK_BYTES = 1 << 20
+#: Bytes whose windows are hashed at a time: the arrays of that are a worker's largest.
+STRETCH_BYTES = 1 << 17
 #: Blocks whose digits one bucket answers: the memory of a Python worker follows this number.
 BUCKET_BLOCKS = 8
 #: Answers: two documents hold the digit; a document before the block's first holds it.
@@ -157,13 +159,23 @@ def _answered(group: pa.Table) -> pa.Table:
     return pa.table([group.column("block"), group.column("bucket"), group.column("n"), pa.array(out, pa.binary())], schema=_ASKED)
 
 
+def _runs(block: Block) -> Runs:
+    """Runs of the block's windows, taken from about ``STRETCH_BYTES`` of whole documents at a time."""
+    cuts = np.unique(np.r_[np.searchsorted(block.offsets, np.arange(0, len(block.data), STRETCH_BYTES)), len(block.ids)])
+    parts = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        lo, hi = block.offsets[a], block.offsets[b]
+        runs = runs_of(byte_values(block.data[lo:hi]), to_ends(np.diff(block.offsets[a : b + 1])), DEPTH, GRAM)
+        parts.append(Runs(runs.anchor, runs.at + lo, runs.first + lo, runs.count))
+    return Runs(*[np.concatenate(x) for x in zip(*parts)]) if parts else runs_of(byte_values(block.data), block.data, DEPTH, GRAM)
+
+
 def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The next question that the answers so far lead to; after the last, the repeated windows.
 
     These are documents (by place), first window (by byte of the block) and number of windows.
     """
-    values = byte_values(block.data)
-    runs = runs_of(values, to_ends(np.diff(block.offsets)), DEPTH, GRAM)
+    runs = _runs(block)
     d = block.docs_at(runs.first)
     # anchors are 48 bits; buckets take the upper ones
     q = question(runs.anchor << U64(16), np.zeros(len(d), U64), block.ids[d])
@@ -172,7 +184,7 @@ def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np
     go = np.flatnonzero(q.held_by_two(answers[1]))
     runs, d = picked(runs, go), d[go]
     ids, check = block.ids[d], runs.anchor & _LOW32
-    prefix = Prefix(values)
+    prefix = Prefix(block.data, byte_values)
     reach = np.clip(runs.at - runs.first - GRAM + 1, 0, runs.count)  # windows that reach far enough before the anchor
     before, after = np.flatnonzero(reach > 0), np.flatnonzero(reach < runs.count)
     whole = contents(runs, prefix.hashes(runs.first, DEPTH), prefix.hashes(runs.first + runs.count - 1, DEPTH))

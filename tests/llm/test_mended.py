@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from lumenframe.llm import bpe, dart_minhash, debruijn, nbsvm, suffix_radix, token_files, winnowing
-from lumenframe.llm.blocks import Block, span_hashes
+from lumenframe.llm.blocks import Block, Prefix, byte_values, span_hashes
 
 
 def long_words():
@@ -119,3 +119,20 @@ def test_label_ratios_equal_plain_counts(spark, monkeypatch):
             raw = np.frombuffer(r.text.encode(), np.uint8)
             np.add.at(counts[r.doc_id % 2], nbsvm.indicators(Block(np.array([r.doc_id]), np.array([0, len(raw)]), raw))[1], 1)
     assert np.abs(seen[0] - np.log(counts[1] / counts[1].sum()) + np.log(counts[0] / counts[0].sum())).max() < 1e-12
+
+
+def test_runs_and_hashes_by_stretches_are_the_same(monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes = np.r_[0, 0, rng.integers(0, 400, 60), 5000, 0]
+    offsets = np.r_[0, np.cumsum(sizes)]
+    block = Block(np.arange(len(sizes)), offsets, rng.integers(97, 100, offsets[-1]).astype(np.uint8))
+    values = byte_values(block.data)
+    place = rng.integers(0, offsets[-1] - 50, 500)
+    whole = suffix_radix.runs_of(values, suffix_radix.to_ends(sizes), suffix_radix.DEPTH, suffix_radix.GRAM)
+    hashes = Prefix(block.data, byte_values).hashes(place, 50)
+    for stretch in (1, 300, 1 << 20):
+        monkeypatch.setattr(suffix_radix, "STRETCH_BYTES", stretch)
+        assert all((a == b).all() for a, b in zip(suffix_radix._runs(block), whole))
+        assert (Prefix(block.data, byte_values, stretch).hashes(place, 50) == hashes).all()
+    nothing = Block(np.arange(2), np.zeros(3, np.int64), np.zeros(0, np.uint8))
+    assert not len(suffix_radix._runs(nothing).first)
