@@ -49,6 +49,7 @@ BUCKET_BLOCKS = 8
 #: Answers: two documents hold the digit; a document before the block's first holds it.
 SHARED, EARLIER = 1, 2
 _LOW32 = U64(0xFFFFFFFF)
+_EVEN = U64(0x9E3779B97F4A7C15)
 
 
 def packed_texts(texts: DataFrame, n_buckets: int) -> DataFrame:
@@ -177,8 +178,8 @@ def _judged(block: Block, answers: dict[int, np.ndarray]) -> Question | tuple[np
     """
     runs = _runs(block)
     d = block.docs_at(runs.first)
-    # anchors are 48 bits; buckets take the upper ones
-    q = question(runs.anchor << U64(16), np.zeros(len(d), U64), block.ids[d])
+    # anchors are 48 bits and, as least hashes, mostly small; times an odd number they fall evenly on ranges
+    q = question((runs.anchor << U64(16)) * _EVEN, np.zeros(len(d), U64), block.ids[d])
     if 1 not in answers:
         return q
     go = np.flatnonzero(q.held_by_two(answers[1]))

@@ -136,3 +136,10 @@ def test_runs_and_hashes_by_stretches_are_the_same(monkeypatch):
         assert (Prefix(block.data, byte_values, stretch).hashes(place, 50) == hashes).all()
     nothing = Block(np.arange(2), np.zeros(3, np.int64), np.zeros(0, np.uint8))
     assert not len(suffix_radix._runs(nothing).first)
+
+
+def test_first_digits_fall_evenly_on_buckets():
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    digits = suffix_radix._judged(Block(np.arange(1), np.array([0, len(data)]), data), {}).digits
+    share = np.bincount((digits >> np.uint64(32)) * np.uint64(80) >> np.uint64(32), minlength=80) / len(digits)
+    assert len(share) == 80 and 0.5 / 80 < share.min() and share.max() < 2 / 80
