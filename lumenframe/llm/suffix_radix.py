@@ -34,7 +34,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenframe.llm.anchors import Runs, contents, picked, runs_of, to_ends
 from lumenframe.llm.blocks import U64, Block, Prefix, binary_column, blocks, byte_values, mix, release, spread, texts_of
@@ -232,33 +231,50 @@ def _next_question(step: int, n_buckets: int):
 
 
 _CLEAN = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_md5 string"
+_READABLE = "doc_id long, n_removed long, rest string, text_md5 string"
 
 
-def _cut_out(texts: pa.Table, rows: pa.Table) -> pa.Table:
-    """Every document of a block without its repeated windows."""
-    known = _answers(rows)
-    known |= {i: np.zeros(0, np.uint8) for i in range(1, PASSES + 1) if i not in known}
-    out = []
-    for payload in texts.column("payload").to_pylist():
-        block = _unpacked(payload)
-        _, first, n = _judged(block, known)
-        depth = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(depth, first, 1)
-        np.add.at(depth, first + n + DEPTH - 1, -1)
-        gone = np.cumsum(depth)[:-1] > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        at = block.offsets[:-1][np.diff(block.offsets) > 0]
-        begins[at] = gone[at]
-        total = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
-        spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[block.offsets])
-        sizes, removed = np.diff(block.offsets), np.diff(total)
-        out.append(pa.table({"doc_id": block.ids, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": binary_column(np.concatenate([[0], np.cumsum(sizes - removed)]), block.data[~gone]), "text_md5": [hashlib.md5(block.text(i)).hexdigest() for i in range(len(sizes))]}))
-    return pa.concat_tables(out)
+def _cut_out(readable: bool):
+    """Every document of a block without its repeated windows: as bytes, or as text without characters of which a cut left only a part."""
+
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known = _answers(rows)
+        known |= {i: np.zeros(0, np.uint8) for i in range(1, PASSES + 1) if i not in known}
+        out = []
+        for payload in texts.column("payload").to_pylist():
+            block = _unpacked(payload)
+            _, first, n = _judged(block, known)
+            depth = np.zeros(len(block.data) + 1, np.int32)
+            np.add.at(depth, first, 1)
+            np.add.at(depth, first + n + DEPTH - 1, -1)
+            gone = np.cumsum(depth)[:-1] > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            at = block.offsets[:-1][np.diff(block.offsets) > 0]
+            begins[at] = gone[at]
+            total = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
+            spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[block.offsets])
+            sizes, removed = np.diff(block.offsets), np.diff(total)
+            ends, left = np.concatenate([[0], np.cumsum(sizes - removed)]), block.data[~gone]
+            digests = [hashlib.md5(block.text(i)).hexdigest() for i in range(len(sizes))]
+            if readable:
+                rest = [left[lo:hi].tobytes().decode("utf-8", "ignore") for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                out.append(pa.table({"doc_id": block.ids, "n_removed": removed, "rest": pa.array(rest, pa.string()), "text_md5": pa.array(digests, pa.string())}))
+            else:
+                out.append(pa.table({"doc_id": block.ids, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": binary_column(ends, left), "text_md5": digests}))
+            del first, n, depth, gone, begins, total, left
+            release()
+        return pa.concat_tables(out)
+
+    return run
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every document."""
+    return _cut(docs, _cut_out(False), _CLEAN)
+
+
+def _cut(docs: DataFrame, cut_out, columns: str) -> DataFrame:
     n = partitions(docs.sparkSession)
     texts = packed_texts(texts_of(docs), n)
     # a bucket holds the digits of so many blocks, however many blocks and shuffle partitions there are
@@ -268,13 +284,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next_question(step, n), _ASKED_SQL)
         found = asked.groupBy("bucket").applyInArrow(_answered, _ASKED_SQL)
         answers = answers.unionByName(kept(found.select(F.lit(step).alias("pass"), "*"), f"pass-{step}"))
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut_out, _CLEAN)
-
-
-@F.arrow_udf(T.StringType())
-def _readable(kept_bytes: pa.Array) -> pa.Array:
-    """The text in the bytes, without characters of which a cut left only a part."""
-    return pa.array([b.as_py().decode("utf-8", "ignore") if b.is_valid else None for b in kept_bytes], pa.string())
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut_out, columns)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -283,7 +293,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A document of which nothing but white space is left goes; texts that lose nothing stay as they are, nulls too.
     Rows of one id each get the cut of their own text, equal rows stay as many as they are.
     """
-    found = cleaned(docs).select("doc_id", "text_md5", "n_removed", _readable("kept").alias("_text")).dropDuplicates(["doc_id", "text_md5"])
+    found = _cut(docs, _cut_out(True), _READABLE).withColumnRenamed("rest", "_text").dropDuplicates(["doc_id", "text_md5"])
     whole = F.coalesce(F.col("text"), F.lit(""))
     rest = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5(whole).alias("_md5"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"))
     both = found.join(rest, (F.col("doc_id") == F.col("_id")) & (F.col("text_md5") == F.col("_md5"))).filter((F.col("n_removed") == 0) | (F.trim("_text") != ""))
