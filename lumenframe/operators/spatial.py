@@ -65,7 +65,7 @@ def _blocked(probe: DataFrame, build: DataFrame, keys: list[str], block_rows: in
 def pairs_within(
     left: DataFrame,
     right: DataFrame,
-    radius: float,
+    radius: float | Column,
     left_xyz: Sequence[str],
     right_xyz: Sequence[str],
     on: Sequence[str] = ("case_id",),
@@ -74,7 +74,8 @@ def pairs_within(
 ) -> DataFrame:
     """Every (left, right) pair of a case at most ``radius`` apart.
 
-    Apart from ``on``, the column names of the two sides must be disjoint.
+    Apart from ``on``, the column names of the two sides must be disjoint. ``radius`` may be made of
+    ``on`` columns, so that each case has its own.
     """
     on = list(on)
     probe = left.select("*", *_cell(left_xyz, radius)).withColumn("__o", F.explode(_around()))
@@ -145,9 +146,11 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest right rows of every left row (ties by ``right_id``), exactly.
 
-    The search radius doubles; a left row is finished once ``k`` neighbours lie inside the radius,
-    because nothing outside it can be closer. Dense regions finish in the first rounds, so only the
-    isolated rest is joined at large radii. Left rows with no right row are not returned.
+    The search radius starts at what the density of the case suggests and doubles; a left row is
+    finished once ``k`` neighbours lie inside the radius, because nothing outside it can be closer,
+    or once the radius spans its case. Every case has its own radii, so neither a sparse case nor one
+    far point makes the others' search wider or longer. A round reads only cases that still have
+    open rows. Left rows with no right row are not returned, nor are rows without coordinates.
     """
     on = list(on)
     key = [*on, *left_id]
@@ -169,26 +172,26 @@ def nearest(
     reach = [F.greatest(F.col(f"hi{i}"), F.col(f"lhi{i}")) - F.least(F.col(f"lo{i}"), F.col(f"llo{i}")) for i in range(3)]
     side = [F.greatest(F.col(f"hi{i}") - F.col(f"lo{i}"), F.lit(1e-3)) for i in range(3)]
     pitch = F.pow(side[0] * side[1] * side[2] / F.col("n"), F.lit(1.0 / 3.0))
-    row = both.agg(F.max(la.norm(reach)).alias("far"), F.percentile_approx(pitch, 0.1).alias("pitch")).first()
-    if row is None or row["far"] is None:
-        row = {"far": 0.0, "pitch": 1.0}
-    far = max(row["far"], 1e-6) * (1 + 1e-9)
-    if cutoff is not None:
-        far = min(far, cutoff)
-    radius = min(first_radius or max(row["pitch"] * 1.5 * k ** (1 / 3), far / 4096), far)
-
-    pending, done = left, None
+    far = F.greatest(la.norm(reach), F.lit(1e-6)) * (1 + 1e-9)
+    far = far if cutoff is None else F.least(far, F.lit(float(cutoff)))
+    first = pitch * (1.5 * k ** (1 / 3)) if first_radius is None else F.lit(float(first_radius))
+    sizes = both.select(*on, far.alias("__far"), F.greatest(first, far / 4096).alias("__first"))
+    sizes = cut(sizes.where(F.col("__far").isNotNull()), "nearest-sizes")
+    build, pending = right.join(sizes, on), cut(left.join(sizes, on), "nearest-pending")
+
+    done, turn = None, 0
     while True:
-        near = pairs_within(pending, right, radius, left_xyz, right_xyz, on, distance)
+        reach = F.least(F.col("__first") * 2.0**turn, F.col("__far"))
+        sides = [df.withColumn("__reach", reach).drop("__first") for df in (pending, build.join(pending.select(*on).distinct(), on, "left_semi"))]
+        near = pairs_within(*sides, F.col("__reach"), left_xyz, right_xyz, [*on, "__far", "__reach"], distance)
         order = W.partitionBy(*key).orderBy(distance, right_id)
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if radius >= far:
-            return near if done is None else done.unionByName(near)
         near = cut(near, "nearest-round")
         full = near.where(F.col("rank") == k).select(*key)
-        found = near.join(full, key, "left_semi")
+        last = F.col("__reach") >= F.col("__far")
+        found = near.where(last).unionByName(near.where(~last).join(full, key, "left_semi")).drop("__far", "__reach")
         done = found if done is None else done.unionByName(found)
-        pending = cut(pending.join(full, key, "left_anti"), "nearest-pending")
+        pending = cut(pending.where(reach < F.col("__far")).join(full, key, "left_anti"), "nearest-pending")
         if pending.isEmpty():
             return done
-        radius = min(radius * 2.0, far)
+        turn += 1

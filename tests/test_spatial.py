@@ -40,6 +40,19 @@ def test_nearest_is_exact_with_clusters_copies_and_outliers(spark, k):
     assert {(r.lid, r.id, r["rank"]) for r in got} == want
 
 
+def test_nearest_searches_every_case_at_its_own_scale(spark):
+    g = np.random.default_rng(5)
+    scales = {"fine": 0.01, "wide": 5000.0, "far": 1.0}
+    rows = [(c, i, *(s * g.normal(size=3)).tolist()) for c, s in scales.items() for i in range(60)] + [("far", 60, 9e5, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "case_id string, id long, x double, y double, z double")
+    ask = [(c, 100 + i, *(s * g.normal(size=3)).tolist()) for c, s in scales.items() for i in range(15)] + [("far", 200, -7e5, 1.0, 1.0), ("far", 201, None, 1.0, 1.0)]
+    left = spark.createDataFrame(ask, df.schema).select("case_id", F.col("id").alias("lid"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
+    got = spatial.nearest(left, df, ["lid"], "id", ["a", "b", "c"], ["x", "y", "z"], 3)
+    assert got.columns == ["case_id", "lid", "a", "b", "c", "id", "x", "y", "z", "dist_mm", "rank"]
+    want = {(a[0], a[1], i, r + 1) for a in ask[:-1] for r, (_, i) in enumerate(sorted((gap(a, b), b[1]) for b in rows if b[0] == a[0])[:3])}
+    assert {(r.case_id, r.lid, r.id, r["rank"]) for r in got.collect()} == want
+
+
 def test_nearest_cutoff(spark):
     rows, df = cloud(spark, 40, 3)
     left = df.where("id < 10").select("case_id", F.col("id").alias("lid"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
