@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from lumenframe.functions import linalg as la
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
+from lumenframe.session import unsent
 
 HALF_MM = 4.0  # fixed value: half-width of a section
 
@@ -47,7 +48,7 @@ def disc_samples(points: DataFrame, at: Sequence[str], head: Sequence[str], half
         c: F.rint(F.col(a) + (F.col("u") * F.col(f"a1{c}") + F.col("v") * F.col(f"a2{c}")) / F.col(f"s{c}")).cast("int")
         for c, a in zip("zyx", at)
     }
-    return df.withColumns(cells).drop("__i", "__j", "a1z", "a1y", "a1x", "a2z", "a2y", "a2x")
+    return unsent(df.withColumns(cells).drop("__i", "__j", "a1z", "a1y", "a1x", "a2z", "a2y", "a2x"))
 
 
 def area_radius(n: Column, step: Column) -> Column:

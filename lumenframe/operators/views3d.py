@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.lattice import CELL
 from lumenframe.operators.percase import exact_quantiles, join_case
+from lumenframe.session import unsent
 
 
 def sample_at(points: DataFrame, at: Sequence[str], cells: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def plane_crops(points: DataFrame, ident: str, at: Sequence[str], cells: DataFra
         q = p.withColumn(flat, F.col(f"m{flat}")).withColumn(v, F.explode(run(v))).withColumn(u, F.explode(run(u)))
         parts.append(q.select("case_id", ident, F.lit(view).alias("view"), "z", "y", "x", (F.col(u) - F.col(f"m{u}")).alias("u"), (F.col(v) - F.col(f"m{v}")).alias("v")))
     probe = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return probe.join(cells.select(*CELL, *values), CELL).select("case_id", ident, "view", "u", "v", *values)
+    return unsent(probe).join(cells.select(*CELL, *values), CELL).select("case_id", ident, "view", "u", "v", *values)
 
 
 def slab_maximum(points: DataFrame, ident: str, at_z: str, cells: DataFrame, half: int) -> DataFrame:
