@@ -1,8 +1,9 @@
 """What may be broadcast, and steps that hold their size."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.operators import sections
+from lumenframe.operators import sections, views3d
 from lumenframe.session import cut
 
 
@@ -23,3 +24,41 @@ def test_exploded_samples_are_not_broadcast(spark):
     probe = sections.disc_samples(points, ("pz", "py", "px"), ("tz", "ty", "tx"))
     cells = spark.range(300_000).select(F.lit("a").alias("case_id"), *[F.lit(1).alias(c) for c in "zyx"])
     assert "BroadcastHashJoin" not in plan(probe.join(cells, ["case_id", "z", "y", "x"]))[1]
+
+
+def _scene(spark):
+    rng = np.random.default_rng(3)
+    at = np.unique(rng.integers(-3, 40, (4000, 3)), axis=0)
+    rows = [(c, *map(int, a), None if i % 11 == 0 else float("nan") if i % 97 == 0 else float(rng.integers(0, 50)), None if i % 13 == 0 else bool(i % 3)) for c in "ab" for i, a in enumerate(at)]
+    rows += rows[:5]  # cells that are there twice
+    cells = spark.createDataFrame(rows, "case_id string, z int, y int, x int, hu double, m boolean")
+    pts = [("a", i, *map(float, rng.uniform(-8, 45, 3))) for i in range(150)] + [("b", i, *map(float, rng.uniform(0, 40, 3))) for i in range(60)]
+    pts += [("a", 3, 5.0, 5.0, 5.0), ("a", None, 7.0, 7.0, 7.0), ("a", None, 9.0, 9.0, 9.0), ("a", 999, None, 1.0, 1.0)]
+    points = spark.createDataFrame(pts, "case_id string, id int, pz double, py double, px double")
+    spacing = spark.createDataFrame([("a", 1.5, 0.8, 0.8), ("b", 1.0, 1.0, 0.5)], "case_id string, sz double, sy double, sx double")
+    return cells, points, spacing
+
+
+def _boxed(cells, points, spacing, radius):
+    p = points.join(spacing, "case_id")
+    for c in "zyx":
+        n = F.greatest(F.lit(1), F.ceil(F.lit(radius) / F.col(f"s{c}")).cast("int"))
+        p = p.withColumn(c, F.explode(F.sequence(F.rint(f"p{c}").cast("int") - n, F.rint(f"p{c}").cast("int") + n)))
+    return p.join(cells, ["case_id", "z", "y", "x"]).groupBy("case_id", "id")
+
+
+def test_boxes_equal_probing(spark, monkeypatch):
+    cells, points, spacing = _scene(spark)
+    key = lambda rows: sorted(map(str, rows))
+    for held in (2_000_000, 500):
+        monkeypatch.setattr(views3d, "HELD", held)
+        want = _boxed(cells, points, spacing, 3.0).agg(F.count(F.lit(1)).alias("n"), F.min("hu").alias("min"), F.percentile("hu", 0.5).alias("p50"), F.max("hu").alias("max"))
+        assert key(views3d.box_stats(points, "id", ("pz", "py", "px"), cells, "hu", spacing, 3.0).collect()) == key(want.collect())
+        want = _boxed(cells, points, spacing, 3.0).agg(F.count_if("m").alias("sum"), F.avg(F.col("m").cast("double")).alias("frac"))
+        assert key(views3d.box_share(points, "id", ("pz", "py", "px"), cells, "m", spacing, 3.0).collect()) == key(want.collect())
+
+
+def test_boxes_have_no_row_per_probed_cell(spark):
+    cells, points, spacing = _scene(spark)
+    out = views3d.box_share(points.where("id > 3"), "id", ("pz", "py", "px"), cells, "m", spacing, 3.0)
+    assert "CoGroup" in plan(out)[0]  # boxes meet cells inside a task; a probed cell is no row
