@@ -261,3 +261,15 @@ def test_markers_take_the_tube_response(spark):
     both = seeded.join(real, lq.CELL)
     assert both.count() == vox.count() and both.where("abs(vesselness - real) > 2e-5").count() == 0
     assert both.where("seed").count() > 0
+
+
+def test_components_across_bricks(spark):
+    rng = np.random.default_rng(8)
+    m = {"a": rng.random((13, 14, 15)) < 0.12, "b": np.ones((9, 9, 9), bool)}
+    df = cells_df(spark, m).unionByName(cells_df(spark, m).where("z = 3"))  # repeated cells count once
+    for edge in (4, 5, 32):
+        got = components.label_mask(df, edge).collect()
+        for c, mask in m.items():
+            want = label26(mask)
+            assert {(r.z, r.y, r.x): r.label for r in got if r.case_id == c} == {tuple(map(int, p)): want[tuple(p)] for p in np.argwhere(mask)}
+            assert sum(r.case_id == c for r in got) == mask.sum()
