@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import matching, metrics
+from lumenframe.params import Params
 
 LM = "case_id string, id string, x double, y double, z double, sx double, sy double, sz double, dx double, dy double, dz double, radius_mm double"
 
@@ -90,3 +91,26 @@ def test_case_order_does_not_matter(spark):
     key = lambda d: sorted(tuple(r) for r in d.collect())
     assert key(matching.optimal_matches(*a)) == key(matching.optimal_matches(*b))
     assert key(matching.mutual_nearest_matches(*a)) == key(matching.mutual_nearest_matches(*b))
+
+
+def test_tasks_of_exact_matching_follow_the_rows(spark, monkeypatch):
+    """More rows make more tasks; each case is solved as if it were alone."""
+    rng = np.random.default_rng(5)
+    rows = [(c, i, *map(float, rng.random(3) * 20), bool(rng.random() < 0.5)) for c in range(40) for i in range(int(rng.integers(2, 30)))]
+    df = spark.createDataFrame(rows, "case_id bigint, id bigint, x double, y double, z double, is_gt boolean")
+    gt, pred = df.where("is_gt").drop("is_gt"), df.where("not is_gt").drop("is_gt")
+    monkeypatch.setattr(matching, "TASK_ROWS", 50)
+    out = matching.optimal_matches(gt, pred, Params(match_mm=1e9))
+    got = {(r.case_id, r.gt_id, r.pred_id): r.dist_mm for r in out.collect()}
+    assert out.rdd.getNumPartitions() >= len(rows) // 50
+    want = {}
+    for c in range(40):
+        g = sorted(r for r in rows if r[0] == c and r[5])
+        q = sorted(r for r in rows if r[0] == c and not r[5])
+        a, b = np.array([r[2:5] for r in g]).reshape(-1, 3), np.array([r[2:5] for r in q]).reshape(-1, 3)
+        if len(g) and len(q):
+            cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+            cols = matching.min_cost_assignment(cost if len(g) <= len(q) else cost.T)
+            for i, j in (enumerate(cols) if len(g) <= len(q) else ((i, j) for j, i in enumerate(cols))):
+                want[c, g[i][1], q[j][1]] = cost[i, j]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
