@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenframe.operators import sections, views3d
+from lumenframe.plans.catalog import views
 from lumenframe.session import cut
 
 
@@ -62,3 +63,11 @@ def test_boxes_have_no_row_per_probed_cell(spark):
     cells, points, spacing = _scene(spark)
     out = views3d.box_share(points.where("id > 3"), "id", ("pz", "py", "px"), cells, "m", spacing, 3.0)
     assert "CoGroup" in plan(out)[0]  # boxes meet cells inside a task; a probed cell is no row
+
+
+def test_scans_of_the_detection_are_not_broadcast_as_cells(spark):
+    voxels = views.phantom_voxels(spark, "/root/testdata/sf0.001")
+    text = plan(voxels)[1]
+    above = text[: text.index("Join")]
+    assert above.count("Generate explode") >= 3  # joins come before cells do
+    assert voxels.count() == voxels.select("case_id").distinct().count() * 20 * 36 * 36
