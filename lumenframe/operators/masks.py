@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators.lattice import CELL, ball_dilate, box_dilate
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
+from lumenframe.session import unsent
 
 
 def with_zone_masks(cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -26,10 +27,13 @@ def with_seed_masks(cells: DataFrame, parent: DataFrame, spacing: DataFrame, p:
 
     A ring cell is a seed when it touches outward blood or has a strong tube response; contact
     cells that are outward blood are seeds too (this needs a voxel wider than the near-wall limit,
-    so the contact dilation only runs for such cases).
+    so the contact dilation only runs for such cases). ``near_outward`` (see ``stencil.zone_maps``) saves the dilation.
     """
-    reach = box_dilate(cells.where("outward")).withColumn("__reach", F.lit(True))
-    out = cells.join(reach, CELL, "left")
+    if "near_outward" in cells.columns:
+        out = cells.withColumnRenamed("near_outward", "__reach")
+    else:
+        reach = box_dilate(cells.where("outward")).withColumn("__reach", F.lit(True))
+        out = cells.join(unsent(reach), CELL, "left")
     strong = F.col("vesselness") >= F.col("v_thresh")
     seed = F.col("ring") & (F.coalesce("__reach", F.lit(False)) | strong)
     coarse = spacing.where(F.least("sz", "sy", "sx") * 1.1 > p.near_wall_mm)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators.bricks import EDGE, KEY, spread, with_bricks
 from lumenframe.operators.percase import case_joiner
 from lumenframe.params import DEFAULTS, Params
+from lumenframe.session import known_rows, unsent
 
 TRUNCATE = 5.0  # half-width of a pass in standard deviations of that pass
 
@@ -77,22 +78,87 @@ def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: fl
     return out
 
 
-def brick_rows(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, edge: int = EDGE, keep: Sequence[str] = ()) -> DataFrame:
-    """Every cell once per brick that needs it, with its case's bounds, mean spacing and ``halo``.
+def _parent_d2(parent: np.ndarray, spacing: Sequence[float], limit_mm: float) -> np.ndarray:
+    """Squared distance of every cell of a block to the nearest set one, along one axis after the other; right up to ``limit_mm``."""
+    d2 = np.where(parent, 0.0, np.inf)
+    for axis, s in enumerate(spacing):
+        out, n = d2.copy(), d2.shape[axis]
+        at = lambda a, b: tuple(slice(a, b) if d == axis else slice(None) for d in range(3))  # noqa: B023, E731
+        for o in range(1, min(int(limit_mm / s) + 1, n - 1) + 1):
+            low, high, step = at(0, n - o), at(o, n), (o * s) * (o * s)
+            np.minimum(out[low], d2[high] + step, out=out[low])
+            np.minimum(out[high], d2[low] + step, out=out[high])
+        d2 = out
+    return d2
+
+
+def _grown(mask: np.ndarray) -> np.ndarray:
+    """A mask and its 26 neighbours."""
+    for axis in range(3):
+        out = mask.copy()
+        low, high = [tuple(s if d == axis else slice(None) for d in range(3)) for s in (slice(None, -1), slice(1, None))]
+        out[low] |= mask[high]
+        out[high] |= mask[low]
+        mask = out
+    return mask
+
+
+def brick_rows(
+    cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, edge: int = EDGE, keep: Sequence[str] = (), reach_mm: float | None = None, columns: Sequence[str] = ()
+) -> DataFrame:
+    """Every cell once per brick that needs it, with its case's bounds, mean spacing, ``halo`` and ``columns`` of the grid.
 
-    A case's halo is the half-width of its own widest kernel, so a fine grid doesn't widen the halo of the others.
+    A case's halo is the half-width of its own widest kernel, so a fine grid doesn't widen the halo of the others; with
+    ``reach_mm`` it also holds what lies within that distance of the brick's cells and of their neighbours.
     """
     mean_sp = (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
     widest = F.greatest(F.lit(p.min_scale_voxels), F.lit(max(p.tube_scales_mm)) / mean_sp)
     half = F.floor(TRUNCATE * widest / F.sqrt(F.lit(2.0)) + 0.5)  # ``kernel_radius`` of the widest scale
-    halo = (2 * F.greatest(half, F.lit(2))).cast("int").alias("halo")
+    halo = (2 * F.greatest(half, F.lit(2))).cast("int")
+    if reach_mm is not None:
+        halo = F.greatest(halo, F.ceil(F.lit(reach_mm) / F.least("sz", "sy", "sx")).cast("int") + 1)
     bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
-    sized = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), halo, *bounds))(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep))
+    sized = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), halo.alias("halo"), *bounds, *columns))(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep))
     bricked = with_bricks(sized, F.col("halo"), edge)
     inside = [(F.col(f"b{a}") >= F.floor(F.col(f"{a}0") / edge)) & (F.col(f"b{a}") <= F.floor(F.col(f"{a}1") / edge)) for a in "zyx"]
     return bricked.where(inside[0] & inside[1] & inside[2])
 
 
+class _Brick:
+    """Rows of one brick and its halo as a block."""
+
+    def __init__(self, pdf: pd.DataFrame, edge: int):
+        one = pdf.iloc[0]
+        self.halo = int(one["halo"])
+        lo = np.array([int(one[f"{a}0"]) for a in "zyx"])
+        hi = np.array([int(one[f"{a}1"]) for a in "zyx"])
+        corner = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
+        self.own_lo, self.own_hi = np.maximum(corner, lo), np.minimum(corner + edge - 1, hi)
+        self.start, self.stop = np.maximum(self.own_lo - self.halo, lo), np.minimum(self.own_hi + self.halo, hi)
+        at = pdf[["z", "y", "x"]].to_numpy()
+        self.seen = ((at >= self.start) & (at <= self.stop)).all(axis=1)
+        self.own = ((at >= self.own_lo) & (at <= self.own_hi)).all(axis=1)
+        self.place = tuple((at[self.seen] - self.start).T)
+        self.mine = at[self.own]
+
+    def block(self, values: np.ndarray, fill) -> np.ndarray:
+        out = np.full(self.stop - self.start + 1, fill)
+        out[self.place] = values[self.seen]
+        return out
+
+    def of_mine(self, block: np.ndarray) -> np.ndarray:
+        return block[tuple((self.mine - self.start).T)]
+
+    def tube(self, hu: np.ndarray, mean_sp: float, p: Params, fill: float) -> np.ndarray:
+        """The response of the brick's own cells."""
+        start, stop, lo, hi = self.start, self.stop, self.own_lo, self.own_hi
+        block = np.pad(self.block(hu, fill), [(int(start[i] - lo[i] + self.halo), int(hi[i] + self.halo - stop[i])) for i in range(3)], mode="symmetric")
+        best = np.zeros(hi - lo + 1)
+        for mm in p.tube_scales_mm:
+            best = np.maximum(best, _response(block, self.halo, max(p.min_scale_voxels, mm / mean_sp), p.tube_alpha, p.tube_beta, p.tube_gamma))
+        return best[tuple((self.mine - lo).T)]
+
+
 def tube_response(
     cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -102,31 +168,47 @@ def tube_response(
     a row count as ``fill``.
     """
     bricked = brick_rows(cells, grid, p, edge, keep)
-    scales: Sequence[float] = p.tube_scales_mm
-    alpha, beta, gamma, least = p.tube_alpha, p.tube_beta, p.tube_gamma, p.min_scale_voxels
     kind = cells.schema["case_id"].dataType.simpleString()
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        halo = int(one["halo"])
-        lo = np.array([int(one[f"{a}0"]) for a in "zyx"])
-        hi = np.array([int(one[f"{a}1"]) for a in "zyx"])
-        corner = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
-        own_lo, own_hi = np.maximum(corner, lo), np.minimum(corner + edge - 1, hi)
-        start, stop = np.maximum(own_lo - halo, lo), np.minimum(own_hi + halo, hi)
-        at = pdf[["z", "y", "x"]].to_numpy()
-        seen = ((at >= start) & (at <= stop)).all(axis=1)
-        block = np.full(stop - start + 1, fill)
-        block[tuple((at[seen] - start).T)] = pdf["hu"].to_numpy()[seen]
-        block = np.pad(block, [(int(start[i] - own_lo[i] + halo), int(own_hi[i] + halo - stop[i])) for i in range(3)], mode="symmetric")
-        own = ((at >= own_lo) & (at <= own_hi)).all(axis=1)
-        mine = at[own]
-        best = np.zeros(own_hi - own_lo + 1)
-        for mm in scales:
-            best = np.maximum(best, _response(block, halo, max(least, mm / one["mean_sp"]), alpha, beta, gamma))
-        out = pdf.loc[own, ["case_id", "z", "y", "x", "hu", *keep]].copy()
-        out["vesselness"] = best[tuple((mine - own_lo).T)]
+        brick = _Brick(pdf, edge)
+        out = pdf.loc[brick.own, ["case_id", "z", "y", "x", "hu", *keep]].copy()
+        out["vesselness"] = brick.tube(pdf["hu"].to_numpy(), pdf["mean_sp"].iloc[0], p, fill)
         return out
 
     extra = "".join(f", {k} {cells.schema[k].dataType.simpleString()}" for k in keep)
     return spread(bricked, KEY).groupBy(*KEY).applyInPandas(kernel, f"case_id {kind}, z int, y int, x int, hu double{extra}, vesselness double")
+
+
+def zone_maps(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE) -> DataFrame:
+    """``tube_response`` of ``cells(case_id, z, y, x, hu, parent)`` and, from the same bricks, ``dist_mm`` and ``near_outward``.
+
+    ``dist_mm`` is as in ``distance_to_parent`` up to the growth limit; ``near_outward`` marks outward blood (see ``masks``)
+    and its 26 neighbours. ``grid`` also has the window ``blood_low, blood_high``. All three take one shuffle of the cells.
+    """
+    rows = known_rows(cells)
+    bricked = brick_rows(cells, grid, p, edge, ("parent",), p.growth_limit_mm, ("sz", "sy", "sx", "blood_low", "blood_high"))
+    kind = cells.schema["case_id"].dataType.simpleString()
+    limit = p.growth_limit_mm * p.growth_limit_mm * (1 + 1e-12)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        brick, one = _Brick(pdf, edge), pdf.iloc[0]
+        hu, parent = pdf["hu"].to_numpy(float), pdf["parent"].to_numpy()
+        inside, outside = parent == True, parent == False  # noqa: E712  a null is neither
+        held = np.zeros(brick.stop - brick.start + 1, bool)
+        held[tuple(i[inside[brick.seen]] for i in brick.place)] = True
+        d2 = _parent_d2(held, [one["sz"], one["sy"], one["sx"]], p.growth_limit_mm)
+        dist = np.sqrt(np.where(d2 <= limit, d2, np.inf))
+        blood = ((hu >= one["blood_low"]) & (hu <= one["blood_high"]) & outside)[brick.seen]
+        far = blood & (dist[brick.place] > p.near_wall_mm) & (dist[brick.place] <= p.growth_limit_mm)
+        outward = np.zeros(held.shape, bool)
+        outward[tuple(i[far] for i in brick.place)] = True
+        out = pdf.loc[brick.own, ["case_id", "z", "y", "x", "hu", "parent"]].copy()
+        out["vesselness"] = brick.tube(hu, one["mean_sp"], p, fill)
+        mine = brick.of_mine(dist)
+        out["dist_mm"] = pd.Series(np.where(np.isfinite(mine), mine, 0.0), index=out.index, dtype="Float64").mask(~np.isfinite(mine))
+        out["near_outward"] = brick.of_mine(_grown(outward))
+        return out
+
+    schema = f"case_id {kind}, z int, y int, x int, hu double, parent boolean, vesselness double, dist_mm double, near_outward boolean"
+    return unsent(spread(bricked, KEY, rows).groupBy(*KEY).applyInPandas(kernel, schema), rows)

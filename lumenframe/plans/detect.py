@@ -65,8 +65,7 @@ def search_maps(voxels: DataFrame, cases: DataFrame, p: Params = DEFAULTS, fill:
     cells = geo.crop(voxels.select(*CELL, "hu", "parent"), grid.select("case_id", *distance.BOX))
     cells = cut(cells, "roi")
     parent = cells.where("parent").select(*CELL)
-    near = distance.distance_to_parent(parent, grid, p.growth_limit_mm)
-    zones = stencil.tube_response(cells, grid, p, fill, keep=("parent",)).join(near, CELL, "left")
+    zones = stencil.zone_maps(cells, grid.join(calib.select("case_id", "blood_low", "blood_high"), "case_id"), p, fill)
     zones = masks.with_zone_masks(join_case(zones, calib, "blood_low", "blood_high", "p10"), p)
     zones = cut(zones, "zones")
     thr = calibration.tube_threshold(zones.where("blood AND shell"), grid, p=p)

@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.operators import sections, views3d
-from lumenframe.plans.catalog import views
+from lumenframe.operators import distance, lattice, masks, sections, stencil, views3d
+from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
 
@@ -71,3 +71,25 @@ def test_scans_of_the_detection_are_not_broadcast_as_cells(spark):
     above = text[: text.index("Join")]
     assert above.count("Generate explode") >= 3  # joins come before cells do
     assert voxels.count() == voxels.select("case_id").distinct().count() * 20 * 36 * 36
+
+
+def test_zone_maps_equal_separate_steps(spark):
+    rng = np.random.default_rng(5)
+    at = np.unique(rng.integers(0, 21, (5000, 3)), axis=0)
+    rows = [(c, *map(int, a), None if i % 53 == 0 else float(rng.integers(0, 400)), bool((a[1] - 9) ** 2 + (a[2] - 11) ** 2 <= 4)) for c in "ab" for i, a in enumerate(at)]
+    cells = spark.createDataFrame([r for r in rows if not (r[0] == "b" and r[5])] + [("b", 2, 3, 4, 100.0, True)], "case_id string, z int, y int, x int, hu double, parent boolean")
+    bounds = {f"{a}{i}": 20 * i for a in "zyx" for i in (0, 1)}
+    grid = cut(spark.createDataFrame([("a", 1.5, 0.8, 0.8), ("b", 1.0, 1.1, 2.0)], "case_id string, sz double, sy double, sx double").select("*", *[F.lit(v).alias(k) for k, v in bounds.items()]), "grid")
+    window = grid.withColumns({"blood_low": F.lit(90.0), "blood_high": F.lit(250.0)})
+    got = stencil.zone_maps(cells, window, edge=8)
+    want = stencil.tube_response(cells, grid, keep=("parent",)).join(distance.distance_to_parent(cells.where("parent"), grid, 14.0), lattice.CELL, "left")
+    want = cut(masks.with_zone_masks(want.join(window.select("case_id", "blood_low", "blood_high"), "case_id")), "zones")
+    near = lattice.box_dilate(want.where("outward")).withColumn("near_outward", F.lit(True))
+    want = want.join(near, lattice.CELL, "left").fillna(False, ["near_outward"])
+    names = [*lattice.CELL, "hu", "parent", "dist_mm", "near_outward"]
+    key = lambda df: sorted(map(str, df.select(*names, F.coalesce(F.round("vesselness", 8), F.lit(-1.0)) + 0.0).collect()))
+    assert key(got) == key(want) and got.where("near_outward").count() and got.where("dist_mm is null").count()
+
+
+def test_seeds_take_no_row_per_probed_cell(spark):
+    assert "explode" not in plan(lattice_queries.seed_mask(spark, "/root/testdata/sf0.001"))[0]
