@@ -9,46 +9,56 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from lumenframe.operators.bricks import EDGE, KEY, spread
 from lumenframe.operators.lattice import CELL
 from lumenframe.operators.percase import case_joiner
+from lumenframe.session import known_rows, unsent
 
 _AXES = ["z", "y", "x"]
 BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
 
 
-def distance_from(seeds: DataFrame, grid: DataFrame, radius_mm: float) -> DataFrame:
+def distance_from(seeds: DataFrame, grid: DataFrame, radius_mm: float, edge: int = EDGE) -> DataFrame:
     """Squared distance to the nearest seed for every grid cell within ``radius_mm``.
 
-    ``grid(case_id, sz, sy, sx, z0, z1, y0, y1, x0, x1)`` gives spacing and inclusive bounds. Each
-    pass shuffles one row per reached cell, partitioned by line; the offsets are expanded and
-    reduced inside the line, so no pass multiplies shuffled rows. Returns ``(case_id, z, y, x, d2)``.
+    ``grid(case_id, sz, sy, sx, z0, z1, y0, y1, x0, x1)`` gives spacing and inclusive bounds. Seeds go to the bricks
+    that they reach, nothing else is shuffled; three passes run inside the brick. Returns ``(case_id, z, y, x, d2)``.
     """
-    attach = case_joiner(grid, "sz", "sy", "sx", *BOX)
+    reach = [(F.floor(F.lit(radius_mm) / F.col(f"s{c}")).cast("int") + 1).alias(f"n{c}") for c in "zyx"]
+    rows = case_joiner(grid.select("case_id", "sz", "sy", "sx", *BOX, *reach))(seeds.select(*CELL).dropna())
+    for a in "zyx":
+        lo = F.floor(F.greatest(F.col(a) - F.col(f"n{a}"), F.col(f"{a}0")) / edge).cast("int")
+        hi = F.floor(F.least(F.col(a) + F.col(f"n{a}"), F.col(f"{a}1")) / edge).cast("int")
+        rows = rows.withColumn(f"b{a}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    kind = seeds.schema["case_id"].dataType.simpleString()
     limit = radius_mm * radius_mm * (1 + 1e-12)
-    # along z only the ends of each seed run reach outwards
-    line = W.partitionBy("case_id", "y", "x").orderBy("z")
-    ends = seeds.select(*CELL).distinct().withColumns(
-        {"__p": F.coalesce(F.lag("z").over(line) == F.col("z") - 1, F.lit(False)), "__n": F.coalesce(F.lead("z").over(line) == F.col("z") + 1, F.lit(False))}
-    )
-    ends = attach(ends)
-    k = F.floor(F.lit(radius_mm) / F.col("sz")).cast("int")
-    lo = F.when(F.col("__p"), F.lit(0)).otherwise(-k)
-    hi = F.when(F.col("__n"), F.lit(0)).otherwise(k)
-    state = ends.select(*CELL, "sz", "z0", "z1", F.explode(F.sequence(lo, hi)).alias("o"))
-    state = state.select("case_id", (F.col("z") + F.col("o")).alias("z"), "y", "x", (F.col("o") * F.col("sz")).alias("d"), "z0", "z1")
-    state = state.where(F.col("z").between(F.col("z0"), F.col("z1")))
-    state = state.groupBy(*CELL).agg(F.min(F.col("d") * F.col("d")).alias("d2"))
-    for axis, others in (("y", ("z", "x")), ("x", ("z", "y"))):
-        lines = attach(state.repartition("case_id", *others))
-        room = F.greatest(F.lit(limit) - F.col("d2"), F.lit(0.0))
-        k = F.floor(F.sqrt(room) / F.col(f"s{axis}")).cast("int")
-        near = F.sequence(F.greatest(-k, F.col(f"{axis}0") - F.col(axis)), F.least(k, F.col(f"{axis}1") - F.col(axis)))
-        moved = lines.select("case_id", *others, axis, "d2", F.col(f"s{axis}").alias("s"), F.explode(near).alias("o"))
-        moved = moved.select("case_id", *others, (F.col(axis) + F.col("o")).alias(axis), (F.col("d2") + (F.col("o") * F.col("s")) * (F.col("o") * F.col("s"))).alias("d2"))
-        state = moved.groupBy("case_id", *others, axis).agg(F.min("d2").alias("d2"))
-    return state.where(F.col("d2") <= limit).select(*CELL, "d2")
+
+    def run(table: pa.Table) -> pa.Table:
+        one = table.slice(0, 1).to_pylist()[0]
+        low = np.array([max(one[f"b{a}"] * edge, one[f"{a}0"]) for a in "zyx"])
+        high = np.array([min(one[f"b{a}"] * edge + edge - 1, one[f"{a}1"]) for a in "zyx"])
+        halo = np.array([one[f"n{a}"] for a in "zyx"])
+        at = np.stack([table[a].to_numpy().astype(np.int64) for a in "zyx"], 1) - (low - halo)
+        shape = high - low + 1 + 2 * halo
+        d2 = np.full(shape, np.inf)
+        d2[tuple(at[((at >= 0) & (at < shape)).all(axis=1)].T)] = 0.0
+        for axis, a in enumerate("zyx"):
+            n, k, s = shape[axis] - 2 * halo[axis], halo[axis], one[f"s{a}"]
+            part = lambda i: d2[tuple(slice(i, i + n) if d == axis else slice(None) for d in range(3))]  # noqa: B023, E731
+            out = part(k).copy()
+            for o in range(1, k + 1):
+                step = (o * s) * (o * s)
+                np.minimum(out, part(k - o) + step, out=out)
+                np.minimum(out, part(k + o) + step, out=out)
+            d2 = out
+        near = d2 <= limit
+        place = np.stack(np.nonzero(near), 1) + low
+        case = pa.repeat(table["case_id"][0], len(place))
+        return pa.table({"case_id": case, **{a: pa.array(place[:, i].astype(np.int32)) for i, a in enumerate("zyx")}, "d2": pa.array(d2[near])})
+
+    found = spread(rows, KEY, known_rows(seeds)).groupBy(*KEY).applyInArrow(run, f"case_id {kind}, z int, y int, x int, d2 double")
+    return unsent(found)
 
 
 def distance_to_parent(parent: DataFrame, grid: DataFrame, radius_mm: float) -> DataFrame:

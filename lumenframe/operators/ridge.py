@@ -1,26 +1,31 @@
 """Ridge walks from an origin into a lumen, and what is read off the walked path.
 
-All walks of all cases advance together. A walk is one row that carries the cells it has been to, and their number is
-bounded by the greatest length; a round meets the 26 neighbours of every walk's end with the cells of the lumen by an
-equi-join, so a walk never sees more of its instance than it touches.
+A walk can't leave the box that its greatest length spans around its start, so every walk is taken to its end inside
+one task: starts go to their brick, and cells of the lumen to the bricks whose walks can touch them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import linalg as la
-from lumenframe.operators.percase import join_case
+from lumenframe.operators.bricks import EDGE, KEY, spread
+from lumenframe.operators.percase import case_joiner, join_case
 from lumenframe.params import DEFAULTS, Params
-from lumenframe.session import cut
+from lumenframe.session import known_rows
 
 WALK = ["case_id", "inst_id", "walk_id"]
 _AT = ["z", "y", "x"]
-#: Rounds in one job; the lumen is shuffled once per job.
-ROUNDS = 2
+#: Walks of a brick that advance together.
+HELD_WALKS = 20_000
 
 # Weights of the walk score (gain in distance, depth, length), the loss of distance that a step may
 # have, and the fork test (share of the shortest path, difference of scores, difference of distances).
@@ -29,84 +34,141 @@ FORK_FROM, FORK_SCORES, FORK_LEVELS = 0.6, 0.25, 1.2
 EXTRA_STEPS, LEAST_STEP_MM = 8, 0.3
 
 
-def _around(df: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """One row per walk and offset: ``rank`` of the offset, its length, and the cell it leads to as ``nz, ny, nx``."""
-    steps = df.select(*WALK, *_AT, "sz", "sy", "sx", F.posexplode(geo.offset_array(offsets)).alias("rank", "o"))
-    length = la.norm([F.col(f"o.d{c}") * F.col(f"s{c}") for c in "zyx"])
-    return steps.select(*WALK, "rank", length.alias("length"), *[(F.col(c) + F.col(f"o.d{c}")).alias(f"n{c}") for c in "zyx"])
-
-
-def _same(a: Column, b: Column) -> Column:
-    return (a["z"] == b["z"]) & (a["y"] == b["y"]) & (a["x"] == b["x"])
-
-
-def _placed(starts: DataFrame, cells: DataFrame, spacing: DataFrame, p: Params) -> DataFrame:
-    """Walks at step 0: on the lumen, else on its first neighbour in scan order, else standing still."""
-    s = join_case(starts.select(*WALK, *[F.rint(f"w{c}").cast("int").alias(c) for c in "zyx"]), spacing, "sz", "sy", "sx")
-    most = F.floor(p.max_trace_mm / F.greatest(F.least("sz", "sy", "sx"), F.lit(LEAST_STEP_MM))).cast("int") + EXTRA_STEPS
-    near = _around(s, [(0, 0, 0), *geo.neighbour_offsets(26)]).join(cells, ["case_id", "inst_id", "nz", "ny", "nx"])
-    home = near.groupBy(*WALK).agg(F.min_by(F.struct("nz", "ny", "nx", "next_level"), "rank").alias("home"))
-    j = s.join(home, WALK, "left")
-    at = {c: F.coalesce(F.col(f"home.n{c}"), F.col(c)) for c in "zyx"}
-    first = F.struct(F.lit(0).alias("step"), *[at[c].alias(c) for c in "zyx"], F.lit(0.0).alias("cum_mm"))
-    return j.select(
-        *WALK, "sz", "sy", "sx", most.alias("most"), *[at[c].alias(c) for c in "zyx"], F.col("home.next_level").alias("level"), F.lit(0.0).alias("total"),
-        F.array(first).alias("path"), F.lit(False).alias("fork"), F.col("home").isNotNull().alias("live"),
-    )
-
-
-def _advanced(walks: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
-    """Every live walk one step further: to its best neighbour, or at its end."""
-    near = _around(walks.where("live"), geo.neighbour_offsets(26)).join(cells, ["case_id", "inst_id", "nz", "ny", "nx"])
-    cell = F.struct(F.col("nz").alias("z"), F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("next_level").alias("level"), "depth_mm", "length")
-    met = near.groupBy(*WALK).agg(F.collect_list(cell).alias("met"))  # 26 at most
-    free = F.filter("met", lambda c: (c["level"] >= F.col("level") - MAX_LOSS) & ~F.exists("path", lambda q: _same(q, c)))
-    scored = F.transform(
-        free,
-        lambda c: F.struct(
-            (GAIN * (c["level"] - F.col("level")) + DEEP * c["depth_mm"] - LONG * c["length"]).alias("score"), *[c[n].alias(n) for n in (*_AT, "level", "length")]
-        ),
-    )
-    j = walks.join(met, WALK, "left").withColumn("__best", F.slice(F.sort_array(scored, asc=False), 1, 2)).drop("met")
-    one, two = F.get("__best", 0), F.get("__best", 1)
-    split = F.coalesce(
-        (F.col("total") >= FORK_FROM * p.min_path_mm) & (one["score"] - two["score"] < FORK_SCORES) & (F.abs(one["level"] - two["level"]) < FORK_LEVELS), F.lit(False)
-    )
-    j = j.withColumn("__fork", F.col("live") & split)
-    goes = F.col("live") & ~F.col("__fork") & one.isNotNull()
-    total = F.col("total") + one["length"]
-    step = F.struct(F.size("path").alias("step"), *[one[c].alias(c) for c in "zyx"], total.alias("cum_mm"))
-    kept = {c: F.when(goes, one[c]).otherwise(F.col(c)) for c in (*_AT, "level")}
-    return j.select(
-        *WALK, "sz", "sy", "sx", "most", *[kept[c].alias(c) for c in (*_AT, "level")], F.when(goes, total).otherwise(F.col("total")).alias("total"),
-        F.when(goes, F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"), (F.col("fork") | F.col("__fork")).alias("fork"),
-        (goes & (total < p.max_trace_mm) & (F.size("path") < F.col("most"))).alias("live"),
-    )
-
-
-def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Params = DEFAULTS, rounds: int = ROUNDS) -> DataFrame:
+class _Lumen:
+    """Cells of one brick and its halo, looked up by instance and place. A cell given twice counts once, with its greatest values."""
+
+    def __init__(self, cells: pa.Table):
+        self.names = pc.unique(cells["inst_id"])
+        at = _places(cells)
+        self.low = at.min(axis=0) - 2
+        self.shape = at.max(axis=0) - self.low + 3
+        level, depth = (_floats(cells[c]) for c in ("dist_mm", "depth_mm"))
+        key = self.key(self.codes(cells), at)
+        order = np.lexsort((depth, level, key))
+        order = order[key[order] >= 0]
+        order = order[np.r_[key[order][1:] != key[order][:-1], True][: len(order)]]
+        self.keys, self.level, self.depth = key[order], level[order], depth[order]
+
+    def codes(self, rows: pa.Table) -> np.ndarray:
+        return pc.fill_null(pc.index_in(rows["inst_id"], value_set=self.names, skip_nulls=True), -1).to_numpy().astype(np.int64)
+
+    def key(self, inst: np.ndarray, at: np.ndarray) -> np.ndarray:
+        q = at - self.low
+        inside = ((q >= 0) & (q < self.shape)).all(axis=-1) & (inst >= 0)
+        return np.where(inside, ((inst * self.shape[0] + q[..., 0]) * self.shape[1] + q[..., 1]) * self.shape[2] + q[..., 2], -1)
+
+    def find(self, inst: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether cells are there, their level and their depth."""
+        key = self.key(inst, at)
+        ix = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        met = (self.keys[ix] == key) & (key >= 0)
+        return met, np.where(met, self.level[ix], np.nan), np.where(met, self.depth[ix], np.nan)
+
+
+_NOWHERE = -(1 << 24)
+
+
+def _places(rows: pa.Table) -> np.ndarray:
+    return np.stack([pc.fill_null(rows[c], _NOWHERE).to_numpy().astype(np.int64) for c in _AT], -1)
+
+
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.float64()), float("nan")).to_numpy()
+
+
+def _walked(lumen: _Lumen | None, inst: np.ndarray, start: np.ndarray, sp: np.ndarray, most: int, p: Params) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Steps of all walks of a brick: per step the walks that take it, their cells and lengths; and which of them fork."""
+    n = len(start)
+    pos, total, fork = start.copy(), np.zeros(n), np.zeros(n, bool)
+    if lumen is None:
+        return [(np.arange(n), pos, total)], fork
+    steps = np.array(geo.neighbour_offsets(26))
+    length = np.sqrt((steps[:, 0] * sp[0]) ** 2 + (steps[:, 1] * sp[1]) ** 2 + (steps[:, 2] * sp[2]) ** 2)
+    # the start's own cell, else its first neighbour in scan order
+    home = np.concatenate([np.zeros((1, 3), np.int64), steps])
+    met, found, _ = lumen.find(inst[:, None], start[:, None, :] + home)
+    first, alive = met.argmax(axis=1), met.any(axis=1)
+    pos[alive] += home[first[alive]]
+    level = found[np.arange(n), first]
+    out, path = [(np.arange(n), pos.copy(), total.copy())], [pos.copy()]
+    live = np.flatnonzero(alive)
+    while len(live):
+        to = pos[live, None, :] + steps
+        met, there, depth = lumen.find(inst[live, None], to)
+        free = met & (there >= level[live, None] - MAX_LOSS)
+        for was in path:  # some dozens at most
+            free &= (to != was[live, None, :]).any(axis=2)
+        score = GAIN * (there - level[live, None]) + DEEP * depth - LONG * length
+        # a cell without a depth comes behind all others; ties go to the greatest z, y, x
+        rank = np.where(free, np.where(np.isnan(score), -np.finfo(float).max, score), -np.inf)
+        last = len(steps) - 1
+        one = last - rank[:, ::-1].argmax(axis=1)
+        at = np.arange(len(live))
+        any_ = free[at, one]
+        left = rank.copy()
+        left[at, one] = -np.inf
+        two = last - left[:, ::-1].argmax(axis=1)
+        split = any_ & (left[at, two] > -np.inf) & (total[live] >= FORK_FROM * p.min_path_mm)
+        split &= (score[at, one] - score[at, two] < FORK_SCORES) & (np.abs(there[at, one] - there[at, two]) < FORK_LEVELS)
+        fork[live[split]] = True
+        goes = any_ & ~split
+        walks = live[goes]
+        pos[walks] = to[at[goes], one[goes]]
+        level[walks] = there[at[goes], one[goes]]
+        total[walks] += length[one[goes]]
+        out.append((walks, pos[walks], total[walks]))
+        live = walks[(total[walks] < p.max_trace_mm) & (len(path) < most)]
+        path.append(pos.copy())
+    return out, fork
+
+
+def _walk_brick(p: Params, schema: pa.Schema):
+    def run(starts: pa.Table, cells: pa.Table) -> pa.Table:
+        lumen = _Lumen(cells) if len(cells) and len(starts) else None
+        parts = []
+        for i in range(0, len(starts), HELD_WALKS):
+            rows = starts.slice(i, HELD_WALKS)
+            at, sp = _places(rows), np.array([rows[f"s{c}"][0].as_py() for c in "zyx"], float)
+            inst = lumen.codes(rows) if lumen else np.zeros(len(rows), np.int64)
+            taken, fork = _walked(lumen, inst, at, sp, int(rows["most"][0].as_py()), p)
+            walk = np.concatenate([t[0] for t in taken])
+            step = np.repeat(np.arange(len(taken)), [len(t[0]) for t in taken])
+            place, total = np.concatenate([t[1] for t in taken]), np.concatenate([t[2] for t in taken])
+            ends = np.zeros(len(rows), np.int64)
+            np.maximum.at(ends, walk, step)
+            none = at[walk] == _NOWHERE
+            columns = [*[rows[c].combine_chunks().take(pa.array(walk)) for c in WALK], pa.array(step)]
+            columns += [pa.array(place[:, k], mask=none[:, k]) for k in range(3)]
+            columns += [pa.array(total), pa.array(fork[walk] & (step == ends[walk]))]
+            parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return run
+
+
+def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Params = DEFAULTS, edge: int = EDGE) -> DataFrame:
     """``lumen(case_id, inst_id, z, y, x, dist_mm, depth_mm)`` and ``starts(case_id, inst_id,
     walk_id, wz, wy, wx)`` -> path rows ``(walk key, step, z, y, x, cum_mm, fork)``.
 
     A step goes to the neighbour with the best score that the walk hasn't been to (ties: the greatest z, y, x); a walk ends
     at a fork, without a neighbour, or at its greatest length. Every start yields at least its own point.
     """
-    cells = cut(lumen.select("case_id", "inst_id", *[F.col(c).alias(f"n{c}") for c in "zyx"], F.col("dist_mm").alias("next_level"), "depth_mm"), "walk-cells")
-    walks, ended = cut(_placed(starts, cells, spacing, p), "walks"), []
-    while True:
-        ended.append(walks.where("not live"))
-        walks = walks.where("live")
-        if walks.isEmpty():
-            break
-        for _ in range(rounds):
-            walks = _advanced(walks, cells, p)
-        walks = cut(walks, "walks")
-    every = ended[0]
-    for part in ended[1:]:
-        every = every.unionByName(part)
-    last = F.size("path") - 1
-    points = every.select(*WALK, "fork", last.alias("__last"), F.explode("path").alias("q"))
-    return points.select(*WALK, "q.step", "q.z", "q.y", "q.x", "q.cum_mm", (F.col("fork") & (F.col("q.step") == F.col("__last"))).alias("fork"))
+    most = F.floor(p.max_trace_mm / F.greatest(F.least("sz", "sy", "sx"), F.lit(LEAST_STEP_MM))).cast("int") + EXTRA_STEPS
+    # one step to the first cell, the walk, and a last step or look beyond
+    reach = [F.least(F.ceil(p.max_trace_mm / F.col(f"s{c}")).cast("int"), F.col("most")) + 3 for c in "zyx"]
+    attach = case_joiner(spacing.select("case_id", "sz", "sy", "sx", most.alias("most")).select("*", *[r.alias(f"n{c}") for r, c in zip(reach, "zyx")]))
+    s = attach(starts.select(*WALK, *[F.rint(f"w{c}").cast("int").alias(c) for c in "zyx"]))
+    s = s.withColumns({f"b{a}": F.floor(F.col(a) / edge).cast("int") for a in "zyx"})
+    c = attach(lumen.select("case_id", "inst_id", *_AT, "dist_mm", "depth_mm").dropna(subset=["case_id", "inst_id", *_AT]))
+    for a in "zyx":
+        lo, hi = [F.floor((F.col(a) + e * F.col(f"n{a}")) / edge).cast("int") for e in (-1, 1)]
+        c = c.withColumn(f"b{a}", F.explode(F.sequence(lo, hi)))
+    s = s.select(*[F.col(k).alias(k) for k in (*KEY, "inst_id", "walk_id", *_AT, "sz", "sy", "sx", "most")])
+    c = c.select(*[F.col(k).alias(k) for k in (*KEY, "inst_id", *_AT, "dist_mm", "depth_mm")])
+    kinds = {f.name: f.dataType for f in s.schema}
+    shape = StructType([StructField(k, kinds[k]) for k in WALK] + [StructField(k, IntegerType()) for k in ("step", *_AT)] + [StructField("cum_mm", DoubleType()), StructField("fork", BooleanType())])
+    rows = known_rows(lumen)
+    return spread(s, KEY, rows).groupBy(*KEY).cogroup(spread(c, KEY, rows).groupBy(*KEY)).applyInArrow(_walk_brick(p, to_arrow_schema(shape)), shape)
 
 
 def walk_summary(paths: DataFrame, spacing: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.operators import distance, lattice, masks, sections, stencil, views3d
+from lumenframe.operators import distance, lattice, masks, ridge, sections, stencil, views3d
 from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
@@ -93,3 +93,38 @@ def test_zone_maps_equal_separate_steps(spark):
 
 def test_seeds_take_no_row_per_probed_cell(spark):
     assert "explode" not in plan(lattice_queries.seed_mask(spark, "/root/testdata/sf0.001"))[0]
+
+
+def test_walks_end_inside_one_task(spark):
+    rng = np.random.default_rng(8)
+    at = np.unique(rng.integers(0, 30, (9000, 3)), axis=0)
+    rows = [(c, int(a[2] > 12), *map(int, a), float(a[2] * 0.5 + rng.integers(0, 3) * 0.25), None if i % 71 == 0 else float(rng.integers(0, 5))) for c in "ab" for i, a in enumerate(at)]
+    lumen = spark.createDataFrame(rows, "case_id string, inst_id int, z int, y int, x int, dist_mm double, depth_mm double")
+    starts = [(c, i % 2, i, *map(float, rng.uniform(-2, 31, 3))) for c in "abc" for i in range(40)] + [("a", 7, 1, 3.0, 3.0, 3.0), ("a", 0, 99, None, 1.0, 1.0)]
+    starts = spark.createDataFrame(starts, "case_id string, inst_id int, walk_id int, wz double, wy double, wx double")
+    grid = spark.createDataFrame([("a", 1.5, 0.8, 0.8), ("b", 1.0, 1.1, 0.2), ("c", 1.0, 1.0, 1.0)], "case_id string, sz double, sy double, sx double")
+    whole, cut_up = (ridge.ridge_walks(lumen, starts, grid, edge=edge) for edge in (64, 5))
+    assert "CoGroup" in plan(whole)[0]  # a step is no join
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut_up.collect()))
+    assert whole.select(*ridge.WALK).distinct().count() == 122 and whole.agg(F.max("step")).first()[0] > 5
+
+
+def test_distances_and_openings_shuffle_their_cells_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", *map(int, a)) for a in np.unique(rng.integers(-6, 26, (22000, 3)), axis=0)]
+    mask = spark.createDataFrame(rows, "case_id string, z int, y int, x int")
+    grid = spark.createDataFrame([("a", 1.5, 0.8, 0.8)], "case_id string, sz double, sy double, sx double").select("*", *[F.lit(v).alias(f"{a}{i}") for a in "zyx" for i, v in ((0, -2), (1, 20))])
+    seeds = mask.where("z % 7 = 0 and y % 9 = 0 and x % 8 = 0")
+    for df in (distance.distance_from(seeds, grid, 5.0, edge=7), lattice.ball_open(mask, 0.9, grid)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    have = {r[1:] for r in rows}
+    at = np.array([r[1:] for r in seeds.collect()])
+    got = {(r.z, r.y, r.x): r.d2 for r in distance.distance_from(seeds, grid, 5.0, edge=7).collect()}
+    box = np.stack(np.meshgrid(*[np.arange(-2, 21)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    d2 = (((box[:, None] - at) * [1.5, 0.8, 0.8]) ** 2).sum(axis=2).min(axis=1)
+    want = {tuple(map(int, c)): d for c, d in zip(box, d2) if d <= 25.0 * (1 + 1e-12)}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    ball = [(a, b, c) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2) for c in (-2, -1, 0, 1, 2) if (1.5 * a) ** 2 + (0.8 * b) ** 2 + (0.8 * c) ** 2 <= 0.81 + 1e-6]
+    inner = {c for c in have if all((c[0] + o[0], c[1] + o[1], c[2] + o[2]) in have for o in ball)}
+    opened = {(c[0] + o[0], c[1] + o[1], c[2] + o[2]) for c in inner for o in ball}
+    assert {(r.z, r.y, r.x) for r in lattice.ball_open(mask, 0.9, grid).collect()} == opened and opened
