@@ -5,7 +5,7 @@ in which bricks are visited.
 
 What a brick ends as is settled by its own cells and markers and the best distances that ever arrived at its faces. So
 the cells are written once, by brick, and only arrivals at faces are state: a round works on the bricks whose faces got
-something better, and writes what gets better on theirs.
+something better, and writes what gets better on theirs. Bricks that stand alone are solved once.
 """
 
 from __future__ import annotations
@@ -111,7 +111,11 @@ def grow(markers: DataFrame, allowed: DataFrame, spacing: DataFrame, edge: int =
             rows = rows.join(active, KEY, "left_semi")
         return spread(rows, KEY).groupBy(*KEY).applyInPandas(_relax_brick(edge, faces_only), schema)
 
-    active = cut(cells.where("label is not null").select(*KEY).distinct(), "grow-active")
+    # a brick without a brick beside it has nothing to tell or to hear: the last pass is its only one
+    beside = sizes.select("case_id", *[F.col(f"b{a}").alias(f"__{a}") for a in "zyx"], F.explode(geo.offset_array(geo.neighbour_offsets(26))).alias("o"))
+    beside = beside.select("case_id", *[(F.col(f"__{a}") + F.col(f"o.d{a}")).cast("int").alias(f"b{a}") for a in "zyx"]).distinct()
+    met = cells.where("label is not null").select(*KEY).distinct().join(beside, KEY, "left_semi")
+    active = cut(met, "grow-active")
     arrivals, fresh = None, None
     while not active.isEmpty():
         out = solve(cells, arrivals, active, True)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.operators import distance, lattice, masks, ridge, sections, stencil, views3d
+from lumenframe.operators import distance, growth, lattice, masks, ridge, sections, stencil, views3d
 from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
@@ -128,3 +128,17 @@ def test_distances_and_openings_shuffle_their_cells_once(spark):
     inner = {c for c in have if all((c[0] + o[0], c[1] + o[1], c[2] + o[2]) in have for o in ball)}
     opened = {(c[0] + o[0], c[1] + o[1], c[2] + o[2]) for c in inner for o in ball}
     assert {(r.z, r.y, r.x) for r in lattice.ball_open(mask, 0.9, grid).collect()} == opened and opened
+
+
+def test_growth_solves_lone_bricks_once(spark, monkeypatch):
+    """A case inside one brick has no round of its own before the last pass; two bricks beside each other have one."""
+    cells = spark.range(12).selectExpr("0L AS case_id", "0 AS z", "0 AS y", "CAST(id AS INT) AS x")
+    marks = cells.where("x = 0").withColumn("label", F.lit(7).cast("long"))
+    grid = spark.sql("SELECT 0L AS case_id, 1.0D AS sz, 1.0D AS sy, 1.0D AS sx")
+    rounds, real = [], growth.cut
+    monkeypatch.setattr(growth, "cut", lambda df, label: rounds.append(label) or real(df, label))
+    for edge, expected in ((32, 0), (8, 1)):
+        rounds.clear()
+        got = {r.x: (r.label, r.geo_mm) for r in growth.grow(marks, cells, grid, edge).collect()}
+        assert got == {x: (7, float(x)) for x in range(12)}
+        assert (rounds.count("grow-faces") > 0) == bool(expected)
