@@ -94,14 +94,16 @@ def fit(ratio: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Model:
         share = 0.5 if len(rows) == 0 else float(y[0] > 0)
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(DIM), 0.0, 1.0, float(np.log(share / (1 - share))))
-    xs = [(f, ratio[f] / np.sqrt(max(len(f), 1))) for f, _ in rows]
+    # the driver holds two bytes a place; a text's vector is made when it is asked for
+    vector = lambda f: ratio[f] / np.sqrt(max(len(f), 1))
     limit = np.where(y > 0, COST, COST * np.sqrt((y > 0).sum() / (y < 0).sum()))
-    norm = np.array([x @ x + 1.0 for _, x in xs])
-    w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(xs))
+    norm = np.array([(x := vector(f)) @ x + 1.0 for f, _ in rows])
+    w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(ROUNDS):
-        for i in rng.permutation(len(xs)).tolist():
-            f, x = xs[i]
+        for i in rng.permutation(len(rows)).tolist():
+            f = rows[i][0]
+            x = vector(f)
             slack = y[i] * (w[f] @ x + bias) - 1
             new = min(max(alpha[i] - slack / norm[i], 0.0), limit[i])
             if new != alpha[i]:
@@ -109,7 +111,7 @@ def fit(ratio: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Model:
                 w[f] += step * x
                 bias += step
                 alpha[i] = new
-    margin = np.array([w[f] @ x for f, x in xs]) + bias
+    margin = np.array([w[f] @ vector(f) for f, _ in rows]) + bias
     slope, offset = _logistic(margin, y)
     return Model(w * ratio, float(bias), slope, offset)
 
@@ -171,8 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     for r in sums:
         counts[:, r.place] += r.zeros, r.ones
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sample = learned.filter("place is null").select("label", "found").collect()
-    return fit(ratio, sorted(((np.frombuffer(r.found, np.uint16).astype(np.int64), r.label) for r in sample), key=lambda x: (x[1], len(x[0]), x[0].tobytes())))
+    return fit(ratio, _sorted_sample(learned.filter("place is null").select("label", "found").toArrow().combine_chunks()))
+
+
+def _sorted_sample(found: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """Places and label of the sampled texts, views of one buffer, by label, number of places and places."""
+    label, places = found["label"].to_pylist(), found["found"]
+    views = [np.frombuffer(v.as_buffer(), np.uint16) for v in places]
+    order = sorted(range(len(label)), key=lambda i: (label[i], len(views[i]), views[i].tobytes()))
+    return [(views[i], label[i]) for i in order]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Long words, long texts, repeated rows and bands taken in turns."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -143,3 +144,14 @@ def test_first_digits_fall_evenly_on_buckets():
     digits = suffix_radix._judged(Block(np.arange(1), np.array([0, len(data)]), data), {}).digits
     share = np.bincount((digits >> np.uint64(32)) * np.uint64(80) >> np.uint64(32), minlength=80) / len(digits)
     assert len(share) == 80 and 0.5 / 80 < share.min() and share.max() < 2 / 80
+
+
+def test_fit_holds_no_vector_of_every_text():
+    """The driver's memory beside the sample follows the number of texts, not of places."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, nbsvm.DIM, 2000)).astype(np.uint16), i % 2) for i in range(300)]
+    tracemalloc.start()
+    model = nbsvm.fit(rng.normal(size=nbsvm.DIM), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.weights).all() and peak < 8 * sum(len(f) for f, _ in rows) / 2
