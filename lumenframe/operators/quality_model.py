@@ -141,20 +141,21 @@ def _fold_sums(d: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                y, x = np.array(r["label"]), np.array(r["x"]).reshape(-1, d)
+            for at in range(batch.num_rows):  # numbers stay arrays: as Python objects a batch is many times its size
+                chunk, folds, models = (batch.column(c)[at].values for c in ("x", "folds", "models"))
+                y, x = batch.column("label")[at].values.to_numpy(), chunk.to_numpy().reshape(-1, d)
                 x = np.hstack([np.ones((len(y), 1)), x])
-                names = [m["__fold"] for m in r["models"]]
-                mu, sd, w = (np.array([m[k] for m in r["models"]]) for k in ("mu", "sd", "w"))
+                names = models.field("__fold").to_pylist()
+                mu, sd, w = (models.field(k).flatten().to_numpy().reshape(len(names), -1) for k in ("mu", "sd", "w"))
                 v = w[:, 1:] / sd
                 z = x @ np.hstack([w[:, :1] - (mu * v).sum(axis=1, keepdims=True), v]).T
                 p = 1.0 / (1.0 + np.exp(-z))
                 loss, miss, spread = np.logaddexp(0.0, z) - y[:, None] * z, p - y[:, None], p * (1.0 - p)
                 place = {n: i for i, n in enumerate(names)}
-                own = [(i, place[f]) for i, f in enumerate(r["folds"]) if f in place]
+                own = [(i, place[f]) for i, f in enumerate(folds.to_pylist()) if f in place]
                 if own:
-                    at = tuple(np.array(own).T)
-                    loss[at], miss[at], spread[at] = 0.0, 0.0, 0.0
+                    cells = tuple(np.array(own).T)
+                    loss[cells], miss[cells], spread[cells] = 0.0, 0.0, 0.0
                 pairs = x[:, upper[0]] * x[:, upper[1]]
                 sums = np.hstack([loss.sum(axis=0)[:, None], miss.T @ x, spread.T @ pairs])
                 yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(c) for c in sums.T]], ["__fold", *[f"s{i}" for i in range(sums.shape[1])]])

@@ -1,9 +1,12 @@
 """What may be broadcast, and steps that hold their size."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lumenframe.operators import distance, growth, lattice, masks, ridge, sections, stencil, views3d
+from lumenframe.operators import distance, growth, lattice, masks, quality_model, ridge, sections, stencil, views3d
 from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
@@ -142,3 +145,21 @@ def test_growth_solves_lone_bricks_once(spark, monkeypatch):
         got = {r.x: (r.label, r.geo_mm) for r in growth.grow(marks, cells, grid, edge).collect()}
         assert got == {x: (7, float(x)) for x in range(12)}
         assert (rounds.count("grow-faces") > 0) == bool(expected)
+
+
+def test_fold_sums_hold_one_chunk_as_objects():
+    """A batch of many chunks costs what one of them does, besides the batch itself."""
+    d, rows, rng = 3, 2000, np.random.default_rng(1)
+    model = [{"__fold": str(k), "mu": [0.0] * d, "sd": [1.0] * d, "w": [0.1] * (d + 1)} for k in range(2)]
+    chunk = lambda: {"folds": [str(i % 2) for i in range(rows)], "label": (rng.random(rows) > 0.5).astype(float).tolist(), "x": rng.random(rows * d).tolist(), "models": model}
+    kinds = pa.struct([("__fold", pa.string()), ("mu", pa.list_(pa.float64())), ("sd", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+    schema = pa.schema([("folds", pa.list_(pa.string())), ("label", pa.list_(pa.float64())), ("x", pa.list_(pa.float64())), ("models", pa.list_(kinds))])
+    peaks = []
+    for n in (1, 40):
+        batch = pa.RecordBatch.from_pylist([chunk() for _ in range(n)], schema)
+        tracemalloc.start()
+        found = sum(len(b) for b in quality_model._fold_sums(d)(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 2 * n
+    assert peaks[1] < 3 * peaks[0]
