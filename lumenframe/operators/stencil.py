@@ -49,7 +49,8 @@ def _correlate(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: float, gamma: float) -> np.ndarray:
+def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: float, gamma: float, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The response inside the halo; 0 where ``wanted`` is false."""
     ks = derivative_kernels(sigma)
     trim = halo - (len(ks[0]) - 1) // 2
     if trim:
@@ -61,6 +62,8 @@ def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: fl
     out = np.zeros(h[2, 0, 0].shape)
     # two dominant negative eigenvalues need a negative trace; only those cells are decomposed
     live = h[2, 0, 0] + h[0, 2, 0] + h[0, 0, 2] < 0
+    if wanted is not None:
+        live &= wanted
     m = np.empty((int(live.sum()), 3, 3))
     m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = h[2, 0, 0][live], h[0, 2, 0][live], h[0, 0, 2][live]
     m[:, 0, 1] = m[:, 1, 0] = h[1, 1, 0][live]
@@ -153,10 +156,12 @@ class _Brick:
         """The response of the brick's own cells."""
         start, stop, lo, hi = self.start, self.stop, self.own_lo, self.own_hi
         block = np.pad(self.block(hu, fill), [(int(start[i] - lo[i] + self.halo), int(hi[i] + self.halo - stop[i])) for i in range(3)], mode="symmetric")
-        best = np.zeros(hi - lo + 1)
+        best, place = np.zeros(hi - lo + 1), tuple((self.mine - lo).T)
+        wanted = np.zeros(best.shape, bool)
+        wanted[place] = True
         for mm in p.tube_scales_mm:
-            best = np.maximum(best, _response(block, self.halo, max(p.min_scale_voxels, mm / mean_sp), p.tube_alpha, p.tube_beta, p.tube_gamma))
-        return best[tuple((self.mine - lo).T)]
+            best = np.maximum(best, _response(block, self.halo, max(p.min_scale_voxels, mm / mean_sp), p.tube_alpha, p.tube_beta, p.tube_gamma, wanted))
+        return best[place]
 
 
 def tube_response(

@@ -3,10 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenframe.operators import distance, growth, lattice, masks, quality_model, ridge, sections, stencil, views3d
+from lumenframe.params import DEFAULTS
 from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
@@ -163,3 +165,25 @@ def test_fold_sums_hold_one_chunk_as_objects():
         tracemalloc.stop()
         assert found == 2 * n
     assert peaks[1] < 3 * peaks[0]
+
+
+def test_only_cells_of_the_brick_are_decomposed(monkeypatch):
+    rng = np.random.default_rng(2)
+    at = np.argwhere(rng.random((8, 8, 8)) < 0.1)
+    bounds = {f"{a}{i}": 7 * i for a in "zyx" for i in (0, 1)}
+    pdf = pd.DataFrame({**dict(zip("zyx", at.T, strict=True)), "halo": 18, "bz": 0, "by": 0, "bx": 0, **bounds})
+    brick, hu, taken, eigvalsh = stencil._Brick(pdf, 32), 1000 * rng.random(len(at)), [], np.linalg.eigvalsh
+    monkeypatch.setattr(np.linalg, "eigvalsh", lambda m: taken.append(len(m)) or eigvalsh(m))
+    got = brick.tube(hu, 1.0, DEFAULTS, 0.0)
+    assert taken and max(taken) <= len(at)
+    block, want = np.pad(brick.block(hu, 0.0), 18, mode="symmetric"), np.zeros((8, 8, 8))
+    for mm in DEFAULTS.tube_scales_mm:
+        want = np.maximum(want, stencil._response(block, 18, max(DEFAULTS.min_scale_voxels, mm), DEFAULTS.tube_alpha, DEFAULTS.tube_beta, DEFAULTS.tube_gamma))
+    assert (got == want[tuple(at.T)]).all()
+
+
+def test_markers_alone_write_no_table_of_masks(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(lattice_queries, "cut", lambda df, label="step": labels.append(label) or cut(df, label))
+    lattice_queries.merged_markers(spark, "/root/testdata/sf0.001")
+    assert "zones" in labels and "seeded" not in labels
