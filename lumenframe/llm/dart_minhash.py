@@ -271,9 +271,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """``doc_id, root`` of linked documents."""
+    """``doc_id, root`` of linked documents.
+
+    Written, as the plan of ``connected`` holds a join, and the driver a broadcast, for each of its rounds, once per use.
+    """
     found = connected(links.select(F.lit(0).alias("case_id"), F.col("u"), F.col("v")))
-    return found.select(F.col("node").alias("doc_id"), "root")
+    return kept(found.select(F.col("node").alias("doc_id"), "root"), "components")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

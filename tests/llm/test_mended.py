@@ -155,3 +155,11 @@ def test_fit_holds_no_vector_of_every_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.isfinite(model.weights).all() and peak < 8 * sum(len(f) for f, _ in rows) / 2
+
+
+def test_components_are_read_from_one_table(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 8)], "u long, v long")
+    found = dart_minhash._components(links)
+    assert {r.doc_id: r.root for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
