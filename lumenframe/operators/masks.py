@@ -36,7 +36,7 @@ def with_seed_masks(cells: DataFrame, parent: DataFrame, spacing: DataFrame, p:
         out = cells.join(unsent(reach), CELL, "left")
     strong = F.col("vesselness") >= F.col("v_thresh")
     seed = F.col("ring") & (F.coalesce("__reach", F.lit(False)) | strong)
-    coarse = spacing.where(F.least("sz", "sy", "sx") * 1.1 > p.near_wall_mm)
+    coarse = coarse_cases(spacing, p)
     if not coarse.isEmpty():
         out = out.join(contact_ring(parent.join(coarse.select("case_id"), "case_id", "left_semi"), coarse).withColumn("__contact", F.lit(True)), CELL, "left")
         seed = seed | (F.coalesce("__contact", F.lit(False)) & F.col("outward"))
@@ -47,6 +47,11 @@ def with_seed_masks(cells: DataFrame, parent: DataFrame, spacing: DataFrame, p:
     return out.drop("__reach", "__contact")
 
 
+def coarse_cases(spacing: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Cases whose seeds take the contact dilation."""
+    return spacing.where(F.least("sz", "sy", "sx") * 1.1 > p.near_wall_mm)
+
+
 def contact_ring(parent: DataFrame, spacing: DataFrame) -> DataFrame:
     """Cells within 1.1 of the smallest spacing of the parent, outside it."""
     out = ball_dilate(parent, F.least("sz", "sy", "sx") * 1.1, spacing)

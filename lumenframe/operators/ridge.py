@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 
 from lumenframe.functions import geometry as geo
 from lumenframe.functions import linalg as la
-from lumenframe.operators.bricks import EDGE, KEY, spread
+from lumenframe.operators.bricks import EDGE, KEY, LAYOUT, brick_of, in_reach, layout, spread
 from lumenframe.operators.percase import case_joiner, join_case
 from lumenframe.params import DEFAULTS, Params
 from lumenframe.session import known_rows
@@ -156,13 +156,12 @@ def ridge_walks(lumen: DataFrame, starts: DataFrame, spacing: DataFrame, p: Para
     most = F.floor(p.max_trace_mm / F.greatest(F.least("sz", "sy", "sx"), F.lit(LEAST_STEP_MM))).cast("int") + EXTRA_STEPS
     # one step to the first cell, the walk, and a last step or look beyond
     reach = [F.least(F.ceil(p.max_trace_mm / F.col(f"s{c}")).cast("int"), F.col("most")) + 3 for c in "zyx"]
-    attach = case_joiner(spacing.select("case_id", "sz", "sy", "sx", most.alias("most")).select("*", *[r.alias(f"n{c}") for r, c in zip(reach, "zyx")]))
+    bricks = layout(spacing, edge).select("case_id", "sz", "sy", "sx", *LAYOUT, most.alias("most"))
+    attach = case_joiner(bricks.select("*", *[r.alias(f"n{c}") for r, c in zip(reach, "zyx")]))
     s = attach(starts.select(*WALK, *[F.rint(f"w{c}").cast("int").alias(c) for c in "zyx"]))
-    s = s.withColumns({f"b{a}": F.floor(F.col(a) / edge).cast("int") for a in "zyx"})
+    s = s.withColumns({f"b{a}": brick_of(a) for a in "zyx"})
     c = attach(lumen.select("case_id", "inst_id", *_AT, "dist_mm", "depth_mm").dropna(subset=["case_id", "inst_id", *_AT]))
-    for a in "zyx":
-        lo, hi = [F.floor((F.col(a) + e * F.col(f"n{a}")) / edge).cast("int") for e in (-1, 1)]
-        c = c.withColumn(f"b{a}", F.explode(F.sequence(lo, hi)))
+    c = in_reach(c, {a: F.col(f"n{a}") for a in "zyx"})
     s = s.select(*[F.col(k).alias(k) for k in (*KEY, "inst_id", "walk_id", *_AT, "sz", "sy", "sx", "most")])
     c = c.select(*[F.col(k).alias(k) for k in (*KEY, "inst_id", *_AT, "dist_mm", "depth_mm")])
     kinds = {f.name: f.dataType for f in s.schema}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenframe.functions import linalg as la
+from lumenframe.operators.bricks import spread
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
 from lumenframe.session import unsent
@@ -61,7 +62,8 @@ def plane_radius(seeds: DataFrame, voxels: DataFrame, calib: DataFrame, spacing:
     ``seeds(key, seed_z, seed_y, seed_x, head_z, head_y, head_x)``.
     """
     s = join_case(seeds, spacing, "sz", "sy", "sx").where(la.norm(la.cols("head_z", "head_y", "head_x")) >= 1e-8)
-    probe = disc_samples(s, ("seed_z", "seed_y", "seed_x"), ("head_z", "head_y", "head_x")).select(*key, "z", "y", "x", "step")
+    # points are few bytes and hundreds of samples each
+    probe = disc_samples(spread(s, key), ("seed_z", "seed_y", "seed_x"), ("head_z", "head_y", "head_x")).select(*key, "z", "y", "x", "step")
     window = join_case(voxels.select("case_id", "z", "y", "x", "hu"), calib, "blood_low", "blood_high")
     window = window.where(F.col("hu").between(F.col("blood_low"), F.col("blood_high"))).select("case_id", "z", "y", "x")
     hit = probe.join(window, ["case_id", "z", "y", "x"]).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("step").alias("step"))
@@ -86,7 +88,7 @@ def resample_paths(points: DataFrame, spacing: DataFrame, key: Sequence[str], st
     At least three samples per path, both ends included. Returns ``(key, k, z, y, x, tz, ty, tx)``.
     """
     key = list(key)
-    j = join_case(points, spacing, "sz", "sy", "sx")
+    j = spread(join_case(points, spacing, "sz", "sy", "sx"), key)
     order = W.partitionBy(*key).orderBy("step")
     nxt = {f"n{c}": F.lead(c).over(order) for c in "zyx"}
     seg = j.withColumns(nxt).withColumn("__last", F.col("nz").isNull())

@@ -6,14 +6,14 @@ derivative passes then run as array operations inside the task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.bricks import EDGE, KEY, spread, with_bricks
+from lumenframe.operators.bricks import EDGE, KEY, LAYOUT, in_reach, layout, spread
 from lumenframe.operators.percase import case_joiner
 from lumenframe.params import DEFAULTS, Params
 from lumenframe.session import known_rows, unsent
@@ -107,35 +107,55 @@ def _grown(mask: np.ndarray) -> np.ndarray:
 
 
 def brick_rows(
-    cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, edge: int = EDGE, keep: Sequence[str] = (), reach_mm: float | None = None, columns: Sequence[str] = ()
+    cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, edge: int = EDGE, keep: Sequence[str] = (), reach_mm: float | None = None
 ) -> DataFrame:
-    """Every cell once per brick that needs it, with its case's bounds, mean spacing, ``halo`` and ``columns`` of the grid.
+    """Every cell once per brick that needs it, with its case's ``halo``.
 
     A case's halo is the half-width of its own widest kernel, so a fine grid doesn't widen the halo of the others; with
     ``reach_mm`` it also holds what lies within that distance of the brick's cells and of their neighbours.
     """
+    sized = case_joiner(_sized(grid, p, edge, reach_mm), "halo", *LAYOUT)(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep))
+    return in_reach(sized, dict.fromkeys("zyx", F.col("halo"))).select(*KEY, "z", "y", "x", "hu", *keep, "halo")
+
+
+def _sized(grid: DataFrame, p: Params, edge: int, reach_mm: float | None) -> DataFrame:
+    """The grid with the bricks, mean spacing and halo of each case."""
     mean_sp = (F.col("sz") + F.col("sy") + F.col("sx")) / 3.0
     widest = F.greatest(F.lit(p.min_scale_voxels), F.lit(max(p.tube_scales_mm)) / mean_sp)
     half = F.floor(TRUNCATE * widest / F.sqrt(F.lit(2.0)) + 0.5)  # ``kernel_radius`` of the widest scale
     halo = (2 * F.greatest(half, F.lit(2))).cast("int")
     if reach_mm is not None:
         halo = F.greatest(halo, F.ceil(F.lit(reach_mm) / F.least("sz", "sy", "sx")).cast("int") + 1)
-    bounds = ["z0", "z1", "y0", "y1", "x0", "x1"]
-    sized = case_joiner(grid.select("case_id", mean_sp.alias("mean_sp"), halo.alias("halo"), *bounds, *columns))(cells.select("case_id", "z", "y", "x", F.col("hu").cast("double").alias("hu"), *keep))
-    bricked = with_bricks(sized, F.col("halo"), edge)
-    inside = [(F.col(f"b{a}") >= F.floor(F.col(f"{a}0") / edge)) & (F.col(f"b{a}") <= F.floor(F.col(f"{a}1") / edge)) for a in "zyx"]
-    return bricked.where(inside[0] & inside[1] & inside[2])
+    return layout(grid, edge).withColumns({"mean_sp": mean_sp, "halo": halo})
+
+
+def _per_brick(
+    cells: DataFrame, grid: DataFrame, p: Params, edge: int, keep: Sequence[str], reach_mm: float | None, kernel: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], schema: str
+) -> DataFrame:
+    """``kernel`` of the rows of each brick; what a brick knows of its case comes in one row of its own, not with every cell."""
+    rows = known_rows(cells)
+    bricks = _sized(grid, p, edge, reach_mm)
+    for a in "zyx":
+        bricks = bricks.withColumn(f"b{a}", F.explode(F.sequence(f"f{a}", f"l{a}")))
+    bricked = brick_rows(cells, grid, p, edge, keep, reach_mm).drop("halo")
+    # the grid may be read off the cells: each side gets columns of its own
+    bricks, bricked = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (bricks, bricked))
+
+    def run(pdf: pd.DataFrame, brick: pd.DataFrame) -> pd.DataFrame:
+        return kernel(pdf, brick.iloc[0]) if len(pdf) and len(brick) else pd.DataFrame()
+
+    return spread(bricked, KEY, rows).groupBy(*KEY).cogroup(spread(bricks, KEY, rows).groupBy(*KEY)).applyInPandas(run, schema)
 
 
 class _Brick:
     """Rows of one brick and its halo as a block."""
 
-    def __init__(self, pdf: pd.DataFrame, edge: int):
-        one = pdf.iloc[0]
+    def __init__(self, pdf: pd.DataFrame, edge: int | np.ndarray, one: pd.Series | None = None):
+        one = pdf.iloc[0] if one is None else one
         self.halo = int(one["halo"])
         lo = np.array([int(one[f"{a}0"]) for a in "zyx"])
         hi = np.array([int(one[f"{a}1"]) for a in "zyx"])
-        corner = np.array([int(one[f"b{a}"]) * edge for a in "zyx"])
+        corner = lo + np.array([int(one[f"b{a}"]) for a in "zyx"]) * edge
         self.own_lo, self.own_hi = np.maximum(corner, lo), np.minimum(corner + edge - 1, hi)
         self.start, self.stop = np.maximum(self.own_lo - self.halo, lo), np.minimum(self.own_hi + self.halo, hi)
         at = pdf[["z", "y", "x"]].to_numpy()
@@ -144,6 +164,11 @@ class _Brick:
         self.place = tuple((at[self.seen] - self.start).T)
         self.mine = at[self.own]
 
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, one: pd.Series) -> _Brick:
+        """The brick of rows without columns of their case; ``one`` is the row of the brick."""
+        return cls(pdf, np.array([int(one[f"e{a}"]) for a in "zyx"]), one)
+
     def block(self, values: np.ndarray, fill) -> np.ndarray:
         out = np.full(self.stop - self.start + 1, fill)
         out[self.place] = values[self.seen]
@@ -172,17 +197,16 @@ def tube_response(
     ``grid`` is as in ``distance_from``. Beyond the grid the volume is mirrored; grid cells without
     a row count as ``fill``.
     """
-    bricked = brick_rows(cells, grid, p, edge, keep)
     kind = cells.schema["case_id"].dataType.simpleString()
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        brick = _Brick(pdf, edge)
+    def kernel(pdf: pd.DataFrame, one: pd.Series) -> pd.DataFrame:
+        brick = _Brick.of(pdf, one)
         out = pdf.loc[brick.own, ["case_id", "z", "y", "x", "hu", *keep]].copy()
-        out["vesselness"] = brick.tube(pdf["hu"].to_numpy(), pdf["mean_sp"].iloc[0], p, fill)
+        out["vesselness"] = brick.tube(pdf["hu"].to_numpy(), one["mean_sp"], p, fill)
         return out
 
     extra = "".join(f", {k} {cells.schema[k].dataType.simpleString()}" for k in keep)
-    return spread(bricked, KEY).groupBy(*KEY).applyInPandas(kernel, f"case_id {kind}, z int, y int, x int, hu double{extra}, vesselness double")
+    return _per_brick(cells, grid, p, edge, keep, None, kernel, f"case_id {kind}, z int, y int, x int, hu double{extra}, vesselness double")
 
 
 def zone_maps(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: float = 0.0, edge: int = EDGE) -> DataFrame:
@@ -191,13 +215,11 @@ def zone_maps(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: flo
     ``dist_mm`` is as in ``distance_to_parent`` up to the growth limit; ``near_outward`` marks outward blood (see ``masks``)
     and its 26 neighbours. ``grid`` also has the window ``blood_low, blood_high``. All three take one shuffle of the cells.
     """
-    rows = known_rows(cells)
-    bricked = brick_rows(cells, grid, p, edge, ("parent",), p.growth_limit_mm, ("sz", "sy", "sx", "blood_low", "blood_high"))
     kind = cells.schema["case_id"].dataType.simpleString()
     limit = p.growth_limit_mm * p.growth_limit_mm * (1 + 1e-12)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        brick, one = _Brick(pdf, edge), pdf.iloc[0]
+    def kernel(pdf: pd.DataFrame, one: pd.Series) -> pd.DataFrame:
+        brick = _Brick.of(pdf, one)
         hu, parent = pdf["hu"].to_numpy(float), pdf["parent"].to_numpy()
         inside, outside = parent == True, parent == False  # noqa: E712  a null is neither
         held = np.zeros(brick.stop - brick.start + 1, bool)
@@ -216,4 +238,4 @@ def zone_maps(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: flo
         return out
 
     schema = f"case_id {kind}, z int, y int, x int, hu double, parent boolean, vesselness double, dist_mm double, near_outward boolean"
-    return unsent(spread(bricked, KEY, rows).groupBy(*KEY).applyInPandas(kernel, schema), rows)
+    return unsent(_per_brick(cells, grid, p, edge, ("parent",), p.growth_limit_mm, kernel, schema), known_rows(cells))

@@ -32,7 +32,7 @@ from lumenframe.operators import (
 )
 from lumenframe.operators.percase import join_case
 from lumenframe.params import DEFAULTS, Params
-from lumenframe.session import cut
+from lumenframe.session import cut, known_rows, unsent
 
 CELL = lattice.CELL
 INST = features.INST
@@ -63,25 +63,26 @@ def search_maps(voxels: DataFrame, cases: DataFrame, p: Params = DEFAULTS, fill:
     spacing = cases.select("case_id", *[F.get("spacing", i).alias(f"s{c}") for c, i in (("z", 2), ("y", 1), ("x", 0))])
     grid = cut(box.join(spacing, "case_id"), "grid")
     cells = geo.crop(voxels.select(*CELL, "hu", "parent"), grid.select("case_id", *distance.BOX))
-    cells = cut(cells, "roi")
-    parent = cells.where("parent").select(*CELL)
-    zones = stencil.zone_maps(cells, grid.join(calib.select("case_id", "blood_low", "blood_high"), "case_id"), p, fill)
-    zones = masks.with_zone_masks(join_case(zones, calib, "blood_low", "blood_high", "p10"), p)
-    zones = cut(zones, "zones")
-    thr = calibration.tube_threshold(zones.where("blood AND shell"), grid, p=p)
-    calib = cut(calib.join(thr, "case_id"), "calib")
-    seeded = masks.with_seed_masks(join_case(zones, calib, "v_thresh"), parent, grid, p)
+    cells = unsent(cells, known_rows(voxels))
+    # all voxels are written once; masks are cheaper to read off again than to write
+    zones = cut(stencil.zone_maps(cells, grid.join(calib.select("case_id", "blood_low", "blood_high"), "case_id"), p, fill), "zones")
+    parent = zones.where("parent").select(*CELL)
+    support = masks.with_zone_masks(join_case(zones, calib, "blood_low", "blood_high"), p).where("blood AND shell")
+    calib = cut(calib.join(calibration.tube_threshold(support, grid, p=p), "case_id"), "calib")
+    seeded = masks.with_zone_masks(join_case(zones, calib, "blood_low", "blood_high", "p10", "v_thresh"), p)
     keep = [*CELL, "hu", "parent", "dist_mm", "vesselness", "blood", "shell", "ring", "outward", "seed", "sheet", "allowed"]
-    return SearchMaps(grid, calib, cut(seeded.select(*keep), "maps"), cut(masks.cap_slices(cells, p), "caps"))
+    seeded = masks.with_seed_masks(seeded, parent, grid, p).select(*keep)
+    seeded = unsent(seeded, known_rows(zones)) if masks.coarse_cases(grid, p).isEmpty() else cut(seeded, "maps")
+    return SearchMaps(grid, calib, seeded, cut(masks.cap_slices(zones, p), "caps"))
 
 
 def grow_instances(maps: SearchMaps, p: Params = DEFAULTS) -> DataFrame:
     """Labelled cells ``(case_id, inst_id, z, y, x, hu, vesselness, dist_mm, depth_mm)``."""
     seeds = masks.drop_cap_seeds(maps.cells.where("seed").select(*CELL), maps.caps, p)
     markers = cut(components.merged_markers(seeds, maps.grid, p.ostium_merge_mm), "markers")
-    grown = growth.grow(markers, maps.cells.where("allowed"), maps.grid)
+    values = cut(maps.cells.where("allowed").select(*CELL, "hu", "vesselness", "dist_mm"), "allowed")
+    grown = growth.grow(markers, values, maps.grid)
     depth = distance.depth_inside(maps.cells.where("blood OR parent"), maps.grid)
-    values = maps.cells.select(*CELL, "hu", "vesselness", "dist_mm")
     cells = grown.select(*CELL, F.col("label").alias("inst_id")).join(values, CELL).join(depth, CELL, "left")
     return cut(cells.withColumn("depth_mm", F.coalesce("depth_mm", F.lit(0.0))), "instances")
 

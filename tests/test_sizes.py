@@ -7,8 +7,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lumenframe.operators import distance, growth, lattice, masks, quality_model, ridge, sections, stencil, views3d
+from lumenframe.operators import bricks, distance, growth, lattice, masks, quality_model, ridge, sections, stencil, views3d
 from lumenframe.params import DEFAULTS
+from lumenframe.plans import detect
 from lumenframe.plans.catalog import lattice_queries, views
 from lumenframe.session import cut
 
@@ -187,3 +188,48 @@ def test_markers_alone_write_no_table_of_masks(spark, monkeypatch):
     monkeypatch.setattr(lattice_queries, "cut", lambda df, label="step": labels.append(label) or cut(df, label))
     lattice_queries.merged_markers(spark, "/root/testdata/sf0.001")
     assert "zones" in labels and "seeded" not in labels
+
+
+def test_a_box_little_longer_than_a_brick_is_one_brick(spark):
+    """No sliver of a brick whose halo brings most of the box along again."""
+    cells = spark.range(20 * 36 * 36).selectExpr("0L AS case_id", "CAST(id DIV 1296 AS INT) AS z", "CAST(id DIV 36 % 36 AS INT) AS y", "CAST(id % 36 AS INT) AS x", "1.0D AS hu")
+    grid = spark.sql("SELECT 0L AS case_id, 1.5D AS sz, 0.8D AS sy, 0.8D AS sx, 0 AS z0, 19 AS z1, 0 AS y0, 35 AS y1, 0 AS x0, 35 AS x1")
+    rows = stencil.brick_rows(cells, grid, reach_mm=14.0)
+    assert rows.count() == cells.count() and rows.select(*bricks.KEY).distinct().count() == 1
+
+
+def test_bricks_of_a_layout_cover_the_box_once(spark):
+    grid = spark.createDataFrame([("a", 5, 40, -3, 0, 7, 7)], "case_id string, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    box = spark.range(3, 44).select(F.lit("a").alias("case_id"), F.col("id").cast("int").alias("z"), F.lit(-2).alias("y"), F.lit(7).alias("x"))
+    laid = box.join(bricks.layout(grid, 8), "case_id")
+    own = {r.z: (r.b, r.oz + r.b * r.ez, r.ez) for r in laid.withColumn("b", bricks.brick_of("z")).collect()}
+    assert all(low <= z < low + e <= low + 12 for z, (_, low, e) in own.items() if 5 <= z <= 40)
+    assert {b for b, _, _ in own.values()} == set(range(3)) and own[3][0] == 0 and own[43][0] == 2  # beyond the box: the outermost
+    seen = {}
+    for r in bricks.in_reach(laid, {"z": 2, "y": 1, "x": 1}).collect():
+        assert (r.by, r.bx) == (0, 0)
+        seen.setdefault(r.z, []).append(r.bz)
+    assert all(sorted(b) == sorted({own[min(max(z + o, 3), 43)][0] for o in range(-2, 3)}) for z, b in seen.items())
+
+
+def test_detection_writes_all_voxels_once(spark, monkeypatch):
+    sizes, real = {}, detect.cut
+
+    def kept(df, label="step"):
+        sizes[label] = real(df, label)
+        return sizes[label]
+
+    monkeypatch.setattr(detect, "cut", kept)
+    vox = cut(views.phantom_voxels(spark, "/root/testdata/sf0.001").where("case_id = 0"), "scan")
+    cases = cut(views.phantom_cases(spark, "/root/testdata/sf0.001").where("case_id = 0"), "cases")
+    maps = detect.search_maps(vox, cases, fill=40.0)
+    whole = [label for label, df in sizes.items() if df.count() == vox.count()]
+    assert whole == ["zones"] and maps.cells.count() == vox.count() and maps.cells.where("seed").count() > 0
+
+
+def test_samples_are_made_in_many_tasks(spark):
+    """Points are few bytes, so they end up in one partition unless they are spread before they become samples."""
+    points = cut(spark.range(40).selectExpr("'a' AS case_id", "id AS inst_id", "0 AS step", "1.0D AS z", "1.0D AS y", "CAST(id AS DOUBLE) AS x"), "points")
+    spacing = spark.sql("SELECT 'a' AS case_id, 1.5D AS sz, 0.8D AS sy, 0.8D AS sx")
+    made = sections.resample_paths(points, spacing, ["case_id", "inst_id"])
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
