@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import linalg as la
 from lumenframe.operators.spatial import pairs_within_self
 from lumenframe.params import DEFAULTS, Params
-from lumenframe.session import cut
+from lumenframe.session import cut, known_rows, unsent
 
 FOLD_PAIRS = 10_000
 
@@ -81,6 +81,7 @@ def near_duplicate_pairs(cands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     if "split_derived" not in cands.columns:
         cands = cands.withColumn("split_derived", F.lit(False))
     slim = cands.select("case_id", "id", "x", "y", "z", "split_derived", (F.col("path_mm") + 20.0 * F.col("vesselness")).alias("score"))
+    slim = slim if known_rows(cands) is None else unsent(slim, known_rows(cands))
     pairs = pairs_within_self(slim, p.near_dup_mm, ["x", "y", "z"], "id")
     both_split = F.col("split_derived_i") & F.col("split_derived_j")
     return pairs.select(
@@ -106,6 +107,7 @@ def path_merge_pairs(cands: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         (F.col("path_mm") + 0.3 * F.col("diameter_mm")).alias("score"),
     )
     window = max(p.path_merge_mm, p.ostium_merge_mm)
+    slim = slim if known_rows(cands) is None else unsent(slim, known_rows(cands))
     pairs = pairs_within_self(slim, window, ["x", "y", "z"], "id")
     side = lambda names, s: [F.col(f"{n}_{s}") for n in names]
     pairs = pairs.withColumns(

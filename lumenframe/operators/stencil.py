@@ -44,8 +44,9 @@ def _correlate(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
     n = a.shape[axis] - len(k) + 1
     at = lambda i: tuple(slice(i, i + n) if d == axis else slice(None) for d in range(3))
     out = k[0] * a[at(0)]
+    term = np.empty_like(out)
     for i in range(1, len(k)):
-        out += k[i] * a[at(i)]
+        out += np.multiply(k[i], a[at(i)], out=term)
     return out
 
 
@@ -60,8 +61,15 @@ def _response(block: np.ndarray, halo: int, sigma: float, alpha: float, beta: fl
     for oz, oy, ox in ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1)):
         h[oz, oy, ox] = _correlate(_correlate(along_x[ox], ks[oy], 1), ks[oz], 0)
     out = np.zeros(h[2, 0, 0].shape)
-    # two dominant negative eigenvalues need a negative trace; only those cells are decomposed
-    live = h[2, 0, 0] + h[0, 2, 0] + h[0, 0, 2] < 0
+    # two dominant negative eigenvalues need a negative trace, and a product of the three sums of two of them that isn't
+    # above 0; only those cells are decomposed
+    zz, yy, xx, zy, zx, yx = (h[o] for o in ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1)))
+    trace = zz + yy + xx
+    live = trace < 0
+    off = zy * zy + zx * zx + yx * yx
+    det = zz * (yy * xx - yx * yx) - zy * (zy * xx - yx * zx) + zx * (zy * yx - yy * zx)
+    size = np.sqrt(zz * zz + yy * yy + xx * xx + 2 * off)
+    live &= trace * (zz * yy + zz * xx + yy * xx - off) - det <= 1e-9 * size**3
     if wanted is not None:
         live &= wanted
     m = np.empty((int(live.sum()), 3, 3))
@@ -233,7 +241,7 @@ def zone_maps(cells: DataFrame, grid: DataFrame, p: Params = DEFAULTS, fill: flo
         out = pdf.loc[brick.own, ["case_id", "z", "y", "x", "hu", "parent"]].copy()
         out["vesselness"] = brick.tube(hu, one["mean_sp"], p, fill)
         mine = brick.of_mine(dist)
-        out["dist_mm"] = pd.Series(np.where(np.isfinite(mine), mine, 0.0), index=out.index, dtype="Float64").mask(~np.isfinite(mine))
+        out["dist_mm"] = pd.Series(pd.arrays.FloatingArray(np.where(np.isfinite(mine), mine, 0.0), ~np.isfinite(mine)), index=out.index)
         out["near_outward"] = brick.of_mine(_grown(outward))
         return out
 

@@ -87,13 +87,18 @@ def grow_instances(maps: SearchMaps, p: Params = DEFAULTS) -> DataFrame:
     return cut(cells.withColumn("depth_mm", F.coalesce("depth_mm", F.lit(0.0))), "instances")
 
 
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of the instances ``keys``; a join hides how many they can be, and files of cells look small."""
+    return unsent(rows.join(keys, INST, "left_semi"), known_rows(rows))
+
+
 def build_candidates(inst: DataFrame, maps: SearchMaps, cases: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Feature rows of surviving instances, and ``(case_id, inst_id, reason)`` of the others."""
     parent = maps.cells.where("parent").select(*CELL)
     contact = cut(lattice.contact_cells(inst, parent), "contact")
     touched = contact.select(*INST).distinct()
     untouched = inst.select(*INST).distinct().join(touched, INST, "left_anti").withColumn("reason", F.lit("no_parent_contact"))
-    live = inst.join(touched, INST, "left_semi")
+    live = _only(inst, touched)
     ostia = cut(features.centroids(lattice.ostium_cells(contact, parent)), "ostia")
     starts = ostia.select(*INST, F.lit(0).alias("walk_id"), *[F.col(f"o{c}").alias(f"w{c}") for c in "zyx"])
     walks = cut(ridge.ridge_walks(live, starts, maps.grid, p), "walks")
@@ -109,7 +114,7 @@ def build_candidates(inst: DataFrame, maps: SearchMaps, cases: DataFrame, p: Par
 
     # walks that fell short take a far cell as their seed
     f = f.where(F.col("path_reason").isNull())
-    far = features.fallback_seeds(live.join(f.select(*INST), INST, "left_semi"), ostia, maps.grid, p)
+    far = features.fallback_seeds(_only(live, f.select(*INST)), ostia, maps.grid, p)
     f = f.join(far, INST, "left")
     f = join_case(f, maps.grid, "sz", "sy", "sx")
     use = ~(F.col("seed_ok") & (F.col("walk_mm") >= p.min_path_mm)) & F.col("far_z").isNotNull()
@@ -127,7 +132,7 @@ def build_candidates(inst: DataFrame, maps: SearchMaps, cases: DataFrame, p: Par
 
     # calibre and quality
     f = f.where(F.col("site_reason").isNull())
-    own = cut(distance.depth_inside(live.join(f.select(*INST), INST, "left_semi"), maps.grid, key=("inst_id",)), "own-depth")
+    own = cut(distance.depth_inside(_only(live, f.select(*INST)), maps.grid, key=("inst_id",)), "own-depth")
     at_seed = f.select(*INST, *[F.rint(f"seed_{c}").cast("int").alias(c) for c in "zyx"]).join(own, [*INST, "z", "y", "x"])
     f = f.join(at_seed.select(*INST, F.col("depth_mm").alias("depth_at_seed")), INST, "left")
     heads = f.select(*INST, *[f"seed_{c}" for c in "zyx"], *[f"head_{c}" for c in "zyx"])
@@ -142,15 +147,15 @@ def build_candidates(inst: DataFrame, maps: SearchMaps, cases: DataFrame, p: Par
     f = f.where(F.col("reason").isNull()).drop("reason")
     keep = f.select(*INST)
     ends = [
-        ostia.join(keep, INST, "left_semi").select(*INST, F.lit(-1).alias("step"), *[F.col(f"o{c}").alias(c) for c in "zyx"]),
-        walks.join(keep, INST, "left_semi").select(*INST, "step", *[F.col(c).cast("double").alias(c) for c in "zyx"]),
+        _only(ostia, keep).select(*INST, F.lit(-1).alias("step"), *[F.col(f"o{c}").alias(c) for c in "zyx"]),
+        _only(walks, keep).select(*INST, "step", *[F.col(c).cast("double").alias(c) for c in "zyx"]),
         f.select(*INST, F.lit(1_000_000).alias("step"), *[F.col(f"seed_{c}").alias(c) for c in "zyx"]),
     ]
     points = ends[0].unionByName(ends[1]).unionByName(ends[2])
-    stable = sections.path_consistency(points, own.join(keep, INST, "left_semi"), maps.grid, INST, p)
+    stable = sections.path_consistency(points, _only(own, keep), maps.grid, INST, p)
     context = features.context_fractions(f.select(*INST, "oz", "oy", "ox", "head_z", "head_y", "head_x"), maps.cells, maps.calib, maps.grid, p)
     along = f.where(F.col("path_mm") < p.min_path_mm).select(*INST)
-    strip = features.strip_landmarks(contact.join(along, INST, "left_semi"), live.join(along, INST, "left_semi"), maps.grid, p)
+    strip = features.strip_landmarks(_only(contact, along), _only(live, along), maps.grid, p)
     f = f.join(stable, INST, "left").join(context, INST, "left").join(strip, INST, "left")
     f = f.withColumn("radius_mm", F.greatest("radius_mm", 0.5 * F.least("sz", "sy", "sx")))
     rejected = untouched.unionByName(short).unionByName(sited).unionByName(weak)

@@ -7,7 +7,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lumenframe.operators import bricks, distance, growth, lattice, masks, quality_model, ridge, sections, stencil, views3d
+from lumenframe import session
+from lumenframe.operators import bricks, distance, growth, lattice, masks, quality_model, ridge, sections, spatial, stencil, views3d
 from lumenframe.params import DEFAULTS
 from lumenframe.plans import detect
 from lumenframe.plans.catalog import lattice_queries, views
@@ -233,3 +234,14 @@ def test_samples_are_made_in_many_tasks(spark):
     spacing = spark.sql("SELECT 'a' AS case_id, 1.5D AS sz, 0.8D AS sy, 0.8D AS sx")
     made = sections.resample_paths(points, spacing, ["case_id", "inst_id"])
     assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_copies_of_points_and_cells_of_few_instances_are_not_broadcast(spark, monkeypatch):
+    """Points that are copied to their neighbours' cells, and cells picked by instance, are as many as they are, whatever their files weigh."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 500)
+    points = cut(spark.range(100).selectExpr("0L AS case_id", "id", *[f"CAST(id AS DOUBLE) AS {c}" for c in "xyz"]), "points")
+    assert "BroadcastHashJoin" not in plan(spatial.pairs_within_self(points, 1.0, ["x", "y", "z"], "id"))[1]
+    cells = cut(spark.range(1000).selectExpr("0L AS case_id", "id DIV 10 AS inst_id", "CAST(id AS INT) AS z", "0 AS y", "0 AS x"), "cells")
+    few = cut(cells.select("case_id", "inst_id").distinct(), "few")
+    probe = cut(cells.limit(100), "probe")
+    assert "BroadcastHashJoin" not in plan(probe.join(detect._only(cells, few), ["case_id", "inst_id", "z"]))[1].split("LeftSemi")[0]
